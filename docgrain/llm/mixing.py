@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docgrain.llm.common import WORD, written
@@ -102,20 +102,36 @@ def flow(capacity: dict, quota: dict, members: dict, passes: int = MOST_COPIES)
 
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, size (words of the text, null: 0), sources (the one source as an array)."""
-    return docs.select("doc_id", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.array("source").alias("sources"))
+    return docs.select("doc_id", word_count("text").alias("size"), F.array("source").alias("sources"))
+
+
+def word_count(text: str) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def pattern_of(sources: Column) -> Column:
+    """A name for a document's set of sources."""
+    return F.to_json(F.struct(F.array_sort(F.array_distinct(sources)).alias("s")), {"ignoreNullFields": "false"})
+
+
+def seeded(seed: str) -> Column:
+    """The order in which a pattern's documents are taken."""
+    return F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
 
 
 def mix(docs: DataFrame, sources: str = "sources", seed: str = "", share: float = SHARE, weights: tuple = WEIGHTS, digits: int = 3, max_patterns: int = 100_000) -> DataFrame:
     """docs (doc_id, size long, `sources` array of strings, null as a member allowed) -> doc_id, size,
-    pattern, source (where its words count), source_size, target, taken.
+    pattern, h (seeded order), source (where its words count), source_size, target, taken, passes
+    (array of booleans: taken on the k-th pass over its pattern).
 
     Each pattern is cut by its routes along the seeded order: words [0, f1) go to its first source,
-    [f1, f1 + f2) to the second, where a pattern that flows beyond its size goes round again. A document
-    counts to the route in which its first word lies, with its whole size, so each route is met within
+    [f1, f1 + f2) to the second, and a pattern that flows beyond its size goes round again. A document
+    counts to the route in which its middle word lies, with its whole size, so each route is met within
     one document.
     """
-    docs = docs.withColumn("pattern", F.to_json(F.struct(F.array_sort(F.array_distinct(sources)).alias("s")), {"ignoreNullFields": "false"}))
-    docs = written(docs.select("doc_id", "size", "pattern", F.array_sort(F.array_distinct(sources)).alias("sources"), F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("h")).withColumn("b", F.substring("h", 1, digits)), "mix-docs")
+    members = F.array_sort(F.array_distinct(F.col(sources)))
+    docs = docs.select("doc_id", "size", pattern_of(F.col(sources)).alias("pattern"), members.alias("sources"), seeded(seed).alias("h"))
+    docs = written(docs.withColumn("b", F.substring("h", 1, digits)), "mix-docs")
     spark = docs.sparkSession
     rows = docs.groupBy("pattern").agg(F.sum("size").alias("size"), F.first("sources").alias("sources")).limit(max_patterns + 1).collect()
     if len(rows) > max_patterns:
@@ -143,6 +159,20 @@ def mix(docs: DataFrame, sources: str = "sources", seed: str = "", share: float
     inside = F.sum("size").over(Window.partitionBy("pattern", "b").orderBy("h", "size").rowsBetween(Window.unboundedPreceding, -1))
     placed = docs.withColumn("inside", F.coalesce(inside, F.lit(0))).join(before, ["pattern", "b"]).withColumn("at", (F.col("before") + F.col("inside")).cast("double"))
     mid = F.col("at") + F.col("size") / 2
-    copies = sum((((mid + k * F.col("pattern_size")) >= F.col("first")) & ((mid + k * F.col("pattern_size")) < F.col("last"))).cast("long") for k in range(MOST_COPIES))
-    each = placed.join(F.broadcast(plan), "pattern").withColumn("taken", copies * F.col("size"))
-    return each.select("doc_id", "size", "pattern", "source", "source_size", "target", "taken")
+    passes = [((mid + k * F.col("pattern_size")) >= F.col("first")) & ((mid + k * F.col("pattern_size")) < F.col("last")) for k in range(MOST_COPIES)]
+    each = placed.join(F.broadcast(plan), "pattern").withColumn("passes", F.array(*passes))
+    taken = F.size(F.filter("passes", lambda p: p)) * F.col("size")
+    return each.select("doc_id", "size", "pattern", "h", "source", "source_size", "target", taken.alias("taken"), "passes")
+
+
+def apply_mix(docs: DataFrame, sources: Column, size: Column, mixed: DataFrame, seed: str = "") -> DataFrame:
+    """The rows of docs as often as `mixed` (from mix(), with the same seed) takes them. Each pass over
+    a route is a stretch of the seeded order, so its two ends (a small table) decide without a join of texts."""
+    key = F.struct("h", "size")
+    ends = mixed.select("pattern", "source", F.posexplode("passes").alias("k", "taken"), key.alias("key")).where("taken")
+    ends = ends.groupBy("pattern", "source", "k").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
+    stretches = ends.groupBy("pattern").agg(F.collect_list(F.struct("lo", "hi")).alias("stretches"))
+    names = docs.columns
+    row = docs.select(F.struct(*names).alias("row"), F.struct(seeded(seed).alias("h"), size.alias("size")).alias("key"), pattern_of(sources).alias("pattern"))
+    row = row.join(F.broadcast(stretches), "pattern").select("row", F.filter("stretches", lambda x: (F.col("key") >= x["lo"]) & (F.col("key") <= x["hi"])).alias("hits"))
+    return row.select("row", F.explode("hits")).select("row.*")

@@ -121,17 +121,39 @@ def shingle_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, shingles array<long>")
 
 
-def among(docs: DataFrame, ids: DataFrame, most_bits: int = 24) -> DataFrame:
-    """docs whose doc_id is in ids (doc_id). A bitmap of hashed ids, of at most 2**most_bits bits and so
-    of bounded size, goes to all tasks and drops most other rows before the exact semi-join moves texts."""
-    n = ids.count()
-    bits = min(most_bits, max(12, (16 * n).bit_length()))
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits))
-    mask = F.expr("bit_or(shiftleft(1L, cast(slot % 64 AS int)))")
-    bitmap = ids.select(slot.alias("slot")).groupBy((F.col("slot") / 64).cast("long").alias("word")).agg(mask.alias("mask"))
-    near = docs.withColumn("slot", slot).withColumn("word", (F.col("slot") / 64).cast("long")).join(F.broadcast(bitmap), "word")
-    near = near.where(F.expr("(mask & shiftleft(1L, cast(slot % 64 AS int))) != 0")).drop("slot", "word", "mask")
-    return near.join(ids, "doc_id", "left_semi")
+def in_bitmap(ids: DataFrame, most_bits: int = 24):
+    """A pair of functions docs -> docs: the rows whose doc_id may be in ids, and the others.
+
+    A bitmap of hashed ids, of at most 2**most_bits bits and so of bounded size, goes to all tasks; it
+    spares most rows from the exact join that must follow for those that may be in ids.
+    """
+    bits = min(most_bits, max(12, (16 * ids.count()).bit_length()))
+    slot = f"pmod(xxhash64(doc_id), {1 << bits})"
+    word, bit = F.expr(f"{slot} div 64"), f"shiftleft(1L, cast({slot} % 64 AS int))"
+    bitmap = ids.groupBy(word.alias("word of id")).agg(F.expr(f"bit_or({bit})").alias("mask of id"))
+    hit = F.expr(f"coalesce((`mask of id` & {bit}) != 0, false)")
+
+    def part(docs: DataFrame, inside: bool) -> DataFrame:
+        near = docs.join(F.broadcast(bitmap), word == F.col("word of id"), "inner" if inside else "left")
+        return near.where(hit if inside else ~hit).select(*[docs[c] for c in docs.columns])
+
+    return (lambda docs: part(docs, True)), (lambda docs: part(docs, False))
+
+
+def among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs whose doc_id is in ids (doc_id)."""
+    return in_bitmap(ids)[0](docs).join(ids, "doc_id", "left_semi")
+
+
+def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of docs that near_duplicates() keeps, and of rows that repeat a doc_id only the least;
+    rows without a doc_id stay."""
+    found = found.where(F.col("doc_id").isNotNull())
+    gone = written(found.groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n")).where("n > 1 OR NOT kept"), "neardup-gone")
+    may, others = in_bitmap(gone.select("doc_id"))
+    rest = may(docs).join(gone.where("NOT kept").select("doc_id"), "doc_id", "left_anti")
+    rest = rest.groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return others(docs).unionByName(rest)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:

@@ -5,14 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docgrain.llm.common import read
+from docgrain.llm.common import read, written
+
+
+def op1_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docgrain.llm import pii
+
+    found = written(pii.candidate_rows(read(spark, sf_dir, "documents")), "pii-candidates")
+    return pii.spans(found, pii.fit(found))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docgrain.llm import rules
+
+    docs = read(spark, sf_dir, "documents")
+    return rules.judge(docs, rules.fit(docs, read(spark, sf_dir, "labels")))
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     from docgrain.llm import packing
 
-    items = packing.written(packing.pieces(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")), "packing-pieces")
+    items = written(packing.pieces(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")), "packing-pieces")
     return packing.pack(items).select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), "offset")
 
 
@@ -29,7 +43,7 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
-QUERIES = {f.__name__: f for f in (op4_best_fit_packing, op8_minhash_neardup, op9_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_pii_spans, op3_quality_rules, op4_best_fit_packing, op8_minhash_neardup, op9_source_mixing)}
 
 SQL = {
     "op8_minhash_neardup": r"""
