@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docgrain.llm.common import read, written
+from docgrain.llm.common import crc_mod, read, written
 
 
 def op1_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,14 @@ def op1_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.spans(found, pii.fit(found))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docgrain.llm import langid
+
+    docs = read(spark, sf_dir, "documents").withColumn("held_out", crc_mod("doc_id", 3) == 1)
+    parts = langid.sampled_pieces(docs.where(~F.col("held_out") & F.col("lang").isNotNull()))
+    return langid.predict(docs, parts)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docgrain.llm import rules
 
@@ -30,6 +38,13 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(items).select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), "offset")
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docgrain.llm import fm
+
+    docs = read(spark, sf_dir, "documents").withColumn("held_out", crc_mod("doc_id", 5) == 0)
+    return fm.score(docs, fm.fit(docs.where(~F.col("held_out")), read(spark, sf_dir, "labels")))
+
+
 def op8_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docgrain.llm import neardup
 
@@ -43,7 +58,7 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_spans, op3_quality_rules, op4_best_fit_packing, op8_minhash_neardup, op9_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_pii_spans, op2_language_id, op3_quality_rules, op4_best_fit_packing, op5_quality_classifier, op8_minhash_neardup, op9_source_mixing)}
 
 SQL = {
     "op8_minhash_neardup": r"""
