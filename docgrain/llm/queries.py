@@ -45,6 +45,18 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm.score(docs, fm.fit(docs.where(~F.col("held_out")), read(spark, sf_dir, "labels")))
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docgrain.llm import boilerplate
+
+    return boilerplate.main_text(read(spark, sf_dir, "pages"))
+
+
+def op7_voronoi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docgrain.llm import voronoi
+
+    return voronoi.top_k(read(spark, sf_dir, "embeddings"))
+
+
 def op8_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docgrain.llm import neardup
 
@@ -58,9 +70,24 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_spans, op2_language_id, op3_quality_rules, op4_best_fit_packing, op5_quality_classifier, op8_minhash_neardup, op9_source_mixing)}
+def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docgrain.llm import chains
+
+    docs = read(spark, sf_dir, "documents")
+    return chains.score(docs, chains.fit(docs, read(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii_spans, op2_language_id, op3_quality_rules, op4_best_fit_packing, op5_quality_classifier, op6_main_text, op7_voronoi_topk, op8_minhash_neardup, op9_source_mixing, op10_toxicity_chain)}
 
 SQL = {
+    "op7_voronoi_topk": r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda e: floor(1024 * e::DOUBLE)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(q.x, v.x) AS BIGINT) AS score FROM v q JOIN v ON q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s
+QUALIFY rank <= 10""",
     "op8_minhash_neardup": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
