@@ -8,8 +8,9 @@ bins are bucket keys.
 Documents with equal sets are joined first and one of them stands for all. In a bucket, candidates are
 the edges of a star: each member with one centre, not each pair. Edges are confirmed on the full sets.
 A star misses a link between two members that are both unlike the centre, so further rounds choose
-other centres and compare only members that are not yet in one component; what is still open after
-those is compared pair by pair across components, which leaves no pair of a bucket undecided.
+other centres and compare only members that are not yet in one component. What is still open then is
+decided for every pair across components: pair by pair in small buckets, in bounded blocks in large ones.
+No pair of a bucket is left undecided.
 
 Defined results: null, empty or white text has an empty set and is linked with nothing; fewer words
 than a shingle count as one shingle; a null doc_id has component null, is linked with nothing and is
@@ -21,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -29,6 +31,8 @@ from pyspark.sql import functions as F
 from docgrain.llm.common import components, discard, text_batches, written
 
 SHINGLE, PERCENT, BIN_BITS, BAND_BINS, BANDS = 2, 80, 7, 5, 25
+#: Open buckets of up to so many members are compared pair by pair; larger ones in blocks of so many.
+SMALL_BUCKET, BLOCK = 32, 2048
 CACHED_WORDS = 400_000
 _HASHES: dict[bytes, int] = {}
 
@@ -165,12 +169,48 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
     return linked.select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
+def block_links(frame: pd.DataFrame, percent: int = PERCENT) -> pd.DataFrame:
+    """Links between the block's strays and all of its rows, of other components; one a stray and component.
+
+    A stray's common counts with all rows come from the postings of its own shingles.
+    """
+    every, strays = frame[~frame["stray"]], frame[frame["stray"]]
+    sizes, ids, comps = every["shingles"].map(len).to_numpy(), every["doc_id"].to_numpy(), every["comp"].to_numpy()
+    shingles = np.concatenate([*every["shingles"], np.empty(0, "i8")])
+    order = np.argsort(shingles, kind="stable")
+    shingles, rows = shingles[order], np.repeat(np.arange(len(every)), sizes)[order]
+    out = []
+    for doc, comp, own in zip(strays["doc_id"], strays["comp"], strays["shingles"], strict=True):
+        lo, hi = np.searchsorted(shingles, own, "left"), np.searchsorted(shingles, own, "right")
+        many = hi - lo
+        at = np.repeat(hi - np.cumsum(many), many) + np.arange(many.sum())
+        common = np.bincount(rows[at], minlength=len(every))
+        near = np.flatnonzero((100 * common >= percent * (len(own) + sizes - common)) & (comps != comp))
+        first = np.unique(comps[near], return_index=True)[1]
+        out += [(int(ids[i]), int(doc)) for i in near[first]]
+    return pd.DataFrame(out, columns=["src", "dst"])
+
+
+def links_in_large(large: DataFrame, sets: DataFrame, block: int = BLOCK) -> DataFrame:
+    """large (key, doc_id, comp, m) are the open buckets' members. All pairs of different components of a
+    bucket are decided: its strays, which are not of its main component, meet all members in blocks of
+    bounded size, inside tasks, so that pairs are counted and not made into rows."""
+    main = large.groupBy("key", "comp").count().groupBy("key").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), (F.sum("count") - F.max("count")).alias("strays"))
+    rows = large.join(written(main, "neardup-main"), "key").join(sets.select("doc_id", "shingles"), "doc_id")
+    parts = lambda n: F.ceil(F.col(n) / block).cast("int")
+    own = lambda n, salt: F.pmod(F.xxhash64("doc_id", F.lit(salt)), parts(n)).cast("int")
+    every = rows.select("key", "doc_id", "comp", "shingles", F.lit(False).alias("stray"), own("m", 1).alias("block"), F.explode(F.sequence(F.lit(0), parts("strays") - 1)).alias("turn"))
+    strays = rows.where(F.col("comp") != F.col("main")).select("key", "doc_id", "comp", "shingles", F.lit(True).alias("stray"), F.explode(F.sequence(F.lit(0), parts("m") - 1)).alias("block"), own("strays", 2).alias("turn"))
+    return every.unionByName(strays).groupBy("key", "block", "turn").applyInPandas(lambda f: block_links(f), "src long, dst long").distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, rounds: int = 3) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_shingles, component_id, kept; one row for each row of docs."""
     docs = docs.select("doc_id", "text")
     signed = written(signatures(docs, shingle), "neardup-signatures")
     some = signed.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     rep = some.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("times")).where("times > 1")
+    rep = written(rep, "neardup-copied")
     copies = written(some.join(rep.drop("times"), ["h1", "h2", "n"]).where(F.col("doc_id") != F.col("rep")).select(F.col("rep").alias("src"), F.col("doc_id").alias("dst")), "neardup-copies")
     lone = some.select("doc_id", "n", "bands").join(copies.select(F.col("dst").alias("doc_id")), "doc_id", "left_anti")
     rows = lone.select("doc_id", "n", F.explode("bands").alias("key"))
@@ -192,12 +232,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
             centre = centre.select("key", F.col("c.doc_id").alias("a"), F.col("c.n").alias("na"), F.col("c.comp").alias("ca"))
             pairs = side("b").join(centre, "key").where(like)
         else:
-            open_ = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi")).select("key")
-            left = side("a").join(open_, "key")
-            pairs = left.join(side("b"), "key").where(like & (F.col("a") < F.col("b")))
+            open_ = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where(F.col("lo") != F.col("hi")).select("key", "m")
+            open_ = written(placed.join(open_, "key"), "neardup-open")
+            placed = open_.where(F.col("m") <= SMALL_BUCKET)
+            pairs = side("a").join(side("b"), "key").where(like & (F.col("a") < F.col("b")))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        if step == rounds:
+            strays = written(links_in_large(open_.where(F.col("m") > SMALL_BUCKET), sets), "neardup-strays")
+            edges = strays if edges is None else edges.unionByName(strays)
         pairs = written(pairs, f"neardup-pairs-{step}")
         if not pairs.limit(1).count():
             if step < rounds:
