@@ -119,7 +119,7 @@ class Chain:
 
     def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, folds: int = FOLDS) -> Chain:
         """labels: a column for each category, in the chain's order; the last decides."""
-        fold = np.arange(len(rows)) % folds
+        fold = np.random.default_rng(folds).permutation(len(rows)) % folds
         earlier = np.zeros((len(rows), 0))
         for k in range(len(self.names)):
             out = np.zeros(len(rows))
