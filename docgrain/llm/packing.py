@@ -15,67 +15,108 @@ repeat a doc_id are packed each on its own (they carry equal (doc_id, piece) lab
 
 from __future__ import annotations
 
-import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docgrain.llm.common import text_batches, written
+from docgrain.llm.common import written
 
 ROOM, END_ID, GROUP_ITEMS, NEARLY_FULL = 4096, 1, 20_000, 4080
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, row long"
-#: Characters that str.split() takes for white space and the tokenizer does not.
-ODD_SPACE = re.compile("[\x1c-\x1f]")
-CACHED_WORDS = 400_000
+CACHED_PARTS, CHUNK_BYTES = 1_000_000, 4_000_000
+#: The letters and numbers among the characters of plain texts, lower case.
+LETTERS, NUMBERS = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u017f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+#: The tokenizer's own rule for cutting lower-case text into parts: what this finds, and the letters between.
+SIGNS = rf"('(?:s|t|re|ve|m|ll|d)|[{NUMBERS}]|[^\s\x0b\x{{85}}\x{{a0}}{LETTERS}{NUMBERS}]+)"
+#: What keeps a text from being cut like this: characters that other normal forms, other letters or numbers,
+#: or the tokenizer's special tokens may need, and those that Arrow alone takes for white space.
+NOT_PLAIN = r"[^\x00-\x1b\x20-\x{12f}\x{131}-\x{17f}\x{2010}-\x{2027}\x{20a0}-\x{20bf}]|<\|"
 
 
-class WordIds:
-    """Ids as little-endian uint32 bytes. The tokenizer cuts at white space before anything else, so
-    a text's ids are those of its words in a row; words seen before come from a bounded cache."""
+class Ids:
+    """Ids of texts. The tokenizer encodes each part of a text by itself, so a text's ids are those of its
+    parts in a row; a bounded cache holds them. Arrow cuts and looks up; new parts go to the tokenizer. Other
+    than plain texts go to the tokenizer whole."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.seen = Tokenizer.from_file(path), {}
-
-    def raw(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        for text in texts:
-            if ODD_SPACE.search(text):
-                yield self.raw([text])[0]
-                continue
-            words, seen = text.split(), self.seen
-            if new := [w for w in dict.fromkeys(words) if w not in seen]:
-                if len(seen) > CACHED_WORDS:
-                    seen.clear()
-                    new = list(dict.fromkeys(words))
-                seen.update(zip(new, self.raw(new), strict=True))
-            yield b"".join(map(seen.__getitem__, words))
-
-
-_TOKENIZERS: dict[str, WordIds] = {}
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.whole, self.by_part, self.parts = Tokenizer.from_file(path), Tokenizer.from_file(path), {}
+        # Parts are lower case and cut already; joined by spaces, many are encoded in one call.
+        self.by_part.normalizer = None
+        self.by_part.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+
+    def raw(self, text: str) -> np.ndarray:
+        return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def learn(self, parts: list[str]) -> None:
+        for a in range(0, len(parts), 2000):
+            some = parts[a : a + 2000]
+            found = self.by_part.encode(" ".join(some), add_special_tokens=False)
+            ends = np.cumsum(np.bincount(found.word_ids, minlength=len(some))) * 4
+            ids = array("I", found.ids).tobytes()
+            if len(ends) != len(some):
+                raise ValueError("the tokenizer cut a part")
+            for part, x, y in zip(some, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                self.parts[part] = ids[x:y]
+
+    def chunk(self, texts: pa.Array) -> list[np.ndarray]:
+        plain = pc.invert(pc.match_substring_regex(texts, NOT_PLAIN))
+        low = pc.utf8_lower(pc.if_else(plain, texts, ""))
+        cut = pc.utf8_split_whitespace(pc.replace_substring_regex(low, SIGNS, r" \1 "))
+        coded = pc.list_flatten(cut).dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        if len(self.parts) > CACHED_PARTS:
+            self.parts.clear()
+        known = self.parts
+        self.learn([p for p in names if p and p not in known])
+        known[""] = b""
+        each = [known[p] for p in names]
+        sizes = np.fromiter(map(len, each), "i8", len(each)) // 4
+        ids = np.frombuffer(b"".join(each), "<u4")
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype("i4"), pa.array(ids))
+        flat = pc.list_flatten(lists.take(pa.array(codes))).to_numpy(zero_copy_only=False)
+        upto = np.concatenate([[0], np.cumsum(sizes[codes])])[np.concatenate([[0], np.cumsum(pc.list_value_length(cut).to_numpy(zero_copy_only=False))])]
+        return [flat[x:y] if ok else self.raw(t.as_py()) for x, y, ok, t in zip(upto[:-1], upto[1:], plain.to_pylist(), texts, strict=True)]
+
+    def __call__(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text, in chunks of texts of bounded size."""
+        upto = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        a = 0
+        while a < len(texts):
+            b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + CHUNK_BYTES, "right")))
+            yield from self.chunk(texts.slice(a, b - a))
+            a = b
+
+
+_TOKENIZERS: dict[str, Ids] = {}
 
 
 def pieces(docs: DataFrame, tokenizer: str, room: int = ROOM, end_id: int = END_ID) -> DataFrame:
     """docs (doc_id, text) -> PIECES; row names the piece uniquely; write the result before it is used twice."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _TOKENIZERS.get(tokenizer) or _TOKENIZERS.setdefault(tokenizer, WordIds(tokenizer))
+        pa.set_cpu_count(1)  # a task has one core
+        encode = _TOKENIZERS.get(tokenizer) or _TOKENIZERS.setdefault(tokenizer, Ids(tokenizer))
         end = np.asarray([end_id], "<u4").tobytes()
-        for batch, texts in text_batches(batches):
+        for batch in batches:
+            texts = pc.fill_null(batch.column("text"), "")
             out: list[list] = [[], [], [], [], []]
             for doc, ids in zip(batch.column("doc_id").to_pylist(), encode(texts), strict=True):
-                ids += end
-                for k, at in enumerate(range(0, len(ids), 4 * room)):
-                    part = ids[at : at + 4 * room]
-                    for column, value in zip(out, (doc, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
+                n = len(ids) + 1
+                for k, at in enumerate(range(0, n, room)):
+                    size = min(room, n - at)
+                    crc = zlib.crc32(ids[at : at + size].tobytes())
+                    crc = zlib.crc32(end, crc) if at + size == n else crc
+                    for column, value in zip(out, (doc, k, at, size, crc), strict=True):
                         column.append(value)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             names = ("doc_id", "piece", "start", "length", "ids_crc32")
