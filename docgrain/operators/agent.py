@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docgrain.functions import text as X
 from docgrain.operators.fuse import first_seen
+from docgrain.sources.scratch import written
 
 # Texts that the loop returns.
 DISCLAIMER = "Answered from general knowledge, not from your documents."
@@ -118,13 +119,14 @@ class Slots:
     generate: Callable[[DataFrame], DataFrame]
     general: Callable[[DataFrame], DataFrame]
     clarify: Callable[[DataFrame], DataFrame]
-    keep: Callable[[DataFrame, str], DataFrame] = field(default=lambda df, name: df)
+    keep: Callable[[DataFrame, str], DataFrame] = written
 
 
 def answer(questions: DataFrame, slots: Slots, min_relevant: int = 2, max_rewrites: int = 2, grade_at: float = 0.5, support: float = 0.8, deadline_s: float = 3600.0) -> DataFrame:
     """questions (query_id, text) -> query_id, route, answer, abstained, groundedness, rewrites.
 
-    `slots.keep` writes an intermediate table; with the default nothing is cut."""
+    `slots.keep` writes an intermediate table and reads it back, so a round neither calls a model twice nor
+    carries the plans of the rounds before."""
     began = time.monotonic()
 
     def check() -> None:

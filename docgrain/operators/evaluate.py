@@ -2,28 +2,45 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docgrain.functions import text as X
 
-
-def relevant_documents(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """item_id, doc_id of documents whose text holds the span, verbatim.
-
-    A span of n characters has n-character stretches only; the join meets spans and documents in one shared
-    word, the span's longest inner one (lesser first), and containment is then checked, so no pair without it
-    is made."""
-    words = lambda c: F.array_distinct(F.split(c, r"[\x20\x09-\x0D]+"))
-    inner = F.slice(F.split("text", r"[\x20\x09-\x0D]+"), 2, F.greatest(F.size(F.split("text", r"[\x20\x09-\x0D]+")) - 2, F.lit(0)))
-    longest = F.try_element_at(F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w")))), F.lit(1))["w"]
-    keyed = spans.select("item_id", F.col("text").alias("span"), longest.alias("word"))
-    hits = docs.select("doc_id", "text", F.explode(words(F.col("text"))).alias("word")).join(F.broadcast(keyed.select("word").distinct()), "word", "left_semi")
-    long = hits.join(keyed.where("word IS NOT NULL"), "word").where(F.contains("text", "span")).select("item_id", "doc_id")
-    # Spans of one or two words have no inner word; they are few, and are looked for in every text.
-    short = keyed.where("word IS NULL AND span IS NOT NULL").select(F.collect_list(F.struct("item_id", "span")).alias("short"))
-    rest = docs.join(F.broadcast(short)).select("doc_id", "text", F.explode("short").alias("s")).where(F.contains("text", F.col("s.span"))).select("s.item_id", "doc_id")
-    return long.unionByName(rest).distinct()
+#: Spans that are looked for at once.
+SPAN_BLOCK = 50_000
+
+
+def relevant_documents(docs: DataFrame, spans: DataFrame, block: int = SPAN_BLOCK) -> DataFrame:
+    """docs (doc_id, text), spans (item_id, text) -> item_id, doc_id where the text holds the span verbatim.
+
+    The spans are the query set: blocks of them become an automaton that finds all of a block's spans in one
+    pass over a text, so nothing is shuffled. An empty span occurs nowhere."""
+    rows = spans.where("text IS NOT NULL AND text <> ''").select("item_id", "text").toLocalIterator()
+    d_kind, i_kind = (df.schema[c].dataType.simpleString() for df, c in ((docs, "doc_id"), (spans, "item_id")))
+    found = None
+    while some := [(r["item_id"], r["text"]) for _, r in zip(range(block), rows)]:
+
+        def match(frames: Iterator[pd.DataFrame], some=some) -> Iterator[pd.DataFrame]:
+            import ahocorasick
+
+            by_text: dict[str, list] = {}
+            for item, text in some:
+                by_text.setdefault(text, []).append(item)
+            automaton = ahocorasick.Automaton()
+            for text, items in by_text.items():
+                automaton.add_word(text, items)
+            automaton.make_automaton()
+            for frame in frames:
+                out = [(item, doc) for doc, text in zip(frame["doc_id"], frame["text"], strict=True) if text for item in {i for _, items in automaton.iter(text) for i in items}]
+                yield pd.DataFrame(out, columns=["item_id", "doc_id"])
+
+        part = docs.select("doc_id", "text").mapInPandas(match, f"item_id {i_kind}, doc_id {d_kind}")
+        found = part if found is None else found.unionByName(part)
+    return docs.sparkSession.createDataFrame([], f"item_id {i_kind}, doc_id {d_kind}") if found is None else found
 
 
 def question_metrics(results: DataFrame, items: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:

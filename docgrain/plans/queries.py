@@ -613,7 +613,6 @@ def G1_answer_loop(spark, sf_dir):
         generate=lambda q: q.select("query_id", F.when(F.col("strict"), first_words).otherwise(F.col("question")).alias("answer")),
         general=lambda q: q.select("query_id", F.col("text").alias("answer")),
         clarify=lambda q: q.select("query_id", F.concat(F.lit("Which document do you mean: "), F.substring("text", 1, 40), F.lit("?")).alias("answer")),
-        keep=lambda df, name: written(df, f"answer-{name}"),
     )
     return agent.answer(R.questions(spark, sf_dir), slots, grade_at=0.9)
 
