@@ -78,14 +78,6 @@ def aggregate_metrics(rows: DataFrame, metrics: list[str], keys: list[str], deci
     return rows.sparkSession.sql(f"SELECT {by} AS by, coalesce({', '.join(keys)}, 'all') AS key, {means}, count(*) AS n FROM {view} GROUP BY GROUPING SETS ({sets})")
 
 
-def nearest_rank(value: str, p: int) -> Column:
-    """The value at index round-half-even(p / 100 * (n - 1)) of the sorted values, null without any.
-
-    For groups whose values fit one row; see nearest_rank_of for a whole table."""
-    ordered = F.array_sort(F.collect_list(value))
-    return F.try_element_at(ordered, (F.rint(p / 100.0 * (F.size(ordered) - 1)) + 1).cast("int"))
-
-
 def nearest_rank_of(rows: DataFrame, value: str, ps: tuple[int, ...]) -> DataFrame:
     """p, value for a whole table: counts by distinct value, added up, so no task holds all rows."""
     counts = rows.where(F.col(value).isNotNull()).groupBy(value).count()
@@ -168,6 +160,37 @@ def included(items: DataFrame) -> DataFrame:
     return items.where((F.col("bucket") != "general") & ~F.col("expected_abstain") & (F.size("gold_spans") > 0))
 
 
-def normalised_contains(fragment: Column, text: Column) -> Column:
-    needle = X.normalize(fragment)
-    return (needle == "") | F.contains(X.normalize(text), needle)
+def reference(answer: Column, spans: Column) -> Column:
+    """The gold answer, else the gold spans as one text, else null."""
+    return F.coalesce(F.nullif(answer, F.lit("")), F.nullif(F.array_join(spans, " "), F.lit("")))
+
+
+def missing_inputs(needs: dict[str, tuple[str, ...]], filled: dict[str, Column]) -> dict[str, Column]:
+    """For each metric, whether an input that it needs is missing; such rows stay out of its mean."""
+    lacks = lambda fields: [~F.coalesce(filled[f], F.lit(False)) for f in fields]
+    return {m: F.array_contains(F.array(*lacks(fields)), True) if fields else F.lit(False) for m, fields in needs.items()}
+
+
+def citations_hold(quotes: Column, text: Column) -> Column:
+    """Null without quotes; else whether every quote is filled and occurs in the normalised text."""
+    fine = F.forall(quotes, lambda q: (F.trim(q) != "") & F.contains(text, X.normalize(q)))
+    return F.when(F.size(quotes) > 0, F.coalesce(fine, F.lit(False)))
+
+
+def inventory(clauses: DataFrame, slots: list[str], yes: list[str], pairs: list[tuple[str, str]], doc: str = "doc_id") -> DataFrame:
+    """clauses (doc, category, spans array, answer), a row a category -> doc, bucket, category, spans, answer.
+
+    slot: spans, and an answer other than yes and no. yes_span and no_answer: with and without spans.
+    cross_ref: both categories of a pair have spans."""
+    has = F.size(F.coalesce("spans", F.array().cast("array<string>"))) > 0
+    answered = ~F.lower(F.coalesce("answer", F.lit(""))).isin("", "yes", "no")
+    bucket = F.when(F.col("category").isin(*slots) & has & answered, "slot").when(F.col("category").isin(*yes), F.when(has, "yes_span").otherwise("no_answer"))
+    single = clauses.withColumn("bucket", bucket).where("bucket IS NOT NULL")
+    answer = F.when(F.col("bucket") == "slot", F.col("answer")).when(F.col("bucket") == "yes_span", "Yes")
+    spans = F.when(F.col("bucket") != "no_answer", F.col("spans")).otherwise(F.array().cast("array<string>"))
+    out = single.select(doc, "bucket", "category", spans.alias("spans"), answer.alias("answer"))
+    for a, b in pairs:
+        side = lambda c, name: clauses.where(has & (F.col("category") == c)).select(doc, F.col("spans").alias(name))
+        both = side(a, "sa").join(side(b, "sb"), doc)
+        out = out.unionByName(both.select(doc, F.lit("cross_ref").alias("bucket"), F.lit(f"{a} + {b}").alias("category"), F.concat("sa", "sb").alias("spans"), F.lit(None).cast("string").alias("answer")))
+    return out

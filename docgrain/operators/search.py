@@ -122,10 +122,6 @@ def term_counts(chunks: DataFrame, key: str = "chunk_id", text: str = "text", pa
     return chunks.select(key, F.explode(X.words(text, pattern)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def document_lengths(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
-    return chunks.select(key, F.size(X.words(text)).cast("long").alias("dl"))
-
-
 def bm25_index(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Postings with dl (chunk_id, term, tf, dl), term statistics (term, df) and corpus statistics (n, avgdl).
 

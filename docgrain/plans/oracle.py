@@ -273,3 +273,19 @@ SELECT s AS c_mktsegment, k AS n FROM r WHERE step = (SELECT max(step) FROM r)""
 ORACLE["M6_split"] = """WITH l AS (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY doc_id), h AS (SELECT quality, count(*) AS n FROM l GROUP BY 1),
 t AS (SELECT sum(n) AS total, CAST(round_even(0.6e0 * sum(n), 0) AS BIGINT) AS target FROM h)
 SELECT quality, CAST(round_even(n * target / total, 0) AS BIGINT) AS n FROM h, t"""
+
+ORACLE["J11_back_filled_grades"] = "SELECT source AS query_id, d.doc_id AS chunk_id, coalesce(quality = 1, false) AS relevant FROM documents d LEFT JOIN labels l USING (doc_id)"
+ORACLE["X1_inventory"] = """WITH c AS (
+  SELECT doc_id, 'Governing Law' AS category, list_filter(string_split(text, chr(10)), lambda x: contains(x, 'License')) AS spans, lang AS answer FROM documents
+  UNION ALL SELECT doc_id, 'Parties', list_filter(string_split(text, chr(10)), lambda x: contains(x, '@')), 'No' FROM documents
+  UNION ALL SELECT doc_id, 'Exclusivity', list_filter(string_split(text, chr(10)), lambda x: contains(x, 'token')), '' FROM documents)
+SELECT doc_id, 'slot' AS bucket, category, len(spans) AS n_spans, answer FROM c WHERE category = 'Governing Law' AND len(spans) > 0 AND coalesce(answer, '') <> ''
+UNION ALL SELECT doc_id, CASE WHEN len(spans) > 0 THEN 'yes_span' ELSE 'no_answer' END, category, len(spans), CASE WHEN len(spans) > 0 THEN 'Yes' END FROM c WHERE category = 'Exclusivity'
+UNION ALL SELECT a.doc_id, 'cross_ref', 'Governing Law + Parties', len(a.spans) + len(b.spans), NULL FROM c a JOIN c b USING (doc_id)
+WHERE a.category = 'Governing Law' AND b.category = 'Parties' AND len(a.spans) > 0 AND len(b.spans) > 0"""
+ORACLE["X3_missing_inputs"] = f"WITH {LOGS} SELECT query_id, NOT n_turns > 2 AS faithfulness, false AS answer_relevancy, NOT (n_turns > 2 AND length(question) > 100) AS contextual_recall FROM l"
+ORACLE["X8_chunk_keys"] = "SELECT conv_id, turn, CASE WHEN role = 'user' THEN conv_id || '-' || turn ELSE conv_id || ':' || turn END AS key FROM conversations"
+ORACLE["N11_references"] = f"""WITH t AS (SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN text END AS answer, string_split(text, '. ') AS s FROM conversations),
+n AS (SELECT *, {normal("array_to_string(s, ' ')")} AS hay FROM t)
+SELECT conv_id, turn, md5(coalesce(nullif(answer, ''), nullif(array_to_string(s, ' '), ''))) AS reference_md5,
+  len(list_filter(s, lambda q: trim(q) = '' OR NOT contains(hay, {normal("q")}))) = 0 AS citations_hold FROM n"""

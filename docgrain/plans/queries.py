@@ -507,6 +507,44 @@ def J1_joined_sources(spark, sf_dir):
     return registry.joined_sources(pdfs, short, blue).select("p_partkey", "csv", "txt", "missing")
 
 
+@query
+def J11_back_filled_grades(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("query_id"), F.col("doc_id").alias("chunk_id"))
+    grades = labelled(spark, sf_dir).select(F.col("source").alias("query_id"), F.col("doc_id").alias("chunk_id"), (F.col("quality") == 1).alias("relevant"))
+    return agent.back_filled(docs, grades)
+
+
+@query
+def X1_inventory(spark, sf_dir):
+    lines = F.split("text", "\n")
+    own = lambda c, mark, answer: table(spark, sf_dir, "documents").select("doc_id", F.lit(c).alias("category"), F.filter(lines, lambda x: F.contains(x, F.lit(mark))).alias("spans"), answer.alias("answer"))
+    clauses = own("Governing Law", "License", F.col("lang")).unionByName(own("Parties", "@", F.lit("No"))).unionByName(own("Exclusivity", "token", F.lit("")))
+    found = evaluate.inventory(clauses, ["Governing Law", "Parties"], ["Exclusivity"], [("Governing Law", "Parties")])
+    return found.select("doc_id", "bucket", "category", F.size("spans").cast("long").alias("n_spans"), "answer")
+
+
+@query
+def X3_missing_inputs(spark, sf_dir):
+    rows = logs(spark, sf_dir)
+    needs = {"faithfulness": ("contexts",), "answer_relevancy": (), "contextual_recall": ("contexts", "reference")}
+    filled = {"contexts": F.col("n_turns") > 2, "reference": F.length("question") > 100}
+    return rows.select("query_id", *[c.alias(m) for m, c in evaluate.missing_inputs(needs, filled).items()])
+
+
+@query
+def X8_chunk_keys(spark, sf_dir):
+    t = table(spark, sf_dir, "conversations")
+    given = F.when(F.col("role") == "system", "").when(F.col("role") == "user", F.concat_ws("-", "conv_id", "turn"))
+    return t.select("conv_id", "turn", fuse.chunk_key(given, F.col("conv_id").cast("string"), F.col("turn")).alias("key"))
+
+
+@query
+def N11_references(spark, sf_dir):
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("role") == "assistant", F.col("text")).alias("answer"), F.split("text", r"\. ").alias("spans"))
+    text = X.normalize(F.array_join("spans", " "))
+    return t.select("conv_id", "turn", F.md5(evaluate.reference(F.col("answer"), F.col("spans"))).alias("reference_md5"), evaluate.citations_hold(F.col("spans"), text).alias("citations_hold"))
+
+
 # Sampling
 
 

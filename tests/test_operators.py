@@ -287,6 +287,13 @@ def test_quotas():
     assert sampling.holdout_quotas({"core": 30, "ip": 2, "other": 30}, 50, {"core": 24, "ip": 16, "other": 10}) == {"core": 24, "ip": 2, "other": 24}
 
 
+def test_filled_buckets():
+    offers = {f"d{i}": {"slot": ["a", "b"], "yes_span": ["x"] if i % 2 else [], "no_answer": ["y"]} for i in range(6)}
+    got = sampling.filled_buckets(offers, {"slot": 4, "yes_span": 3, "no_answer": 2})
+    assert len({d for d, _, _ in got}) == 6 and len(got) == len(set(got))
+    assert {b: sum(g[1] == b for g in got) for b in ("slot", "yes_span", "no_answer")} == {"slot": 4, "yes_span": 3, "no_answer": 2}
+
+
 def test_drawn(spark):
     d = spark.createDataFrame([(i, "ab"[i % 5 == 0]) for i in range(1000)], "id long, s string")
     got = sampling.drawn(d, "s", {"a": 700, "b": 3}, "id").groupBy("s").count().collect()
