@@ -10,6 +10,7 @@ from docgrain import config
 from docgrain.functions import encode as E
 from docgrain.functions import text as X
 from docgrain.operators import agent, chunk, clean, evaluate, feedback, fuse, registry, sampling, search
+from docgrain.plans import retrieval
 from docgrain.sources import collections, readers
 from docgrain.streaming import ingest
 
@@ -381,6 +382,15 @@ def test_collections(spark, tmp_path):
     assert collections.without_other_versions(rows((1, "a"), (1, "b"), (2, "c")), rows((1, "b"))).count() == 2
 
 
+def test_index_is_built_once_and_searched(spark, tmp_path):
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(["cat", "dog", "bird", "fish", "cow"]) for _ in range(30))) for i in range(40)], "doc_id long, text string")
+    ask = spark.createDataFrame([(1, "cat cow"), (2, "fish")], "query_id int, text string")
+    index = collections.Collection(spark, str(tmp_path), config.collection_name(config.BASE), {"index_sig": config.index_signature(config.BASE)})
+    assert retrieval.build_index(docs, index) == 1
+    flat = lambda df: sorted((r["query_id"], r["rank"], r["chunk_id"]) for r in df.collect())
+    assert flat(retrieval.search_index(index, ask, 5)) == flat(retrieval.hybrid(retrieval.chunks_of(docs), ask, 5))
+
+
 def test_stream_ingest(spark, tmp_path):
     c = collections.Collection(spark, str(tmp_path / "c"), "docs", {})
     src = str(tmp_path / "in")
