@@ -52,3 +52,21 @@ def joined_sources(pdfs: DataFrame, rows: DataFrame, texts: DataFrame, order: st
 def split_overlap(a: DataFrame, b: DataFrame, key: str = "doc_id") -> DataFrame:
     """Documents that both splits hold; must be empty."""
     return a.select(key).intersect(b.select(key))
+
+
+def outcomes(docs: DataFrame, pending: DataFrame, chunks: DataFrame) -> DataFrame:
+    """doc_id, status (skipped, indexed, or failed for lack of chunks), n_chunks, of a run that chunked `pending`."""
+    counts = chunks.groupBy("doc_id").agg(F.count("*").alias("n_chunks"))
+    todo = pending.select("doc_id", F.lit(True).alias("_todo"))
+    out = docs.select("doc_id").join(todo, "doc_id", "left").join(counts, "doc_id", "left")
+    n = F.when(F.col("_todo"), F.coalesce("n_chunks", F.lit(0))).otherwise(0)
+    return out.select("doc_id", F.when(F.col("_todo").isNull(), "skipped").when(n > 0, "indexed").otherwise("failed").alias("status"), n.cast("long").alias("n_chunks"))
+
+
+def ingest_report(docs: DataFrame, outcome: DataFrame) -> DataFrame:
+    """One row: docs, skipped, indexed, failed, and the indexed documents' chars, est_tokens and chunks."""
+    rows = docs.select("doc_id", F.length("text").alias("chars"), X.estimate_tokens("text").alias("tokens")).join(outcome, "doc_id")
+    done = F.col("status") == "indexed"
+    total = lambda c: F.coalesce(F.sum(F.when(done, F.col(c))), F.lit(0)).cast("long")
+    counts = [F.count_if(F.col("status") == s).alias(s) for s in ("skipped", "indexed", "failed")]
+    return rows.agg(F.count("*").alias("docs"), *counts, total("chars").alias("chars"), total("tokens").alias("est_tokens"), total("n_chunks").alias("chunks"))

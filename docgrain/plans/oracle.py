@@ -289,3 +289,8 @@ ORACLE["N11_references"] = f"""WITH t AS (SELECT conv_id, turn, CASE WHEN role =
 n AS (SELECT *, {normal("array_to_string(s, ' ')")} AS hay FROM t)
 SELECT conv_id, turn, md5(coalesce(nullif(answer, ''), nullif(array_to_string(s, ' '), ''))) AS reference_md5,
   len(list_filter(s, lambda q: trim(q) = '' OR NOT contains(hay, {normal("q")}))) = 0 AS citations_hold FROM n"""
+ORACLE["A9_ingest_report"] = f"""WITH {CHUNKS}, k AS (SELECT doc_id, count(*) AS n FROM chunks GROUP BY doc_id),
+o AS (SELECT d.doc_id, text, CASE WHEN d.doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN 'skipped' WHEN n > 0 THEN 'indexed' ELSE 'failed' END AS status, n FROM documents d LEFT JOIN k USING (doc_id))
+SELECT count(*) AS docs, count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (status = 'indexed') AS indexed, count(*) FILTER (status = 'failed') AS failed,
+  CAST(coalesce(sum(length(text)) FILTER (status = 'indexed'), 0) AS BIGINT) AS chars,
+  CAST(coalesce(sum(CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, length(text) // 4) END) FILTER (status = 'indexed'), 0) AS BIGINT) AS est_tokens, CAST(coalesce(sum(n) FILTER (status = 'indexed'), 0) AS BIGINT) AS chunks FROM o"""

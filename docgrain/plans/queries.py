@@ -176,6 +176,15 @@ def T4_pending(spark, sf_dir):
     return clean.pending(table(spark, sf_dir, "documents").select("doc_id", sha.alias("sha256")), known, "s1").select("doc_id", "sha256")
 
 
+@query
+def A9_ingest_report(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2("text", 256).alias("sha256"))
+    rows = labelled(spark, sf_dir)
+    known = rows.select("doc_id", F.sha2("text", 256).alias("sha256"), F.lit("s1").alias("index_sig"), F.when(F.col("quality") == 1, "indexed").otherwise("failed").alias("status"))
+    todo = clean.pending(docs, known, "s1")
+    return registry.ingest_report(docs, registry.outcomes(docs, todo, R.chunks_of(todo)))
+
+
 @query
 def T5_exact_duplicates(spark, sf_dir):
     return clean.exact_duplicates(table(spark, sf_dir, "documents"))
