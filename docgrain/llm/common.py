@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -54,10 +56,21 @@ def crc_mod(key: str | Column, n: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most `rows` rows, so that what Python makes of a batch of texts stays small.
+    At the end of the partition, freed memory goes back to the system: workers live on for later stages."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def text_batches(batches: Iterator[pa.RecordBatch], kind: pa.DataType = pa.string()) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Each batch with its column `text` as Python values, nulls as empty; kind: pa.string() or pa.binary()."""
+    """Slices with their column `text` as Python values, nulls as empty; kind: pa.string() or pa.binary()."""
     empty = "" if kind == pa.string() else b""
-    for batch in batches:
+    for batch in slices(batches):
         texts = batch.column(batch.schema.get_field_index("text")).cast(kind).to_pylist()
         yield batch, [empty if t is None else t for t in texts]
 

@@ -33,8 +33,7 @@ from docgrain.llm.common import components, discard, text_batches, written
 SHINGLE, PERCENT, BIN_BITS, BAND_BINS, BANDS = 2, 80, 7, 5, 25
 #: Open buckets of up to so many members are compared pair by pair; larger ones in blocks of so many.
 SMALL_BUCKET, BLOCK = 32, 2048
-CACHED_WORDS = 400_000
-_HASHES: dict[bytes, int] = {}
+CACHED_WORDS = 200_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -44,19 +43,23 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def shingle_set(text: bytes, k: int = SHINGLE) -> np.ndarray:
+class Hashes(dict):
+    """word -> 64-bit hash; a bounded cache, one a partition."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= CACHED_WORDS:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+def shingle_set(text: bytes, k: int = SHINGLE, hashes: Hashes | None = None) -> np.ndarray:
     """The sorted distinct 64-bit hashes of the text's k-word shingles."""
     words = text.lower().split()  # bytes: lower() changes A-Z only, split() cuts at ASCII white space only
     if not words:
         return np.empty(0, np.uint64)
-    if len(_HASHES) > CACHED_WORDS:
-        _HASHES.clear()
-    try:
-        ids = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-    except KeyError:
-        for w in set(words).difference(_HASHES):
-            _HASHES[w] = xxhash.xxh3_64_intdigest(w)
-        ids = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    hashes = Hashes() if hashes is None else hashes
+    ids = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     k = min(k, len(words))
     with np.errstate(over="ignore"):
         total = np.full(len(ids) - k + 1, k, np.uint64)
@@ -106,8 +109,9 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n (size of the set), h1, h2 (a hash of the whole set), bands."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
         for batch, texts in text_batches(batches, pa.binary()):
-            sets = [shingle_set(t, shingle) for t in texts]
+            sets = [shingle_set(t, shingle, hashes) for t in texts]
             whole = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), "<i8").reshape(-1, 2)
             bands = lists([band_keys(s) if len(s) else s for s in sets])
             yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(whole[:, 0]), pa.array(whole[:, 1]), bands], names=["doc_id", "n", "h1", "h2", "bands"])
@@ -119,8 +123,9 @@ def shingle_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, shingles (sorted hashes)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
         for batch, texts in text_batches(batches, pa.binary()):
-            yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), lists([shingle_set(t, shingle) for t in texts])], names=["doc_id", "shingles"])
+            yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), lists([shingle_set(t, shingle, hashes) for t in texts])], names=["doc_id", "shingles"])
 
     return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, shingles array<long>")
 

@@ -26,11 +26,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docgrain.llm.common import written
+from docgrain.llm.common import slices, written
 
 ROOM, END_ID, GROUP_ITEMS, NEARLY_FULL = 4096, 1, 20_000, 4080
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, row long"
-CACHED_PARTS, CHUNK_BYTES = 1_000_000, 4_000_000
+CACHED_PARTS, CHUNK_BYTES = 500_000, 2_000_000
 #: The letters and numbers among the characters of plain texts, lower case.
 LETTERS, NUMBERS = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u017f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
 #: The tokenizer's own rule for cutting lower-case text into parts: what this finds, and the letters between.
@@ -107,7 +107,7 @@ def pieces(docs: DataFrame, tokenizer: str, room: int = ROOM, end_id: int = END_
         pa.set_cpu_count(1)  # a task has one core
         encode = _TOKENIZERS.get(tokenizer) or _TOKENIZERS.setdefault(tokenizer, Ids(tokenizer))
         end = np.asarray([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in slices(batches, 4000):
             texts = pc.fill_null(batch.column("text"), "")
             out: list[list] = [[], [], [], [], []]
             for doc, ids in zip(batch.column("doc_id").to_pylist(), encode(texts), strict=True):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docgrain.llm.common import text_batches
+from docgrain.llm.common import slices, text_batches
 
 KINDS = ("email", "ip", "card", "phone")
 LABELERS = ("form", "check", "gazetteer", "context", "edges")
@@ -291,7 +291,7 @@ def redacted(docs: DataFrame, model: SpanModel, accept: float = ACCEPT) -> DataF
 
     def swap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict = {}
-        for batch in batches:
+        for batch in slices(batches):
             at = batch.schema.get_field_index("text")
             texts = batch.column(at).to_pylist()
             new = []
