@@ -32,7 +32,7 @@ from docgrain.llm.common import components, discard, text_batches, written
 
 SHINGLE, PERCENT, BIN_BITS, BAND_BINS, BANDS = 2, 80, 7, 5, 25
 #: Open buckets of up to so many members are compared pair by pair; larger ones in blocks of so many.
-SMALL_BUCKET, BLOCK = 32, 2048
+SMALL_BUCKET, BLOCK = 32, 512
 CACHED_WORDS = 200_000
 
 
