@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from docgrain.llm import mixing, neardup, packing, pii, rules
 from docgrain.llm.common import read, written
 
+#: Words of a shingle of the near-duplicate stage; op8's contract (two words) binds that query only.
+SHINGLE = 5
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the forest reject go."""
@@ -19,8 +22,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays."""
-    return neardup.one_of_each(docs, written(neardup.near_duplicates(docs), "pipeline-neardup"))
+    """One document of each group stays; linked are those whose five-word shingles agree by 80 %."""
+    return neardup.one_of_each(docs, written(neardup.near_duplicates(docs, SHINGLE), "pipeline-neardup"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -218,6 +218,27 @@ def test_near_duplicates(spark, monkeypatch):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == plain_components(texts)
 
 
+def test_the_pipeline_links_by_five_words(spark):
+    pytest.importorskip("corpus_pipeline")
+    import corpus_pipeline
+
+    own = random.Random(8)
+    texts = []
+    for changes in (2, 4, 6, 8):
+        base = [f"w{own.randrange(5000)}" for _ in range(100)]
+        texts.append(" ".join(base))
+        for _ in range(8):
+            w = list(base)
+            for at in own.sample(range(100), changes):
+                w[at] = f"v{own.randrange(5000)}"
+            texts.append(" ".join(w))
+    texts += ["one two three", "One two three", "", texts[0]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    want = [i for i, _, comp in plain_components(texts, k=5) if i == comp]
+    assert got == want and len(want) > sum(i == comp for i, _, comp in plain_components(texts))
+
+
 def test_rare_rows_of_a_block_meet_all():
     import pandas as pd
 
