@@ -329,6 +329,19 @@ def test_main_text_of_marked_pages():
     assert boilerplate.settled(boilerplate.blocks(page)) == "Head\xadline One twothree four five six"
 
 
+@pytest.mark.parametrize("wrapper", ['div class="has-sidebar"', 'div class="page header-fixed"', 'div class="layout sidebar"', 'div id="form"', "form"])
+def test_layout_around_an_article_keeps_it(wrapper):
+    page = f"<{wrapper}><nav>menu</nav><article><h1>Head</h1><p>one two</p></article></{wrapper.split()[0]}>"
+    assert boilerplate.settled(boilerplate.blocks(page)) == "Head one two"
+
+
+def test_only_whole_names_are_set_apart_in_an_article():
+    page = """<article><div class="side-by-side">a</div><section id="related-work">b</section><div class="site-header_bar share-buttons">c</div>
+    <div class="comment-list"><article>reply</article></div><p>d</p></article><aside><article>teaser</article></aside><div class="related-posts"><article>more</article></div>"""
+    assert boilerplate.settled(boilerplate.blocks(page)) == "a b c d"
+    assert boilerplate.settled(boilerplate.blocks(page.replace("site-header_bar ", ""))) == "a b d"
+
+
 def test_repeats_are_removed_as_by_all_longer_repeats():
     pages = [[rng.choice("abcdefgh") for _ in range(40)] for _ in range(6)]
     pages[3][5:20] = pages[1][2:17]
