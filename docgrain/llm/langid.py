@@ -4,8 +4,9 @@ Each language has a zstandard raw-content dictionary, made of pieces of training
 text is compressed in blocks with every dictionary, and the language that leaves the fewest bytes wins;
 a narrow margin over the next is marked as rejected.
 
-The dictionaries are a bounded sample (`sampled` documents a language on average, `pieces` of
-`piece_bytes` each, `dictionary_bytes` in all); every text is compressed whole.
+The dictionaries are a bounded sample (`sampled` documents a language on average, `pieces` of at most
+`piece_bytes` each, `dictionary_bytes` in all): every sampled document gives a part of each of its pieces,
+copies count once, and the order is a seeded hash. Every text is compressed whole.
 
 Defined results: null text and text without a letter are `und` with score 0; without training texts all
 are `und`; ties go to the language with more training documents, then to the lesser name.
@@ -17,6 +18,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,8 +37,25 @@ def normal(text: str) -> bytes:
     return b" ".join(text.lower().encode("utf-8", "replace").translate(ASCII_LETTERS).split())
 
 
+def dictionary(documents: list[list[bytes]], limit: int = DICTIONARY_BYTES, piece_bytes: int = PIECE_BYTES) -> bytes:
+    """Each document's pieces, cut to the greatest common length at which all documents fit; equal ones once."""
+    distinct = sorted({tuple(d) for d in documents}, key=lambda d: (xxhash.xxh3_64_intdigest(b" ".join(d), seed=11), d))
+
+    def parts(length: int) -> dict[bytes, None]:
+        return dict.fromkeys(piece[:length] for d in distinct for piece in d)
+
+    low, high = 1, piece_bytes
+    while low < high:
+        middle = (low + high + 1) // 2
+        if sum(map(len, found := parts(middle))) + len(found) - 1 <= limit:
+            low = middle
+        else:
+            high = middle - 1
+    return b" ".join(parts(low))[:limit]
+
+
 def sampled_pieces(docs: DataFrame, per_language: int = SAMPLED, pieces: int = PIECES, piece_bytes: int = PIECE_BYTES) -> list[tuple[str, int, bytes]]:
-    """docs (doc_id, text, lang) of the training part -> (lang, documents, pieces joined)."""
+    """docs (doc_id, text, lang) of the training part -> (lang, documents, dictionary)."""
     counts = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES + 1).collect()}
     if not counts:
         return []
@@ -52,14 +71,14 @@ def sampled_pieces(docs: DataFrame, per_language: int = SAMPLED, pieces: int = P
             for text in texts:
                 data = normal(text)
                 starts = sorted({len(data) * k // pieces for k in range(pieces)})
-                out.append(b" ".join(data[a : a + piece_bytes] for a in starts if a < len(data)))
-            yield pa.record_batch([batch.column("lang"), pa.array(out, pa.binary())], names=["lang", "piece"])
-
-    rows = few.mapInArrow(cut, "lang string, piece binary").where("length(piece) > 0").collect()
-    joined: dict[str, list[bytes]] = {}
-    for lang, piece in sorted((r["lang"], bytes(r["piece"])) for r in rows):
-        joined.setdefault(lang, []).append(piece)
-    return [(k, n, b" ".join(joined[k])[:DICTIONARY_BYTES]) for k, n in counts.items() if k in joined]
+                out.append([data[a : a + piece_bytes] for a in starts if a < len(data)])
+            yield pa.record_batch([batch.column("lang"), pa.array(out, pa.list_(pa.binary()))], names=["lang", "pieces"])
+
+    rows = few.mapInArrow(cut, "lang string, pieces array<binary>").where("size(pieces) > 0").collect()
+    documents: dict[str, list[list[bytes]]] = {}
+    for r in rows:
+        documents.setdefault(r["lang"], []).append([bytes(p) for p in r["pieces"]])
+    return [(k, n, dictionary(documents[k], piece_bytes=piece_bytes)) for k, n in counts.items() if k in documents]
 
 
 class Compressors:

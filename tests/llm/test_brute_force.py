@@ -76,6 +76,17 @@ def test_languages_are_told_apart_by_compression():
     assert own("zzzz qqqq")[2]  # nothing to tell: rejected
 
 
+def test_every_sampled_document_is_in_the_dictionary(spark):
+    own = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = [c + d + " " + " ".join("".join(own.choice(letters) for _ in range(6)) for _ in range(300)) for c in letters for d in letters[:7]]
+    rows = [(i, t, "xx") for i, t in enumerate(texts + ["a hot text " * 200] * 60)]
+    ((lang, n, data),) = langid.sampled_pieces(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert (lang, n) == ("xx", len(rows)) and 28_000 < len(data) <= langid.DICTIONARY_BYTES
+    assert all(t[:20].encode() in data for t in texts)
+    assert data.count(b"a hot text a hot text") < 10
+
+
 def plain_statistics(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     windows = {}
