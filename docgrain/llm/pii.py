@@ -2,14 +2,20 @@
 
 Labelers (a regex form, a checksum, gazetteers, context words, what touches the span) vote on candidate
 spans. Expectation-maximisation over the vote patterns of the whole corpus estimates how reliable each
-labeler is and how likely each pattern marks personal data; a logistic span classifier is then trained on
-those soft labels, on votes and the span's shape. Fixed base patterns always count; the classifier adds
+labeler is and how likely each pattern marks personal data. A logistic span classifier is trained on those
+soft labels, on features of its own: the span's character pieces with digits and letters levelled, what
+touches it, and its neighbouring words, all hashed. It sees no votes, so it may take a span for which none
+was cast, or leave one that several were cast for. Fixed base patterns always count; the classifier adds
 spans that no base span of the text overlaps.
 
-Only counts by (kind, votes, shape) reach the driver: 3**5 vote patterns times 24 shapes a kind at most.
+The driver sees counts by (kind, votes), at most 3**5 a kind, and `SAMPLED` candidates a kind, drawn by a
+seeded hash, to fit the classifier.
 
 Defined results: null text is empty and has no spans; a corpus without candidates gives a model that
-adds none; rows that repeat a doc_id are each judged alone.
+adds none; rows that repeat a doc_id are each judged alone, and so is each of two equal texts; texts of any
+length are read whole, in time in proportion to it; of spans that begin at one place the longer one is
+redacted; of candidates that overlap, the first stays, ties go to the shorter, then to the lesser name of
+a kind. Other columns of docs, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -20,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +35,8 @@ from docgrain.llm.common import slices, text_batches
 KINDS = ("email", "ip", "card", "phone")
 LABELERS = ("form", "check", "gazetteer", "context", "edges")
 ACCEPT = 0.9
+#: Hashed features of a span; candidates of a kind that the classifier is fitted on; its ridge.
+SLOTS, SAMPLED, RIDGE = 512, 4_000, 1.0
 
 # Gazetteers and context words of the labelers.
 TLDS = frozenset("com org net edu gov mil int info biz io co ai app dev me tv de fr es it nl be ch at pt pl cz se no fi dk uk ie us ca mx br ar cl au nz in cn jp kr ru ua gr tr za".split())
@@ -42,6 +51,7 @@ NEAR = {
 FAR = re.compile(r"version|\bv\.?$|isbn|issn|order|invoice|serial|section|chapter|page|build|release|sku|\bno\.?\s*$", re.I)
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+LETTERS = re.compile(r"[^\W\d_]+")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 NOT_LOCAL = re.compile(r"[^A-Za-z0-9._%+-]")
 #: Every base match of the numeric kinds lies in such a zone: their characters are the zone's.
@@ -64,6 +74,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def below_256(part: str) -> bool:
+    """Of digits; compared as text, for a part may be longer than any number that int() takes."""
+    value = part.lstrip("0")
+    return len(value) < 3 or len(value) == 3 and value <= "255"
+
+
 def digits_of(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
@@ -97,7 +113,7 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
         if b - a < 7:  # the shortest ip; a card has 16 characters, a phone 8 digits
             continue
         for m in IP.finditer(text, a, b):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+            if all(below_256(p) for p in m.group().split(".")):
                 out["ip"].append(m.span())
         for m in CARD.finditer(text, a, b):
             d = digits_of(m.group())
@@ -146,9 +162,10 @@ def votes(kind: str, text: str, a: int, b: int) -> tuple[int, ...]:
         gazetteer = 1 if parts[-1] in TLDS else -1
     elif kind == "ip":
         parts = re.split(r"\[?\.\]?", s)
-        form = 1 if all(p == str(int(p)) for p in parts) else -1
-        check = 1 if all(int(p) <= 255 for p in parts) else -1
-        gazetteer = -1 if parts[0] in ("0", "127", "255") or int(parts[0]) > 239 else 1
+        form = 1 if all(p == "0" or p[0] != "0" for p in parts) else -1
+        check = 1 if all(map(below_256, parts)) else -1
+        first = parts[0].lstrip("0").rjust(3, "0")
+        gazetteer = -1 if first in ("000", "127") or len(first) > 3 or first > "239" else 1
     elif kind == "card":
         form = 1 if re.fullmatch(r"[0-9]{16}|(?:[0-9]{4}[ -]){3}[0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}", s) else 0
         check = 1 if luhn(d) else -1
@@ -163,25 +180,34 @@ def votes(kind: str, text: str, a: int, b: int) -> tuple[int, ...]:
     return form, check, gazetteer, context, -1 if touching else 1
 
 
-def shape(text: str, a: int, b: int) -> int:
-    """Length in four steps, by the separators in the span: 24 shapes."""
-    s = text[a:b]
-    marks = 0 if s.isalnum() else 1 if " " in s and "-" in s else 2 if " " in s else 3 if "-" in s else 4 if "." in s else 5
-    return marks * 4 + min(3, len(s) // 8)
+def level(s: str) -> str:
+    """Digits as 0, letters as a or A, the rest as it is."""
+    return "".join("0" if c.isdigit() else ("A" if c.isupper() else "a") if c.isalpha() else c for c in s)
+
+
+def features(kind: str, text: str, a: int, b: int) -> list[int]:
+    """Slots of the span's own look and of its neighbours; the kind is in each."""
+    s = level(text[a : min(b, a + 64)])
+    before, after = text[max(0, a - 64) : a], text[b : b + 64]
+    last, first = (LETTERS.findall(before.lower())[-2:], LETTERS.findall(after.lower())[:1])
+    found = [f"len {min(b - a, 64) // 4}", f"digits {min(20, sum(c == '0' for c in s))}", f"touch {level(before[-1:])}|{level(after[:1])}"]
+    found += [f"look {p}" for p in {s[i : i + 3] for i in range(max(1, len(s) - 2))}]
+    found += [f"before {w[:12]}" for w in last] + [f"after {w[:12]}" for w in first]
+    return sorted({xxhash.xxh3_64_intdigest(f"{kind} {f}".encode("utf-8", "replace")) % SLOTS for f in found})
 
 
-def candidates(text: str) -> list[tuple[str, int, int, bool, str, int]]:
-    """(kind, start, end, is base, votes, shape) for every candidate, in order of kind and start."""
+def candidates(text: str) -> list[tuple[str, int, int, bool, str, list[int]]]:
+    """(kind, start, end, is base, votes, slots) for every candidate, in order of kind and start."""
     base = base_spans(text)
     out = [(k, a, b, True) for k in KINDS for a, b in base[k]] + [(k, a, b, False) for k, a, b in more_spans(text, base)]
     out.sort(key=lambda c: (KINDS.index(c[0]), c[1], c[2]))
-    return [(k, a, b, own, ",".join(map(str, votes(k, text, a, b))), shape(text, a, b)) for k, a, b, own in out]
+    return [(k, a, b, own, ",".join(map(str, votes(k, text, a, b))), features(k, text, a, b)) for k, a, b, own in out]
 
 
 def candidate_rows(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> doc_id, found: array of candidates; whole texts, one row for each row."""
-    kind = "struct<kind:string,a:long,b:long,base:boolean,votes:string,shape:int>"
-    item = pa.struct([("kind", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("base", pa.bool_()), ("votes", pa.string()), ("shape", pa.int32())])
+    kind = "struct<kind:string,a:long,b:long,base:boolean,votes:string,slots:array<int>>"
+    item = pa.struct([("kind", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("base", pa.bool_()), ("votes", pa.string()), ("slots", pa.list_(pa.int32()))])
     names = [f.name for f in item]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,22 +224,16 @@ class SpanModel:
 
     def __init__(self):
         self.reliability: dict[str, np.ndarray] = {}
+        self.likely: dict[tuple[str, str], float] = {}
         self.weights: dict[str, np.ndarray] = {}
 
-    @staticmethod
-    def inputs(patterns: np.ndarray, shapes: np.ndarray) -> np.ndarray:
-        """Intercept, each vote as two indicators, the shape as indicators."""
-        ind = np.concatenate([patterns > 0, patterns < 0], axis=1).astype(float)
-        return np.concatenate([np.ones((len(patterns), 1)), ind, 0.5 * np.eye(24)[shapes]], axis=1)
-
-    def fit(self, rows: list[tuple[str, str, int, int]], rounds: int = 50) -> SpanModel:
-        """rows: (kind, votes, shape, count)."""
+    def weigh(self, rows: list[tuple[str, str, int]], rounds: int = 50) -> SpanModel:
+        """The label model; rows: (kind, votes, count)."""
         for kind in KINDS:
             own = [r for r in rows if r[0] == kind]
             if not own:
                 continue
-            patterns = np.array([[int(v) for v in r[1].split(",")] for r in own])
-            shapes, counts = np.array([r[2] for r in own]), np.array([r[3] for r in own], float)
+            patterns, counts = np.array([[int(v) for v in r[1].split(",")] for r in own]), np.array([r[2] for r in own], float)
             # Start from the majority; then class priors and each labeler's votes by class, in turn.
             p = 1 / (1 + np.exp(-1.5 * patterns.sum(axis=1)))
             for _ in range(rounds):
@@ -227,51 +247,69 @@ class SpanModel:
                     if q is p:
                         self.reliability[kind] = by_vote
                 p = 1 / (1 + np.exp(np.clip(log[1] - log[0], -50, 50)))
-            x, w = self.inputs(patterns, shapes), np.zeros(1 + 2 * len(LABELERS) + 24)
-            share = counts / counts.sum()
-            for _ in range(400):  # full-batch gradient steps on the convex loss, lightly regularised
-                q = 1 / (1 + np.exp(-x @ w))
-                w -= 1.0 * (x.T @ (share * (q - p)) + 1e-4 * w)
+            self.likely |= {(kind, r[1]): float(x) for r, x in zip(own, p, strict=True)}
+        return self
+
+    def fit(self, sample: list[tuple[str, str, list[int]]], steps: int = 12) -> SpanModel:
+        """The classifier, by Newton's steps with a ridge; sample: (kind, votes, slots) of candidates."""
+        for kind in KINDS:
+            own = [r for r in sample if r[0] == kind]
+            if not own:
+                continue
+            x, p = np.zeros((len(own), SLOTS + 1)), np.array([self.likely[r[0], r[1]] for r in own])
+            for i, (_, _, slots) in enumerate(own):
+                x[i, slots] = 1
+            x[:, -1] = 1
+            w, pull = np.zeros(SLOTS + 1), np.full(SLOTS + 1, RIDGE)
+            pull[-1] = 1e-3
+            for _ in range(steps):
+                q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+                h = (x * (q * (1 - q) + 1e-6)[:, None]).T @ x + np.diag(pull)
+                step = np.linalg.solve(h, x.T @ (q - p) + pull * w)
+                w -= step
+                if np.abs(step).max() < 1e-6:
+                    break
             self.weights[kind] = w
         return self
 
-    def probability(self, kind: str, pattern: str, shape: int) -> float:
+    def probability(self, kind: str, slots: list[int]) -> float:
         if kind not in self.weights:
             return 0.0
-        x = self.inputs(np.array([[int(v) for v in pattern.split(",")]]), np.array([shape]))
-        return float(1 / (1 + np.exp(-(x @ self.weights[kind])[0])))
-
-
-def fit(found: DataFrame) -> SpanModel:
-    """found: candidate_rows(); all of its candidates count."""
-    counts = found.select(F.explode("found").alias("c")).groupBy("c.kind", "c.votes", "c.shape").count()
-    return SpanModel().fit([tuple(r) for r in counts.orderBy("kind", "votes", "shape").collect()])
-
-
-def chosen(found: list, model: SpanModel, accept: float = ACCEPT, seen: dict | None = None) -> list[tuple[str, int, int]]:
+        w = self.weights[kind]
+        return float(1 / (1 + np.exp(-np.clip(w[slots].sum() + w[-1], -30, 30))))
+
+
+def fit(found: DataFrame, sampled: int = SAMPLED) -> SpanModel:
+    """found: candidate_rows(); all of its candidates count for the label model."""
+    each = found.select(F.explode("found").alias("c")).select("c.kind", "c.votes", "c.slots")
+    counts = [tuple(r) for r in each.groupBy("kind", "votes").count().orderBy("kind", "votes").collect()]
+    n = {k: sum(r[2] for r in counts if r[0] == k) for k in KINDS}
+    sample = []
+    for kind in [k for k in KINDS if n[k]]:
+        # A share that surely holds the sample, so that only about so many rows are ordered.
+        share = min(1.0, 2 * sampled / n[kind])
+        own = found.select("doc_id", F.posexplode("found").alias("at", "c")).where(F.col("c.kind") == kind)
+        unit = F.xxhash64("doc_id", "at", F.col("c.a"), F.lit(17))
+        few = own.select("c.kind", "c.votes", "c.slots", unit.alias("u")).where(F.pmod("u", F.lit(1_000_003)) <= share * 1_000_003)
+        sample += [(r["kind"], r["votes"], list(r["slots"])) for r in few.orderBy("u", "votes", "slots").limit(sampled).collect()]
+    return SpanModel().weigh(counts).fit(sample)
+
+
+def chosen(found: list, model: SpanModel, accept: float = ACCEPT) -> list[tuple[str, int, int]]:
     """The spans of a document: base ones, and the others that the classifier accepts."""
-    seen = {} if seen is None else seen
-    out = []
-    for kind, a, b, base, pattern, form in found:
-        key = (kind, pattern, form)
-        if not base and key not in seen:
-            seen[key] = model.probability(*key)
-        if base or seen[key] >= accept:
-            out.append((kind, a, b))
-    return out
+    return [(kind, a, b) for kind, a, b, base, _, slots in found if base or model.probability(kind, slots) >= accept]
 
 
 def spans(found: DataFrame, model: SpanModel, accept: float = ACCEPT) -> DataFrame:
     """candidate_rows() -> doc_id, n_email, n_ip, n_card, n_phone (base), base_sha256, spans, n_added."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict = {}
         for batch in batches:
             out: list[list] = [[] for _ in range(7)]
             for row in batch.column("found").to_pylist():
-                items = [(c["kind"], c["a"], c["b"], c["base"], c["votes"], c["shape"]) for c in row]
+                items = [(c["kind"], c["a"], c["b"], c["base"], c["votes"], c["slots"]) for c in row]
                 base = [c[:3] for c in items if c[3]]
-                all_ = chosen(items, model, accept, seen)
+                all_ = chosen(items, model, accept)
                 text = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
                 values = [*(sum(c[0] == k for c in base) for k in KINDS), hashlib.sha256(text.encode()).hexdigest(), ",".join(f"{k}:{a}:{b}" for k, a, b in all_), len(all_) - len(base)]
                 for column, value in zip(out, values, strict=True):
@@ -290,19 +328,16 @@ def redacted(docs: DataFrame, model: SpanModel, accept: float = ACCEPT) -> DataF
     schema = docs.schema
 
     def swap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict = {}
         for batch in slices(batches):
             at = batch.schema.get_field_index("text")
             texts = batch.column(at).to_pylist()
             new = []
             for text in texts:
                 parts, end = [], 0
-                for kind, a, b in sorted(chosen(candidates(text or ""), model, accept, seen), key=lambda s: (s[1], -s[2])):
+                for kind, a, b in sorted(chosen(candidates(text or ""), model, accept), key=lambda s: (s[1], -s[2])):
                     if a >= end:
                         parts += [text[end:a], f"<{kind}>"]
-                    elif b > end:  # overlaps the span before: its rest goes too
-                        pass
-                    end = max(end, b)
+                    end = max(end, b)  # what overlaps the span before goes with it
                 new.append(text if not parts else "".join(parts) + text[end:])
             columns = list(batch.columns)
             columns[at] = pa.array(new, batch.schema.field(at).type)
