@@ -1,8 +1,10 @@
 """Operators against plain definitions on small inputs."""
 
 import hashlib
+import math
 import random
 import re
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -356,20 +358,44 @@ def test_applied_mix_repeats_rows(spark):
 # Search
 
 
-def test_exact_top_k(spark):
-    rows = [(i, [float(rng.choice([0.25, -0.5, 1.0, 0.013])) for _ in range(6)]) for i in range(900)] + [(900 + i, [0.25] * 6) for i in range(300)]
-    got = voronoi.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
-    x = np.floor(np.array([r[1] for r in rows], np.float32).astype(float) * 1024).astype(int)
-    want = []
-    for q in range(0, 1200, 100):
-        order = sorted((i for i in range(1200) if i != q), key=lambda i: (-(x[q] @ x[i]), i))[:10]
-        want += [(q, k + 1, i, int(x[q] @ x[i])) for k, i in enumerate(order)]
-    assert sorted(map(tuple, got)) == want
+def plain_top_k(rows, k=10):
+    """Exact integers, every pair; queries and candidates are rows."""
+    fine = [(i, [math.floor(1024 * Fraction(v)) for v in x]) for i, x in rows if i is not None and x is not None and all(v is not None and math.isfinite(v) for v in x)]
+    out = []
+    for a, (q, x) in enumerate(fine):
+        if q % 100 == 0:
+            scores = [(sum(m * n for m, n in zip(x, y, strict=False)), i) for b, (i, y) in enumerate(fine) if b != a]
+            for rank, (s, i) in enumerate(sorted(scores, key=lambda c: (-c[0], c[1]))[:k]):
+                out.append((q, rank + 1, i, max(-voronoi.LONG, min(voronoi.LONG, s))))
+    return sorted(out)
 
 
-def test_large_products_are_exact():
-    q, x = np.array([[2**40, 3]]), np.array([[2**21, 1], [2**21, 2]])
-    assert voronoi.products(q, x).tolist() == [[2**61 + 3, 2**61 + 6]]
+def test_exact_top_k(spark):
+    rows = [(i, [float(rng.choice([0.25, -0.5, 1.0, 0.0625])) for _ in range(6)]) for i in range(900)] + [(900 + i, [0.25] * 6) for i in range(300)]
+    got = voronoi.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert sorted(map(tuple, got)) == plain_top_k(rows)
+
+
+def test_top_k_of_odd_vectors(spark):
+    """Repeated ids, zeros, other lengths, huge and non-finite components, null ids and vectors."""
+    own = random.Random(6)
+    rows = [(i, [float(own.choice([0.0, 0.5, -0.5, 1.0])) for _ in range(4)]) for i in range(250)]
+    rows += [(0, [1.0, 0.5, 0.5, 0.0]), rows[0], rows[100], (100, [1e16, 0.0, 0.0, 0.0]), (7, [2.0**60, -(2.0**60), 1.0, 0.0]), (300, [0.0] * 4), (400, [-(2.0**50)] * 4)]
+    rows += [(500, [1.0]), (501, [1.0, 2.0, 0.5, 0.25, 8.0, 1.0]), (600, []), (None, [1.0] * 4), (8, None), (9, [None, 1.0, 1.0, 1.0]), (10, [float("nan")] * 4), (11, [float("inf"), 0.0, 0.0, 0.0])]
+    got = voronoi.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)).collect()
+    assert sorted(map(tuple, got)) == plain_top_k(rows)
+    assert any(r["vec_id"] == 100 for r in got) and sum(r["query_id"] == 0 and r["rank"] == 1 for r in got) == 3
+
+
+def test_bounds_spare_pairs_of_clustered_vectors(spark):
+    g = np.random.default_rng(4)
+    centres = g.normal(0, 1, (60, 64))
+    x = (centres[np.arange(3000) % 60] + g.normal(0, 0.25, (3000, 64))) * g.choice([0.25, 1.0], (3000, 1))
+    rows = [(int(i), [float(np.float32(v)) for v in r]) for i, r in zip(g.permutation(3000), x, strict=True)]
+    report: dict = {}
+    got = voronoi.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), report=report).collect()
+    assert sorted(map(tuple, got)) == plain_top_k(rows)
+    assert report["pairs"] == 30 * 3000 and report["visited"] < 0.5 * report["pairs"]
 
 
 # Pages

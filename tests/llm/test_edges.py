@@ -1,5 +1,6 @@
 """Every operator's query, and the pipeline, on odd and on empty tables."""
 
+import math
 import random
 
 import pytest
@@ -116,6 +117,17 @@ def test_pages(spark, odd):
     )
 
 
+def test_top_k_of_the_odd_table(spark, odd):
+    vectors = [tuple(r) for r in spark.read.parquet(f"{odd}/embeddings.parquet").select("vec_id", "embedding").collect()]
+    fine = [(i, [math.floor(1024 * v) for v in x]) for i, x in vectors if i is not None and x is not None and all(v is not None and math.isfinite(v) for v in x)]
+    want = []
+    for a, (q, x) in enumerate(fine):
+        if q % 100 == 0:
+            scores = sorted((-sum(m * n for m, n in zip(x, y, strict=False)), i) for b, (i, y) in enumerate(fine) if b != a)
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scores[:10])]
+    assert sorted(map(tuple, QUERIES["op7_voronoi_topk"](spark, odd).collect())) == sorted(want)
+
+
 def test_near_duplicates_of_odd_rows(spark, odd):
     rows = {r["doc_id"]: r for r in QUERIES["op8_minhash_neardup"](spark, odd).collect() if r["doc_id"] is not None}
     assert [rows[i]["component_id"] for i in (0, 1, 2)] == [0, 0, 0] and not rows[1]["kept"] and not rows[2]["kept"]
