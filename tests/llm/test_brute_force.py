@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from fractions import Fraction
 
 import numpy as np
@@ -401,37 +402,99 @@ def test_bounds_spare_pairs_of_clustered_vectors(spark):
 # Pages
 
 
+def texts_of(pages):
+    """The operator's steps on one host's pages, without Spark."""
+    cut = [[(t.split(), s) for t, s in boilerplate.blocks(p)] for p in pages]
+    return [boilerplate.decided(c, g)[0] for c, g in zip(cut, boilerplate.repeats([[b for b, _ in c] for c in cut]), strict=True)]
+
+
+def alone(page):
+    return texts_of([page])[0]
+
+
 def test_main_text_of_marked_pages():
     page = """<!DOCTYPE html><head><title>t</title><style>p{}</style></head><body><header>site</header><nav><li>menu</nav>
     <main><header><h1>Head&shy;line</h1></header><p>One&nbsp; two<b>three</b><!-- no --><p>four<br>five <a href="a>b">six</a>
     <aside>side</aside><div class="cookie-notice">cookies</div><form>f<input></form><section id="comments"><p>first!</p></section>
     <script>if (a < b) { "</p>" }</script></p></main><footer>foot</footer></body>"""
-    assert boilerplate.settled(boilerplate.blocks(page)) == "Head\xadline One twothree four five six"
+    assert alone(page) == "Head\xadline One twothree four five six"
 
 
 @pytest.mark.parametrize("wrapper", ['div class="has-sidebar"', 'div class="page header-fixed"', 'div class="layout sidebar"', 'div id="form"', "form"])
 def test_layout_around_an_article_keeps_it(wrapper):
     page = f"<{wrapper}><nav>menu</nav><article><h1>Head</h1><p>one two</p></article></{wrapper.split()[0]}>"
-    assert boilerplate.settled(boilerplate.blocks(page)) == "Head one two"
+    assert alone(page) == "Head one two"
 
 
 def test_only_whole_names_are_set_apart_in_an_article():
     page = """<article><div class="side-by-side">a</div><section id="related-work">b</section><div class="site-header_bar share-buttons">c</div>
     <div class="comment-list"><article>reply</article></div><p>d</p></article><aside><article>teaser</article></aside><div class="related-posts"><article>more</article></div>"""
-    assert boilerplate.settled(boilerplate.blocks(page)) == "a b c d"
-    assert boilerplate.settled(boilerplate.blocks(page.replace("site-header_bar ", ""))) == "a b d"
-
-
-def test_repeats_are_removed_as_by_all_longer_repeats():
-    pages = [[rng.choice("abcdefgh") for _ in range(40)] for _ in range(6)]
-    pages[3][5:20] = pages[1][2:17]
-    keys = [boilerplate.suffix_keys(p) for p in pages]
-    for i, p in enumerate(pages):
-        starts = [a for a, k in enumerate(keys[i]) if any(k in keys[j] for j in range(6) if j != i)]
+    assert alone(page) == "a b c d"
+    assert alone(page.replace("site-header_bar ", "")) == "a b d"
+
+
+def plain_repeats(pages, share, depth):
+    """Every stretch of marked tokens against every other page: of `depth` tokens, or a whole block."""
+    distinct = sorted({tuple(tuple(b) for b in p) for p in pages})
+    least = max(2, math.ceil(share * len(distinct) - 1e-9))
+    marked = lambda p: [0, *(x for b in p for x in (*b, 0))]
+    streams, out = [marked(p) for p in distinct], []
+    holds = lambda part: sum(any(s[i : i + len(part)] == part for i in range(len(s) - len(part) + 1)) for s in streams)
+    for p in pages:
+        s = marked(p)
         gone = set()
-        others = [" ".join(pages[j]) for j in range(6) if j != i]
-        for a in range(40):
-            for b in range(a + boilerplate.WINDOW, 41):
-                if any(" ".join(p[a:b]) in o for o in others):
+        for a in range(len(s)):
+            ends = [a + depth] if a + depth <= len(s) else []
+            if s[a] == 0 and 0 in s[a + 1 :]:
+                ends.append(s.index(0, a + 1) + 1)
+            for b in ends:
+                if holds(s[a:b]) >= least:
                     gone |= set(range(a, b))
-        assert boilerplate.unique_runs(p, starts) == " ".join(t for a, t in enumerate(p) if a not in gone)
+        out.append([i in gone for i, t in enumerate(s) if t != 0])
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_repeats_equal_a_comparison_of_all_stretches(seed):
+    own = random.Random(seed)
+    word = lambda n: [own.choice("abcdefgh"[: 2 + seed]) for _ in range(n)]
+    common = [word(own.randrange(1, 14)) for _ in range(4)]
+    pages = [[own.choice(common) if own.random() < 0.4 else word(own.randrange(1, 12)) for _ in range(own.randrange(7))] for _ in range(9)]
+    pages += [pages[0], []]
+    got = boilerplate.repeats(pages, 0.25, 8)
+    assert [g.tolist() for g in got] == plain_repeats(pages, 0.25, 8)
+
+
+def test_shared_short_phrases_and_mirrored_pages_stay():
+    body = lambda w: f"<p>it came {w} in the middle of the year and {w * 2} went</p><p>{w} said that {w * 3} would stay</p>"
+    foot = "<div>All rights belong to their owners, see the terms</div>"
+    pages = [body(w) + foot for w in ("one", "two", "six")]
+    want = [" ".join(re.sub("<[^>]*>", " ", body(w)).split()) for w in ("one", "two", "six")]
+    assert texts_of(pages) == want
+    assert texts_of([*pages, pages[0]]) == [*want, want[0]]
+
+
+def test_a_teaser_does_not_displace_the_story():
+    pages = [f"<div><p>{'story %s ' % w * 20}</p></div><article>teaser {w}</article><div>menu of all pages</div>" for w in ("a", "b", "c")]
+    assert texts_of(pages)[0] == " ".join(["story a"] * 20) + " teaser a"
+
+
+def test_articles_keep_what_they_share():
+    passage = " ".join(f"w{i}" for i in range(60))
+    pages = [f"<nav>one menu</nav><article><p>{passage}</p><p>own {w}</p></article>" for w in "abcd"]
+    assert texts_of(pages) == [f"{passage} own {w}" for w in "abcd"]
+
+
+def test_nested_and_stray_tags_take_time_in_proportion():
+    began = time.time()
+    assert boilerplate.blocks("<div>" * 50_000 + "x" + "</section>" * 50_000) == [("x", boilerplate.OPEN)]
+    assert time.time() - began < 2
+
+
+def test_groups_of_a_large_host(spark, monkeypatch):
+    monkeypatch.setattr(boilerplate, "PAGES", 16)
+    rows = [(i, f"http://big.example/{i}" if i % 4 else f"https://small{i}.example:80/", f"<div>the same menu here</div><p>own words of {i}</p>") for i in range(200)]
+    got = {r["page_id"]: r for r in boilerplate.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == 200
+    assert all(got[i]["text"] == ("" if i % 4 else "the same menu here ") + f"own words of {i}" for i in got)
+    assert all(got[i]["n_by_repeats"] == (4 if i % 4 else 0) for i in got)
