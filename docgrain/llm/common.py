@@ -8,7 +8,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,6 +77,27 @@ def text_batches(batches: Iterator[pa.RecordBatch], kind: pa.DataType = pa.strin
         yield batch, [empty if t is None else t for t in texts]
 
 
+def by_bytes(batches: Iterator[pa.RecordBatch], most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of at most 1,000 rows and `most` bytes of their column `text` (one longer text stands alone)."""
+    for batch in slices(batches):
+        texts = batch.column(batch.schema.get_field_index("text"))
+        upto = np.cumsum(np.nan_to_num(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(float)))
+        a = 0
+        while a < batch.num_rows:
+            b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + most, "right")))
+            yield batch.slice(a, b - a)
+            a = b
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, pick, rows: int, seed: int, columns: tuple[str, ...]) -> DataFrame:
+    """doc_id, label and `columns` of docs, of at most `rows` labelled documents, by hash order: one row a doc_id (the least,
+    and of its labels what `pick` picks), so that what is collected of them is bounded too."""
+    few = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(pick(label).cast("int").alias("label"))
+    few = few.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(rows)
+    joined = docs.select("doc_id", *columns).join(F.broadcast(few), "doc_id")
+    return joined.groupBy("doc_id", "label").agg(F.min(F.struct(*columns)).alias("one")).select(F.col("doc_id").cast("long").alias("doc_id"), "label", "one.*")
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(id, comp): the smallest id reachable over edges (src, dst), for ids that have an edge.
 

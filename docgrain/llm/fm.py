@@ -9,7 +9,9 @@ The machine is fitted on a bounded sample of labelled training rows (`LABELLED`,
 are read and scored whole.
 
 Defined results: null text is empty and is scored by its structure alone; without labelled rows every
-score is 0.5; rows that repeat a doc_id are scored each alone; of repeated labels the lowest counts.
+score is 0.5; rows that repeat a doc_id are scored each alone, and in the fit the least of them counts; of
+repeated labels the lowest counts; a text of any length is one row of at most 2**14 features; a score of just
+the threshold is predicted 1; columns other than doc_id, text, n_chars and held_out are not read.
 """
 
 from __future__ import annotations
@@ -22,15 +24,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docgrain.llm.common import text_batches
+from docgrain.llm.common import labelled_texts, text_batches
 
-LABELLED, BITS, RANK, EPOCHS, RATE, THRESHOLD, CACHED_WORDS = 6_000, 14, 4, 12, 0.05, 0.3, 400_000
+LABELLED, BITS, RANK, EPOCHS, RATE, THRESHOLD, CACHED_WORDS, CACHED_BYTES = 6_000, 14, 4, 12, 0.05, 0.3, 400_000, 64
 STRUCTURE = 12
 UPPER, DIGITS = bytes(range(65, 91)), bytes(range(48, 58))
 
 
 class Slots(dict):
-    """word -> slot by hash; a bounded cache."""
+    """word -> slot by hash; a bounded cache of words of bounded length."""
 
     def __init__(self, bits: int):
         super().__init__()
@@ -39,7 +41,9 @@ class Slots(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > CACHED_WORDS:
             self.clear()
-        self[word] = slot = xxhash.xxh3_64_intdigest(word.strip(b".,;:!?|()[]\"'#*$%&").lower()) & self.mask
+        slot = xxhash.xxh3_64_intdigest(word.strip(b".,;:!?|()[]\"'#*$%&").lower()) & self.mask
+        if len(word) <= CACHED_BYTES:
+            self[word] = slot
         return slot
 
 
@@ -114,8 +118,7 @@ class Machine:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", labelled: int = LABELLED) -> Machine | None:
     """docs (doc_id, text, n_chars) of the training part; labels (doc_id, label)."""
-    few = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.min(label).cast("int").alias("label"))
-    few = few.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(labelled)
+    few = labelled_texts(docs, labels, label, F.min, labelled, 5, ("text", "n_chars"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = Slots(BITS)
@@ -126,9 +129,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", labelled: in
                 names=["doc_id", "label", "at", "value"],
             )
 
-    joined = docs.select("doc_id", "text", "n_chars").join(F.broadcast(few), "doc_id").select("doc_id", "text", "n_chars", "label")
-    rows = joined.mapInArrow(measure, "doc_id long, label int, at binary, value binary").collect()
-    rows.sort(key=lambda r: (r["doc_id"], bytes(r["at"])))
+    rows = few.mapInArrow(measure, "doc_id long, label int, at binary, value binary").collect()
+    rows.sort(key=lambda r: r["doc_id"])
     if not rows:
         return None
     points = [(np.frombuffer(r["at"], "i4"), np.frombuffer(r["value"], "f4").astype(float)) for r in rows]

@@ -9,7 +9,12 @@ The dictionaries are a bounded sample (`sampled` documents a language on average
 copies count once, and the order is a seeded hash. Every text is compressed whole.
 
 Defined results: null text and text without a letter are `und` with score 0; without training texts all
-are `und`; ties go to the language with more training documents, then to the lesser name.
+are `und`; ties go to the language with more training documents, then to the lesser name; repeated rows are each judged
+alone, and count each in the sample, where equal pieces are taken once; texts of any length are compressed whole, block by
+block; columns other than doc_id, text, held_out and (for the sample) lang are not read.
+
+Of more than `MOST_LANGUAGES` values of lang the most frequent ones have a dictionary; documents of the others are
+given one of those.
 """
 
 from __future__ import annotations
@@ -56,14 +61,12 @@ def dictionary(documents: list[list[bytes]], limit: int = DICTIONARY_BYTES, piec
 
 def sampled_pieces(docs: DataFrame, per_language: int = SAMPLED, pieces: int = PIECES, piece_bytes: int = PIECE_BYTES) -> list[tuple[str, int, bytes]]:
     """docs (doc_id, text, lang) of the training part -> (lang, documents, dictionary)."""
-    counts = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES + 1).collect()}
+    counts = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
     if not counts:
         return []
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     shares = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, per_language / n)))])
     unit = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_003)) / 1_000_003.0
-    few = docs.where(unit < F.element_at(shares, F.col("lang"))).select("lang", "text")
+    few = docs.where(unit < F.try_element_at(shares, F.col("lang"))).select("lang", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_batches(batches):

@@ -33,7 +33,7 @@ from docgrain.llm.common import components, discard, text_batches, written
 SHINGLE, PERCENT, BIN_BITS, BAND_BINS, BANDS = 2, 80, 7, 5, 25
 #: Open buckets of up to so many members are compared pair by pair; larger ones in blocks of so many.
 SMALL_BUCKET, BLOCK = 32, 512
-CACHED_WORDS = 200_000
+CACHED_WORDS, CACHED_BYTES = 200_000, 64
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -44,12 +44,14 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Hashes(dict):
-    """word -> 64-bit hash; a bounded cache, one a partition."""
+    """word -> 64-bit hash; a bounded cache of words of bounded length, one a partition."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= CACHED_WORDS:
             self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= CACHED_BYTES:
+            self[word] = h
         return h
 
 

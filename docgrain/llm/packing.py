@@ -10,7 +10,9 @@ A group holds `group_items` items on average whatever the input, so no task grow
 row carries its bin and its offset there; a round moves a bin by moving its rows, found by a join.
 
 Defined results: null or empty text is the end id alone; an empty table packs into nothing; rows that
-repeat a doc_id are packed each on its own (they carry equal (doc_id, piece) labels).
+repeat a doc_id are packed each on its own (they carry equal (doc_id, piece) labels); texts of any length are
+encoded whole; of bins that fit equally well the one that was last changed takes a piece; columns of docs other than
+doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from docgrain.llm.common import slices, written
 
 ROOM, END_ID, GROUP_ITEMS, NEARLY_FULL = 4096, 1, 20_000, 4080
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, row long"
-CACHED_PARTS, CHUNK_BYTES = 500_000, 2_000_000
+CACHED_PARTS, CACHED_BYTES, CHUNK_BYTES = 500_000, 64, 2_000_000
 #: The letters and numbers among the characters of plain texts, lower case.
 LETTERS, NUMBERS = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u017f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
 #: The tokenizer's own rule for cutting lower-case text into parts: what this finds, and the letters between.
@@ -76,9 +78,12 @@ class Ids:
         if len(self.parts) > CACHED_PARTS:
             self.parts.clear()
         known = self.parts
-        self.learn([p for p in names if p and p not in known])
         known[""] = b""
+        self.learn([p for p in names if p not in known])
         each = [known[p] for p in names]
+        for p in names:
+            if len(p) > CACHED_BYTES:  # long parts are not kept beyond their chunk
+                known.pop(p, None)
         sizes = np.fromiter(map(len, each), "i8", len(each)) // 4
         ids = np.frombuffer(b"".join(each), "<u4")
         codes = coded.indices.to_numpy(zero_copy_only=False)

@@ -11,7 +11,9 @@ labels by hash order; it is all that the driver sees.
 
 Defined results: null text has no words and fails the base rules; without labelled rows of good quality
 there is no forest and the base rules alone decide; without rows of bad quality only `most_lost` sets
-the threshold; repeated rows are each judged alone, of repeated labels the lowest counts.
+the threshold; repeated rows are each judged alone, and in the fit the least text of a doc_id and the lowest of its
+labels count; a score of just the threshold is kept; texts of any length are read whole; columns of docs other
+than doc_id and text are not read (`passing` hands all of them on).
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docgrain.llm.common import text_batches
+from docgrain.llm.common import labelled_texts, text_batches
 
 LABELLED, TREES, TREE_ROWS, MOST_LOST = 20_000, 100, 256, 0.005
 LEAST_MARGIN = 0.02
@@ -130,8 +132,7 @@ class Forest:
 
 def sample(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = LABELLED) -> pd.DataFrame:
     """At most `rows` labelled documents (by hash order): their statistics and label."""
-    few = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.min(label).cast("int").alias("label"))
-    few = few.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(rows)
+    few = labelled_texts(docs, labels, label, F.min, rows, 3, ("text",))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_batches(batches, pa.binary()):
@@ -140,8 +141,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
             fails = pa.array([base_fails(b[0], b[4]) for b, _ in found], pa.bool_())
             yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), batch.column("label"), fails, point], names=["doc_id", "label", "fails", "point"])
 
-    joined = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("doc_id", "text", "label")
-    return joined.mapInArrow(measure, "doc_id long, label int, fails boolean, point array<double>").toPandas().sort_values("doc_id", kind="stable")
+    return few.mapInArrow(measure, "doc_id long, label int, fails boolean, point array<double>").toPandas().sort_values("doc_id", kind="stable")
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_lost: float = MOST_LOST) -> Forest | None:

@@ -5,10 +5,13 @@ import math
 import random
 import re
 import time
+import zlib
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("docgrain.llm.queries")
 from docgrain.llm import boilerplate, chains, fm, langid, mixing, neardup, packing, pii, rules, voronoi
@@ -184,11 +187,167 @@ def test_the_chain_finds_planted_words():
             w[rng.randrange(60)] = rng.choice(["grobian", "schuft"])
         texts.append(" ".join(w))
         labels.append([float(i % 4 == 0)] * 2)
-    cache = chains.Slots()
-    rows = [chains.features(t.encode(), cache) for t in texts]
-    fitted = chains.Chain(["first", "toxic"]).fit(rows[:400], np.array(labels[:400]))
-    got = [fitted.probabilities(r)[-1] >= fitted.threshold for r in rows[400:]]
-    assert np.mean([g == bool(y[0]) for g, y in zip(got, labels[400:], strict=True)]) > 0.98
+    row, slot, value = chains.features(pa.array(texts), chains.Slots())
+    bounds = np.searchsorted(row, np.arange(len(texts) + 1))
+    rows = chains.Rows([(slot[a:b], value[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
+    fitted = chains.Chain(["first", "toxic"]).fit(rows.some(np.arange(400)), np.array(labels[:400]))
+    got = fitted.probabilities(rows.some(np.arange(400, 600)))[:, -1] >= fitted.threshold
+    assert np.mean(got == np.array(labels[400:])[:, 0]) > 0.98
+
+
+def plain_features(text):
+    """slot -> value, a word at a time."""
+    words = text.encode().split()
+    own = {s: 1.0 for w in words for s in chains.slots_of(w)[:1]}
+    shares = {}
+    for w in words:
+        for s in chains.slots_of(w)[1:]:
+            shares[s] = shares.get(s, 0) + 1
+    return own | {s: min(1.0, n / len(words) / chains.FULL_SHARE) for s, n in shares.items()}
+
+
+def test_toxicity_features():
+    texts = ["".join(rng.choice(["ab", "Idiotisch", "é", " ", "\n", "\t", "(idiotisch)", "...", "x" * 90, " idiot ", "\x0b"]) for _ in range(rng.randrange(60))) for _ in range(200)] + ["", "  "]
+    row, slot, value = chains.features(pa.array([*texts, None]), chains.Slots())
+    for i, t in enumerate([*texts, ""]):
+        assert {int(s): round(float(v), 5) for r, s, v in zip(row, slot, value, strict=True) if r == i} == {s: round(v, 5) for s, v in plain_features(t).items()}
+
+
+def language_texts(own, n, stems):
+    rows = []
+    for i in range(n):
+        lang = sorted(stems)[i % len(stems)]
+        w = [f"{lang}{own.randrange(400)}" for _ in range(50)]
+        toxic = i % 5 == 0
+        if toxic:
+            for stem in own.sample(stems[lang], 2):
+                w[own.randrange(50)] = stem + own.choice(["", "en", "isch"])
+        rows.append((i, " ".join(w), lang, int(toxic)))
+    return rows
+
+
+def test_toxicity_by_language(spark):
+    """Categories come from the labels of each language, and held-out recall holds in each; the query's scores are those of a
+    plain computation, one text and one word at a time."""
+    stems = {"de": ["grobian", "schuft", "halunke", "trottel"], "fr": ["vaurien", "crapule", "canaille", "pignouf"], "xx": ["qqrrst", "zzwwvu", "kkllmm", "ppnnoo"]}
+    rows = language_texts(random.Random(3), 1500, stems)
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows if r[0] % 4], "doc_id long, toxic int")
+    seen = {}
+    real = chains.derived
+
+    def spy(features, toxic, langs, n=chains.CATEGORIES):
+        found = real(features, toxic, langs, n)
+        seen.update({g: found[[x == g for x in langs]].sum(axis=0) for g in set(langs)})
+        assert not found[~toxic].any()
+        return found
+
+    chains.derived = spy
+    try:
+        fitted = chains.fit(docs, labels)
+    finally:
+        chains.derived = real
+    assert set(seen) == set(stems) and all((n > 0).all() for n in seen.values())
+    got = {r["doc_id"]: r for r in chains.score(docs, fitted).collect()}
+    for lang in stems:
+        held = [r for r in rows if r[0] % 4 == 0 and r[2] == lang]
+        assert sum(got[r[0]]["toxic"] for r in held if r[3]) >= 0.9 * sum(r[3] for r in held)
+        assert sum(got[r[0]]["toxic"] for r in held if not r[3]) <= 0.02 * len(held)
+    for i, text, _, _ in rows[::50]:
+        own, out = plain_features(text), []
+        for m in fitted.models:
+            z = m.b + sum(w * own.get(int(s), 0.0) for s, w in zip(m.slots, m.w, strict=True)) + sum(d * p for d, p in zip(m.d, out, strict=True))
+            out.append(1 / (1 + math.exp(-z)))
+        assert np.allclose([got[i][f"p_{n}"] for n in fitted.names], out, atol=1e-6)
+        assert got[i]["toxic"] == (out[-1] >= fitted.threshold)
+
+
+# Whole queries against plain definitions
+
+
+def small_tables(spark, path, n=240):
+    own = random.Random(11)
+    vocabulary = {"de": ["haus", "und", "nicht", "schule", "wetter", "straße"], "fr": ["maison", "et", "pas", "école", "temps", "rue"]}
+    docs, labels = [], []
+    for i in range(n):
+        lang, bad = own.choice(["de", "fr"]), own.random() < 0.3
+        text = " ".join(own.choice(vocabulary[lang]) + str(own.randrange(40)) for _ in range(own.randrange(30, 160)))
+        text = " | ".join(text.split()) + " #$%" * 9 if bad else text
+        docs.append((i, text, lang, "s", len(text)))
+        if i % 2:
+            labels.append((i, int(not bad), 0))
+    docs += [(n, None, "de", "s", 0), (n + 1, "", None, "s", 0), (n + 2, "123", "fr", "s", 3)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return docs, labels
+
+
+def test_language_query(spark, tmp_path):
+    import zstandard
+    from docgrain.llm.queries import op2_language_id
+
+    docs, _ = small_tables(spark, tmp_path)
+    got = {r["doc_id"]: r for r in op2_language_id(spark, str(tmp_path)).collect()}
+    held = {d[0]: zlib.crc32(str(d[0]).encode()) % 3 == 1 for d in docs}
+    parts = langid.sampled_pieces(spark.createDataFrame([(d[0], d[1], d[2]) for d in docs if not held[d[0]] and d[2]], "doc_id long, text string, lang string"))
+    right = 0
+    for d in docs:
+        r = got[d[0]]
+        assert r["held_out"] == held[d[0]]
+        if not d[1] or not any(c.isalpha() for c in d[1]):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        data = langid.normal(d[1])
+        sizes = []
+        for order, (lang, _, raw) in enumerate(parts):
+            dictionary = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            total = 0
+            for a in range(0, len(data), langid.BLOCK_BYTES):
+                total += len(zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=dictionary, write_content_size=False, write_dict_id=False).compress(data[a : a + langid.BLOCK_BYTES]))
+            sizes.append((total, order, lang))
+        (least, _, lang), (after, _, _) = sorted(sizes)[:2]
+        assert r["lang_pred"] == lang and abs(r["score"] - min(1.0, 5 * (after - least) / after)) < 1e-9
+        right += lang == d[2]
+    assert right > 0.98 * len(docs[:-3])
+
+
+def test_quality_queries(spark, tmp_path):
+    """op3's verdicts by walking each tree alone, op5's scores by all pairs of features."""
+    from docgrain.llm.common import read
+    from docgrain.llm.queries import op3_quality_rules, op5_quality_classifier
+
+    docs, labels = small_tables(spark, tmp_path)
+    table, marks = read(spark, str(tmp_path), "documents"), read(spark, str(tmp_path), "labels")
+    forest = rules.fit(table, marks)
+    got = {r["doc_id"]: r for r in op3_quality_rules(spark, str(tmp_path)).collect()}
+    quality = {i: q for i, q, _ in labels}
+    for d in docs:
+        base, point = rules.statistics((d[1] or "").encode())
+        failed = base[0] < 50 or 100 * base[4] > 50 * base[0]
+        paths = []
+        for feature, at, left, right, path in forest.trees:
+            node = 0
+            while feature[node] >= 0:
+                node = left[node] if point[feature[node]] < at[node] else right[node]
+            paths.append(path[node])
+        score = 2 ** (-(sum(paths) / len(paths)) / rules.Forest.expected(forest.rows))
+        r = got[d[0]]
+        assert [r[c] for c in rules.BASE] == plain_statistics(d[1] or "") and r["base_failed"] == failed
+        assert abs(r["score"] - score) < 1e-9 and r["kept"] == (not failed and score <= forest.threshold)
+    judged = [(got[i]["kept"], q) for i, q in quality.items() if not got[i]["base_failed"]]
+    assert sum(k for k, q in judged if q) >= 0.98 * sum(q for _, q in judged) and sum(not k for k, q in judged if not q) >= 0.9 * sum(not q for _, q in judged)
+
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    machine = fm.fit(table.where(~F.col("doc_id").isin(*[d[0] for d in docs if held(d[0])])), marks)
+    got = {r["doc_id"]: r for r in op5_quality_classifier(spark, str(tmp_path)).collect()}
+    for d in docs[::9] + docs[-3:]:
+        index, value = fm.row((d[1] or "").encode(), d[4] or 0, fm.Slots(fm.BITS))
+        pairs = sum(machine.v[a] @ machine.v[b] * x * y for n, (a, x) in enumerate(zip(index, value, strict=True)) for b, y in list(zip(index, value, strict=True))[:n])
+        want = 1 / (1 + math.exp(-(machine.w0 + machine.w[index] @ value + pairs)))
+        r = got[d[0]]
+        assert abs(r["score"] - want) < 1e-6 and r["predicted"] == int(r["score"] >= 0.3) and r["held_out"] == held(d[0])
+    right = [got[i]["predicted"] == q for i, q in quality.items() if held(i)]
+    assert np.mean(right) > 0.9
 
 
 # Packing
