@@ -98,6 +98,26 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, pick, rows: i
     return joined.groupBy("doc_id", "label").agg(F.min(F.struct(*columns)).alias("one")).select(F.col("doc_id").cast("long").alias("doc_id"), "label", "one.*")
 
 
+#: No more keys than this can each hold more than its share of the rows: the bound of what is broadcast for them.
+HOT_KEYS, HOT_ROWS = 10_000, 1_000
+
+
+def hot(counts: DataFrame, key: str | list[str], count: str, rows: int) -> DataFrame:
+    """The keys with more than rows / HOT_KEYS (and HOT_ROWS) rows, with `parts` to deal them over: at most HOT_KEYS rows."""
+    most = max(HOT_ROWS, rows // HOT_KEYS)
+    keys = [key] if isinstance(key, str) else key
+    return counts.where(F.col(count) > most).select(*keys, F.ceil(F.col(count) / most).cast("int").alias("parts"))
+
+
+def salted(many: DataFrame, one: DataFrame, often: DataFrame, keys: list[str], deal: Column) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join on keys with a column `salt` to join on too: rows of `many` that have a hot key are dealt
+    over its parts, and the row of `one` is there for each part."""
+    parts = F.coalesce("parts", F.lit(1))
+    left = many.join(F.broadcast(often), keys, "left").withColumn("salt", F.pmod(deal, parts).cast("int")).drop("parts")
+    right = one.join(F.broadcast(often), keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    return left, right
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(id, comp): the smallest id reachable over edges (src, dst), for ids that have an edge.
 

@@ -1,31 +1,42 @@
 """Mixing sources to target weights by min-cost flow (operator 9).
 
-Documents belong to one or more sources. They are aggregated by membership pattern; a flow network
-of patterns and sources routes word capacity to source quotas, where a pattern's second pass costs
-more than its first (convex repetition cost). Then seeded documents fill each route.
-
-The driver sees one row for each pattern and source (bounded by `max_patterns`), never documents.
-Which documents fill a route is found by a seeded order, md5(doc_id): sums over the first
-hex digits of the hash place the cut, and only the documents at the cut are ordered one by one, so no
-task gets a source whole.
-
-Defined results: null text has size 0; a null source is a source of its own, last in order; an
-empty table gives no rows and a corpus without words gives targets and taken words of 0. Documents
-with one doc_id are told apart by size only, so exact repeats are taken alike.
+Sources overlap: the same text may be in several of them, as a document of each. Documents are
+aggregated by membership pattern, the set of sources that hold their text. A flow network routes the words of each
+pattern to the quotas of its sources: the first pass over a pattern's distinct words is free, each further pass
+costs more (convex repetition cost), and a source takes no more of a pattern than twice what its own documents
+hold. So a source whose texts are elsewhere too is filled from those that are not, and what sources share
+is shared out between them before it is taken twice. Along a pattern's seeded order of texts its sources take
+stretches one after another, so two of them take one text twice only where the flow goes round again.
+
+The driver sees a row for each source and for each pattern and source, of at most `MOST_PATTERNS` patterns with
+several sources (those with most words; documents of rarer ones count to their own source alone, which
+changes no target), never documents. Where a stretch begins and ends is found by sums over the first digits of the seeded
+hash; only the documents at a cut are ordered one by one, and copies of one very frequent text are dealt over
+buckets of their own, so no task gets a source, a pattern or a text whole.
+
+Defined results: null text has size 0; texts without words overlap with nothing; a null source is a source
+of its own, last in order; an empty table gives no rows and a corpus without words gives targets and
+taken words of 0; documents of one text are taken in the order of a hash of doc_id, exact repeats
+of a row are interchangeable; texts of any length are counted and hashed whole; columns other than doc_id, text and
+source are not read.
 """
 
 from __future__ import annotations
 
-import heapq
+from collections import defaultdict, deque
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docgrain.llm.common import WORD, written
+from docgrain.llm.common import WORD, hot, salted, written
 
 #: Weights by order of the sources, repeating.
 WEIGHTS = (3, 1, 2)
 SHARE, MOST_COPIES = 1.5, 2
+#: Patterns of several sources in the network; passes with a cost of their own (any beyond cost as much as the last).
+MOST_PATTERNS, PASSES = 4096, 6
+#: Hexadecimal digits of a bucket of the seeded order.
+DIGITS = 3
 
 
 def targets(sizes: dict, weights: dict, total: float, most: float = MOST_COPIES) -> dict:
@@ -43,66 +54,58 @@ def targets(sizes: dict, weights: dict, total: float, most: float = MOST_COPIES)
     return out
 
 
-def flow(capacity: dict, quota: dict, members: dict, passes: int = MOST_COPIES) -> dict:
-    """Min-cost flow from patterns to sources: {(pattern, source): words}.
-
-    capacity: words of a pattern; members: its sources; quota: words of a source. The k-th pass over
-    a pattern costs k a word, so repetition spreads before it deepens. Successive shortest paths on
-    real-valued capacities; each augmentation fills an arc, and arcs are patterns x sources.
-    """
-    nodes = {"S": 0, "T": 1}
-    arcs: list[list] = []  # to, room, cost; arc i ^ 1 is the reverse
-    out: list[list[int]] = [[], []]
-
-    def node(x):
-        if x not in nodes:
-            nodes[x] = len(nodes)
-            out.append([])
-        return nodes[x]
-
-    def arc(a, b, room, cost):
-        for x, y, r, c in ((a, b, room, cost), (b, a, 0.0, -cost)):
-            out[x].append(len(arcs))
-            arcs.append([y, r, c])
-        return len(arcs) - 2
-
-    routes = {}
-    for p in capacity:
-        for k in range(passes):
-            arc(0, node(("p", p)), float(capacity[p]), k)
-        for s in members[p]:
-            routes[p, s] = arc(node(("p", p)), node(("s", s)), float(passes * capacity[p]), 0)
-    for s in quota:
-        arc(node(("s", s)), 1, float(quota[s]), 0)
-    pot = [0.0] * len(nodes)
-    while True:
-        dist, via, heap = {0: 0.0}, {}, [(0.0, 0)]
-        while heap:
-            d, x = heapq.heappop(heap)
-            if d > dist[x]:
-                continue
-            for i in out[x]:
-                y, room, cost = arcs[i]
-                if room > 1e-6 and (new := d + cost + pot[x] - pot[y]) < dist.get(y, 1e18) - 1e-12:
-                    dist[y], via[y] = new, i
-                    heapq.heappush(heap, (new, y))
-        if 1 not in dist:
-            return {k: arcs[i ^ 1][1] for k, i in routes.items() if arcs[i ^ 1][1] > 0}
-        for x, d in dist.items():
-            pot[x] += d
-        path, x = [], 1
-        while x:
-            path.append(via[x])
-            x = arcs[via[x] ^ 1][0]
-        push = min(arcs[i][1] for i in path)
-        for i in path:
-            arcs[i][1] -= push
-            arcs[i ^ 1][1] += push
-
-
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, size (words of the text, null: 0), sources (the one source as an array)."""
-    return docs.select("doc_id", word_count("text").alias("size"), F.array("source").alias("sources"))
+def flow(words: dict, rows: dict, quota: dict, passes: int = PASSES, most: int = MOST_COPIES) -> dict:
+    """Min-cost flow {(pattern, source): words}. words: distinct words of a pattern; rows: words of a source's documents in a
+    pattern, of which `most` times as many may be taken; quota: words of a source.
+
+    All costs are on the arcs into patterns, one arc a pass: so it is enough to open these arcs pass by pass, cheapest
+    first, and to fill up with the greatest flow each time (blocking flows on the shortest paths that are left)."""
+    room: dict = defaultdict(float)  # of arcs and their reverses
+    near: dict = defaultdict(list)
+
+    def arc(a, b, r: float) -> None:
+        if (a, b) not in room and (b, a) not in room:
+            near[a].append(b)
+            near[b].append(a)
+        room[a, b] += r
+
+    for (p, s), n in rows.items():
+        arc(("p", p), ("s", s), most * float(n))
+    for s, n in quota.items():
+        arc(("s", s), "T", float(n))
+    for k in range(passes):
+        for p, n in words.items():
+            arc("S", ("p", p), float(n) if k < passes - 1 else float("inf"))
+        while True:
+            depth, queue = {"S": 0}, deque(["S"])
+            while queue:
+                a = queue.popleft()
+                for b in near[a]:
+                    if b not in depth and room[a, b] > 1e-6:
+                        depth[b] = depth[a] + 1
+                        queue.append(b)
+            if "T" not in depth:
+                break
+            at: dict = defaultdict(int)
+            path = ["S"]
+            while path:
+                a = path[-1]
+                if a == "T":
+                    push = min(room[x, y] for x, y in zip(path, path[1:], strict=False))
+                    for x, y in zip(path, path[1:], strict=False):
+                        room[x, y] -= push
+                        room[y, x] += push
+                    path = path[: next(i for i, (x, y) in enumerate(zip(path, path[1:], strict=False)) if room[x, y] <= 1e-6) + 1]
+                    continue
+                while at[a] < len(near[a]) and not (depth.get(near[a][at[a]], -1) == depth[a] + 1 and room[a, near[a][at[a]]] > 1e-6):
+                    at[a] += 1
+                if at[a] < len(near[a]):
+                    path.append(near[a][at[a]])
+                else:
+                    path.pop()
+                    if path:
+                        at[path[-1]] += 1
+    return {(p, s): room[("s", s), ("p", p)] for p, s in rows if room[("s", s), ("p", p)] > 0}
 
 
 def word_count(text: str) -> Column:
@@ -115,64 +118,84 @@ def pattern_of(sources: Column) -> Column:
 
 
 def seeded(seed: str) -> Column:
-    """The order in which a pattern's documents are taken."""
-    return F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-
-
-def mix(docs: DataFrame, sources: str = "sources", seed: str = "", share: float = SHARE, weights: tuple = WEIGHTS, digits: int = 3, max_patterns: int = 100_000) -> DataFrame:
-    """docs (doc_id, size long, `sources` array of strings, null as a member allowed) -> doc_id, size,
-    pattern, h (seeded order), source (where its words count), source_size, target, taken, passes
-    (array of booleans: taken on the k-th pass over its pattern).
-
-    Each pattern is cut by its routes along the seeded order: words [0, f1) go to its first source,
-    [f1, f1 + f2) to the second, and a pattern that flows beyond its size goes round again. A document
-    counts to the route in which its middle word lies, with its whole size, so each route is met within
-    one document.
-    """
-    members = F.array_sort(F.array_distinct(F.col(sources)))
-    docs = docs.select("doc_id", "size", pattern_of(F.col(sources)).alias("pattern"), members.alias("sources"), seeded(seed).alias("h"))
-    docs = written(docs.withColumn("b", F.substring("h", 1, digits)), "mix-docs")
+    """The order of documents that overlap with none: by id, and by text where ids are null or repeated."""
+    return F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.md5("text"), F.lit(""))))
+
+
+def single(docs: DataFrame, seed: str = "") -> DataFrame:
+    """docs (doc_id, text, source) as mix() takes them, each in its own source alone."""
+    h = seeded(seed)
+    return docs.select("doc_id", word_count("text").alias("size"), "source", F.array("source").alias("sources"), F.lit(1).cast("long").alias("copies"), h.alias("h"), F.substring(h, 1, DIGITS).alias("b"))
+
+
+def overlapping(docs: DataFrame, seed: str = "") -> DataFrame:
+    """docs (doc_id, text, source) as mix() takes them, each in every source that holds its text."""
+    size = word_count("text")
+    rows = docs.select("doc_id", "source", size.alias("size"), F.when(size > 0, F.md5(F.concat(F.lit(seed), "text"))).alias("h"), seeded(seed).alias("own"))
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "mix-rows")
+    same = rows.where("h IS NOT NULL").groupBy("h").agg(F.count("*").alias("copies"), F.transform(F.collect_set(F.struct("source")), lambda x: x["source"]).alias("sources")).where("copies > 1")
+    same = written(same, "mix-same")
+    often = hot(same, "h", "copies", rows.count())
+    some, others = salted(rows, same, often, ["h"], F.xxhash64("doc_id", "row"))
+    joined = some.join(others, ["h", "salt"], "left").join(F.broadcast(often.select("h", F.lit(True).alias("often"))), "h", "left")
+    h, split = F.coalesce("h", "own"), F.concat("h", F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("row").cast("string"))), 1, DIGITS))
+    return joined.select("doc_id", "size", "source", F.coalesce("sources", F.array("source")).alias("sources"), F.coalesce("copies", F.lit(1)).alias("copies"), h.alias("h"), F.when(F.col("often"), split).otherwise(F.substring(h, 1, DIGITS)).alias("b"))
+
+
+def mix(docs: DataFrame, share: float = SHARE, weights: tuple = WEIGHTS, most_patterns: int = MOST_PATTERNS) -> DataFrame:
+    """docs from single() or overlapping() -> doc_id, size, source, pattern, h (seeded order), source_size, target, taken,
+    passes (booleans: whether the stretch takes it, each time that it goes round).
+
+    A document is in a stretch if its middle word is, and counts with its whole size, so each stretch, one a pattern
+    and source, is met within one document."""
+    pattern = pattern_of(F.col("sources"))
+    docs = written(docs.withColumn("pattern", pattern).withColumn("n_sources", F.size("sources")), "mix-docs")
     spark = docs.sparkSession
-    rows = docs.groupBy("pattern").agg(F.sum("size").alias("size"), F.first("sources").alias("sources")).limit(max_patterns + 1).collect()
-    if len(rows) > max_patterns:
-        raise ValueError(f"more than {max_patterns} membership patterns")
-    rows.sort(key=lambda r: r["pattern"])
-    own: dict = {}
-    for r in rows:
-        for s in r["sources"]:
-            own[s] = own.get(s, 0) + r["size"]
+    # Rarer patterns than the network takes: their documents count to their own source alone.
+    several = docs.where("n_sources > 1").groupBy("pattern").agg(F.sum("size").alias("words")).orderBy(F.desc("words"), "pattern").limit(most_patterns)
+    kept = several.select("pattern", F.lit(True).alias("kept"))
+    docs = docs.join(F.broadcast(kept), "pattern", "left").withColumn("pattern", F.when(F.col("kept") | (F.col("n_sources") == 1), F.col("pattern")).otherwise(pattern_of(F.array("source")))).drop("kept", "sources", "n_sources")
+    cells = docs.groupBy("pattern", "source").agg(F.sum("size").alias("size"), F.sum(F.col("size") / F.col("copies")).alias("words")).collect()
+    cells.sort(key=lambda r: (r["pattern"], r["source"] is None, r["source"] or ""))
+    own: dict = defaultdict(int)
+    words: dict = defaultdict(float)
+    for r in cells:
+        own[r["source"]] += r["size"]
+        words[r["pattern"]] += round(r["words"], 3)
     order = sorted(own, key=lambda s: (s is None, s or ""))
     weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
-    total = sum(r["size"] for r in rows)
-    aims = targets(own, weight, share * total)
-    routed = flow({r["pattern"]: r["size"] for r in rows}, aims, {r["pattern"]: r["sources"] for r in rows})
-    cuts = []  # the routes of a pattern, one after another; each wraps round the pattern's words at most once
-    for r in rows:
-        at, size = 0.0, float(r["size"])
-        for s in r["sources"]:
-            first, at = at, at + routed.get((r["pattern"], s), 0.0)
-            cuts.append((r["pattern"], s, int(own[s]), float(aims[s]), first, at, size))
-    plan = spark.createDataFrame(cuts, "pattern string, source string, source_size long, target double, first double, last double, pattern_size double")
-    # Where each document starts in its pattern's seeded order: words in earlier hash buckets, then in its own.
-    buckets = docs.groupBy("pattern", "b").agg(F.sum("size").alias("n"))
-    before = buckets.select("pattern", "b", (F.sum("n").over(Window.partitionBy("pattern").orderBy("b")) - F.col("n")).alias("before"))
-    inside = F.sum("size").over(Window.partitionBy("pattern", "b").orderBy("h", "size").rowsBetween(Window.unboundedPreceding, -1))
-    placed = docs.withColumn("inside", F.coalesce(inside, F.lit(0))).join(before, ["pattern", "b"]).withColumn("at", (F.col("before") + F.col("inside")).cast("double"))
-    mid = F.col("at") + F.col("size") / 2
-    passes = [((mid + k * F.col("pattern_size")) >= F.col("first")) & ((mid + k * F.col("pattern_size")) < F.col("last")) for k in range(MOST_COPIES)]
-    each = placed.join(F.broadcast(plan), "pattern").withColumn("passes", F.array(*passes))
+    aims = targets(own, weight, share * sum(own.values()))
+    routed = flow(words, {(r["pattern"], r["source"]): r["size"] for r in cells}, aims)
+    plan, gone = [], defaultdict(float)  # how far round its texts a pattern's sources before have gone
+    for r in cells:
+        p, s, size = r["pattern"], r["source"], float(r["size"])
+        words_taken = routed.get((p, s), 0.0)
+        first = gone[p] % 1.0 * size
+        gone[p] += words_taken / size if size else 0.0
+        plan.append((p, s, int(own[s]), float(aims[s]), first, first + words_taken, size))
+    plan = spark.createDataFrame(plan, "pattern string, source string, source_size long, target double, first double, last double, cell_size double")
+    # Where each document starts in the seeded order of its pattern and source: words in earlier buckets, then in its own.
+    cell = ["pattern", "source"]
+    buckets = docs.groupBy(*cell, "b").agg(F.sum("size").alias("n"))
+    before = buckets.select(*cell, "b", (F.sum("n").over(Window.partitionBy(*cell).orderBy("b")) - F.col("n")).alias("before"))
+    inside = F.sum("size").over(Window.partitionBy(*cell, "b").orderBy("h", F.md5(F.col("doc_id").cast("string")), "size").rowsBetween(Window.unboundedPreceding, -1))
+    same = lambda a, b, names: [a[c].eqNullSafe(b[c]) for c in names]
+    docs = docs.withColumn("inside", F.coalesce(inside, F.lit(0)))
+    placed = docs.join(before, same(docs, before, [*cell, "b"])).select(*[docs[c] for c in docs.columns], (before["before"] + docs["inside"] + docs["size"] / 2).alias("mid"))
+    each = placed.join(F.broadcast(plan), same(placed, plan, cell)).drop(plan["pattern"]).drop(plan["source"])
+    passes = [((F.col("mid") + k * F.col("cell_size")) >= F.col("first")) & ((F.col("mid") + k * F.col("cell_size")) < F.col("last")) for k in range(MOST_COPIES + 1)]
+    each = each.withColumn("passes", F.array(*passes))
     taken = F.size(F.filter("passes", lambda p: p)) * F.col("size")
-    return each.select("doc_id", "size", "pattern", "h", "source", "source_size", "target", taken.alias("taken"), "passes")
-
-
-def apply_mix(docs: DataFrame, sources: Column, size: Column, mixed: DataFrame, seed: str = "") -> DataFrame:
-    """The rows of docs as often as `mixed` (from mix(), with the same seed) takes them. Each pass over
-    a route is a stretch of the seeded order, so its two ends (a small table) decide without a join of texts."""
-    key = F.struct("h", "size")
-    ends = mixed.select("pattern", "source", F.posexplode("passes").alias("k", "taken"), key.alias("key")).where("taken")
-    ends = ends.groupBy("pattern", "source", "k").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
-    stretches = ends.groupBy("pattern").agg(F.collect_list(F.struct("lo", "hi")).alias("stretches"))
-    names = docs.columns
-    row = docs.select(F.struct(*names).alias("row"), F.struct(seeded(seed).alias("h"), size.alias("size")).alias("key"), pattern_of(sources).alias("pattern"))
-    row = row.join(F.broadcast(stretches), "pattern").select("row", F.filter("stretches", lambda x: (F.col("key") >= x["lo"]) & (F.col("key") <= x["hi"])).alias("hits"))
+    return each.select("doc_id", "size", "source", "pattern", "h", "source_size", "target", taken.alias("taken"), "passes")
+
+
+def apply_mix(docs: DataFrame, mixed: DataFrame, seed: str = "") -> DataFrame:
+    """The rows of docs as often as `mixed` (from mix() of single(), with the same seed) takes them. Each round of a
+    stretch is a range of the seeded order, so its two ends (a row a source) decide without a join of texts."""
+    ends = mixed.select("source", F.posexplode("passes").alias("k", "taken"), "h").where("taken")
+    ends = ends.groupBy("source", "k").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
+    stretches = ends.groupBy("source").agg(F.collect_list(F.struct("lo", "hi")).alias("stretches"))
+    row = docs.select(F.struct(*docs.columns).alias("row"), seeded(seed).alias("h"), F.col("source").alias("source of row"))
+    row = row.join(F.broadcast(stretches), F.col("source of row").eqNullSafe(stretches["source"]))
+    row = row.select("row", F.filter("stretches", lambda x: (F.col("h") >= x["lo"]) & (F.col("h") <= x["hi"])).alias("hits"))
     return row.select("row", F.explode("hits")).select("row.*")
