@@ -33,8 +33,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents stay, go, or occur twice, as the mix takes them."""
-    mixed = written(mixing.mix(mixing.sized(docs)), "pipeline-mix")
-    return mixing.apply_mix(docs, F.array("source"), mixing.word_count("text"), mixed)
+    return mixing.apply_mix(docs, written(mixing.mix(mixing.single(docs)), "pipeline-mix"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
