@@ -10,11 +10,20 @@ the edges of a star: each member with one centre, not each pair. Edges are confi
 A star misses a link between two members that are both unlike the centre, so further rounds choose
 other centres and compare only members that are not yet in one component. What is still open then is
 decided for every pair across components: pair by pair in small buckets, in bounded blocks in large ones.
-No pair of a bucket is left undecided.
+No pair of a bucket is left undecided. In a large open bucket the strays, members that are not of its main
+component, meet all its members: work of strays times members, in blocks of `BLOCK` by `BLOCK`.
+
+Large groups of copies and large buckets are dealt over several tasks by a salt (`common.salted`); components keep
+their labels from round to round, and only components that a new edge joins are worked on again.
+
+Bands are no exact way: two sets that share no band are never compared. The chance of that at a similarity of
+just 0.8 is 5 in 100,000 in theory; the README gives what was measured by size of the sets.
 
 Defined results: null, empty or white text has an empty set and is linked with nothing; fewer words
 than a shingle count as one shingle; a null doc_id has component null, is linked with nothing and is
-kept; a doc_id that occurs more than once stands for all its texts, and each row is returned.
+kept; a doc_id that occurs more than once stands for all its texts, and each row is returned; ties of centres go
+to the lesser id; texts of any length are cut whole; columns other than doc_id and text are not read
+(`one_of_each` hands all of them on).
 """
 
 from __future__ import annotations
@@ -28,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docgrain.llm.common import components, discard, text_batches, written
+from docgrain.llm.common import components, discard, hot, salted, text_batches, written
 
 SHINGLE, PERCENT, BIN_BITS, BAND_BINS, BANDS = 2, 80, 7, 5, 25
 #: Open buckets of up to so many members are compared pair by pair; larger ones in blocks of so many.
@@ -211,57 +220,84 @@ def links_in_large(large: DataFrame, sets: DataFrame, block: int = BLOCK) -> Dat
     return every.unionByName(strays).groupBy("key", "block", "turn").applyInPandas(lambda f: block_links(f), "src long, dst long").distinct()
 
 
+def contracted(edges: DataFrame, labels: DataFrame | None, name: str) -> DataFrame:
+    """labels (id, comp) joined by new edges (src, dst): only components that an edge joins are worked on, as one node each."""
+    if labels is None:
+        return components(edges, name)
+    of = lambda end: labels.select(F.col("id").alias(end), F.col("comp").alias(f"c_{end}"))
+    ends = edges.join(of("src"), "src", "left").join(of("dst"), "dst", "left")
+    between = written(ends.select(F.coalesce("c_src", "src").alias("src"), F.coalesce("c_dst", "dst").alias("dst")).where("src <> dst").distinct(), f"{name}-between")
+    joined = components(between, name).select(F.col("id").alias("comp"), F.col("comp").alias("into"))
+    old = labels.join(joined, "comp", "left").select("id", F.coalesce("into", "comp").alias("comp"))
+    # A node without a label was its own component; its new one stands under its id.
+    new = joined.join(labels.select(F.col("id").alias("comp")), "comp", "left_anti").select(F.col("comp").alias("id"), F.col("into").alias("comp"))
+    return written(old.unionByName(new), f"{name}-labels")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, rounds: int = 3) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_shingles, component_id, kept; one row for each row of docs."""
     docs = docs.select("doc_id", "text")
     signed = written(signatures(docs, shingle), "neardup-signatures")
     some = signed.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    rep = some.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("times")).where("times > 1")
-    rep = written(rep, "neardup-copied")
-    copies = written(some.join(rep.drop("times"), ["h1", "h2", "n"]).where(F.col("doc_id") != F.col("rep")).select(F.col("rep").alias("src"), F.col("doc_id").alias("dst")), "neardup-copies")
-    lone = some.select("doc_id", "n", "bands").join(copies.select(F.col("dst").alias("doc_id")), "doc_id", "left_anti")
+    # Copies: equal sets. The least doc_id of a group stands for it; a large group's rows are dealt over its parts.
+    equal = ["h1", "h2", "n"]
+    rep = written(some.groupBy(*equal).agg(F.min("doc_id").alias("rep"), F.count("*").alias("times")).where("times > 1"), "neardup-copied")
+    n_rows = signed.count()
+    often = hot(rep, equal, "times", n_rows)
+    deal = F.xxhash64("doc_id", F.lit(8))
+    left, right = salted(signed, rep.drop("times"), often, equal, deal)
+    marked = written(left.join(right, [*equal, "salt"], "left").drop("salt"), "neardup-marked")
+    lone = marked.where(F.col("doc_id").isNotNull() & (F.col("n") > 0) & (F.col("rep").isNull() | (F.col("rep") == F.col("doc_id"))))
     rows = lone.select("doc_id", "n", F.explode("bands").alias("key"))
-    full = rows.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where(F.col("lo") != F.col("hi"))
-    members = written(rows.join(full.select("key"), "key"), "neardup-members")
+    full = rows.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("m")).where(F.col("lo") != F.col("hi"))
+    full = written(full.select("key", "m"), "neardup-buckets")
+    # Every later join on buckets goes by key and salt, so a large bucket's members lie in several tasks.
+    crowded = written(hot(full, "key", "m", BANDS * n_rows), "neardup-crowded")
+    left, right = salted(rows, full.select("key"), crowded, ["key"], deal)
+    members = written(left.join(right, ["key", "salt"]), "neardup-members")
     ids = written(members.select("doc_id").distinct(), "neardup-ids")
     sets = written(shingle_sets(among(docs, ids), shingle), "neardup-sets")
     like = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("ca") != F.col("cb")) & (F.col("a") != F.col("b"))
-    labels, edges, tried = None, None, None
+    labels, tried = None, None
     for step in range(rounds + 1):
         if labels is None:
             placed = members.withColumn("comp", F.col("doc_id"))
         else:
             placed = members.join(labels.select(F.col("id").alias("doc_id"), "comp"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
-        side = lambda x: placed.select("key", F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("comp").alias(f"c{x}"))  # noqa: B023, E731
+        side = lambda x: placed.select("key", "salt", F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("comp").alias(f"c{x}"))  # noqa: B023, E731
+        spread = lambda one: one.join(F.broadcast(crowded), "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+        strays = None
         if step < rounds:
             pick = {0: F.min_by(F.struct("doc_id", "n", "comp"), "doc_id"), 1: F.max_by(F.struct("doc_id", "n", "comp"), "doc_id")}.get(step, F.min_by(F.struct("doc_id", "n", "comp"), F.xxhash64("doc_id", F.lit(step))))
             centre = placed.groupBy("key").agg(pick.alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi"))
-            centre = centre.select("key", F.col("c.doc_id").alias("a"), F.col("c.n").alias("na"), F.col("c.comp").alias("ca"))
-            pairs = side("b").join(centre, "key").where(like)
+            centre = spread(centre.select("key", F.col("c.doc_id").alias("a"), F.col("c.n").alias("na"), F.col("c.comp").alias("ca")))
+            pairs = side("b").join(centre, ["key", "salt"]).where(like)
         else:
             open_ = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where(F.col("lo") != F.col("hi")).select("key", "m")
-            open_ = written(placed.join(open_, "key"), "neardup-open")
+            open_ = written(placed.join(spread(open_), ["key", "salt"]), "neardup-open")
             placed = open_.where(F.col("m") <= SMALL_BUCKET)
-            pairs = side("a").join(side("b"), "key").where(like & (F.col("a") < F.col("b")))
+            pairs = side("a").join(side("b"), ["key", "salt"]).where(like & (F.col("a") < F.col("b")))
+            strays = written(links_in_large(open_.where(F.col("m") > SMALL_BUCKET).drop("salt"), sets), "neardup-strays")
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        if step == rounds:
-            strays = written(links_in_large(open_.where(F.col("m") > SMALL_BUCKET), sets), "neardup-strays")
-            edges = strays if edges is None else edges.unionByName(strays)
         pairs = written(pairs, f"neardup-pairs-{step}")
-        if not pairs.limit(1).count():
-            if step < rounds:
-                continue
-            break
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        found = written(confirmed(pairs, sets, percent), f"neardup-edges-{step}")
-        edges = found if edges is None else edges.unionByName(found)
-        if step < rounds:
-            labels = components(edges, f"neardup-components-{step}")
+        found = None
+        if pairs.limit(1).count():
+            tried = pairs if tried is None else tried.unionByName(pairs)
+            found = written(confirmed(pairs, sets, percent), f"neardup-edges-{step}")
+        if strays is not None:
+            found = strays if found is None else found.unionByName(strays)
+        if found is not None:
+            labels = contracted(found, labels, f"neardup-components-{step}")
     discard(sets)
-    edges = copies if edges is None else edges.unionByName(copies)
-    final = components(edges, "neardup-components")
-    out = signed.select("doc_id", "n").join(final.select(F.col("id").alias("doc_id"), "comp"), "doc_id", "left")
-    component = F.coalesce("comp", "doc_id")
+    # A doc_id that stands in several rows links the groups of all its texts; other copies just take their group's component.
+    repeated = written(some.groupBy("doc_id").count().where("count > 1").select("doc_id"), "neardup-repeated")
+    ties = marked.join(repeated, "doc_id", "left_semi").where("rep <> doc_id").select(F.col("rep").alias("src"), F.col("doc_id").alias("dst")).distinct()
+    labels = contracted(ties, labels, "neardup-ties")
+    of_rep = written(rep.select(*equal, "rep").join(labels.select(F.col("id").alias("rep"), "comp"), "rep", "left").select(*equal, F.coalesce("comp", "rep").alias("of rep")), "neardup-of-rep")
+    left, right = salted(marked.drop("bands"), of_rep, often, equal, deal)
+    out = left.join(right, [*equal, "salt"], "left").join(labels.select(F.col("id").alias("doc_id"), "comp"), "doc_id", "left")
+    component = F.coalesce("comp", F.when(F.col("n") > 0, F.col("of rep")), "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), component)
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
