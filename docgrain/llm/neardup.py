@@ -17,7 +17,7 @@ Large groups of copies and large buckets are dealt over several tasks by a salt
 their labels from round to round, and only components that a new edge joins are worked on again.
 
 Bands are no exact way: two sets that share no band are never compared. The chance of that at a similarity of
-just 0.8 is 5 in 100,000 in theory; the README gives what was measured by size of the sets.
+just 0.8 is (1 - 0.8**4)**32, 5 in 100 million; the README gives what was measured by size of the sets.
 
 Defined results: null, empty or white text has an empty set and is linked with nothing; fewer words
 than a shingle count as one shingle; a null doc_id has component null, is linked with nothing and is
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from docgrain.llm.common import components, discard, hot, salted, text_batches, written
 
-SHINGLE, PERCENT, BIN_BITS, BAND_BINS, BANDS = 2, 80, 7, 5, 25
+SHINGLE, PERCENT, BIN_BITS, BAND_BINS, BANDS = 2, 80, 7, 4, 32
 #: Open buckets of up to so many members are compared pair by pair; larger ones in blocks of so many.
 SMALL_BUCKET, BLOCK = 32, 512
 CACHED_WORDS, CACHED_BYTES = 200_000, 64
@@ -79,33 +79,37 @@ def shingle_set(text: bytes, k: int = SHINGLE, hashes: Hashes | None = None) ->
     return np.unique(total)
 
 
-def bin_values(hashes: np.ndarray, bits: int = BIN_BITS) -> np.ndarray:
-    """The least hash of each of 2**bits bins; empty bins borrow, by optimal densification."""
+def bin_values(sets: list[np.ndarray], bits: int = BIN_BITS) -> np.ndarray:
+    """A row for each set (none empty): the least hash of each of 2**bits bins; empty bins borrow, by optimal densification.
+    All sets of a batch are binned at once."""
     n = 1 << bits
-    starts = np.arange(n, dtype=np.uint64) << np.uint64(64 - bits)
-    at = np.searchsorted(hashes, starts)
-    ends = np.append(at[1:], len(hashes))
-    full = ends > at
-    values = np.where(full, hashes[np.minimum(at, len(hashes) - 1)], np.uint64(0))
-    empty = np.flatnonzero(~full)
+    values, full = np.zeros((len(sets), n), np.uint64), np.zeros((len(sets), n), bool)
+    if not sets:
+        return values
+    flat = np.concatenate(sets)
+    cell = np.repeat(np.arange(len(sets)), [len(s) for s in sets]) * n + (flat >> np.uint64(64 - bits)).astype("i8")
+    first = np.flatnonzero(np.diff(cell, prepend=-1))  # sets are sorted, so a bin's least hash comes first
+    values.ravel()[cell[first]], full.ravel()[cell[first]] = flat[first], True
+    row, empty = np.nonzero(~full)
     tries = np.uint64(0)
-    source = np.arange(n)
-    while len(empty):
+    found = values.copy()
+    while len(row):
         tries += np.uint64(1)
         with np.errstate(over="ignore"):
-            to = (mixed(empty.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + tries) >> np.uint64(64 - bits)).astype(int)
-        source[empty] = to
-        empty = empty[~full[to]]
-    return values[source]
+            to = (mixed(np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + tries) >> np.uint64(64 - bits)).astype(int)
+        hit = full[row, to[empty]]
+        found[row[hit], empty[hit]] = values[row[hit], to[empty[hit]]]
+        row, empty = row[~hit], empty[~hit]
+    return found
 
 
-def band_keys(hashes: np.ndarray, bits: int = BIN_BITS, size: int = BAND_BINS, bands: int = BANDS) -> np.ndarray:
-    """Bucket keys; a key also has its band's number in it."""
-    values = bin_values(hashes, bits)[: size * bands].reshape(bands, size)
+def band_keys(sets: list[np.ndarray], bits: int = BIN_BITS, size: int = BAND_BINS, bands: int = BANDS) -> np.ndarray:
+    """Bucket keys, a row for each set; a key also has its band's number in it."""
+    values = bin_values(sets, bits)[:, : size * bands].reshape(len(sets), bands, size)
     with np.errstate(over="ignore"):
-        keys = mixed(np.arange(1, bands + 1, dtype=np.uint64))
+        keys = np.broadcast_to(mixed(np.arange(1, bands + 1, dtype=np.uint64)), (len(sets), bands))
         for i in range(size):
-            keys = mixed(keys + values[:, i]) + np.uint64(0x9E3779B97F4A7C15)
+            keys = mixed(keys + values[:, :, i]) + np.uint64(0x9E3779B97F4A7C15)
     return keys
 
 
@@ -124,7 +128,8 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         for batch, texts in text_batches(batches, pa.binary()):
             sets = [shingle_set(t, shingle, hashes) for t in texts]
             whole = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), "<i8").reshape(-1, 2)
-            bands = lists([band_keys(s) if len(s) else s for s in sets])
+            keys = iter(band_keys([s for s in sets if len(s)]))
+            bands = lists([next(keys) if len(s) else s for s in sets])
             yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(whole[:, 0]), pa.array(whole[:, 1]), bands], names=["doc_id", "n", "h1", "h2", "bands"])
 
     return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, h1 long, h2 long, bands array<long>")

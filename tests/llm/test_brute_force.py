@@ -435,6 +435,56 @@ def test_near_duplicates(spark, monkeypatch):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == plain_components(texts)
 
 
+def test_bands_of_a_batch_equal_those_of_each_set():
+    """Densification one bin and one try at a time."""
+    own = np.random.default_rng(5)
+    sets = [np.unique(own.integers(0, 2**64, n, np.uint64)) for n in (1, 2, 5, 40, 400, 3000)]
+    got = neardup.bin_values(sets)
+    for row, hashes in zip(got, sets, strict=True):
+        least = {}
+        for h in hashes.tolist():
+            least.setdefault(h >> 57, h)
+        for b in range(128):
+            at, t = b, 0
+            while at not in least:
+                t += 1
+                with np.errstate(over="ignore"):
+                    at = int(neardup.mixed(np.array([b], np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(t))[0]) >> 57
+            assert int(row[b]) == least[at]
+    assert (neardup.band_keys(sets)[2] == neardup.band_keys(sets[2:3])[0]).all()
+
+
+def test_large_groups_over_several_tasks(spark, monkeypatch):
+    """Copies and crowded buckets with more rows than a part; a doc_id of two texts links the groups of both."""
+    from docgrain.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 7)
+    own = random.Random(4)
+    base = [f"w{own.randrange(900)}" for _ in range(60)]
+    texts = [" ".join(base)] * 40 + [" ".join([*base[:i], "other", *base[i + 1 :]]) for i in range(50)] + ["quite different words here", "Quite different words here"]
+    docs = spark.createDataFrame([*enumerate(texts), (200, texts[0]), (200, "alone in the text"), (201, "alone in the text")], "doc_id long, text string").repartition(3)
+    got = sorted((r["doc_id"], r["component_id"]) for r in neardup.near_duplicates(docs).collect())
+    assert got == sorted([*((i, c) for i, _, c in plain_components(texts)), (200, 0), (200, 0), (201, 0)])
+
+
+@pytest.mark.parametrize("n", [5, 20, 60, 200])
+def test_few_pairs_at_the_threshold_share_no_band(n):
+    """Pairs of a similarity of 0.8 or just above, by size of their sets."""
+    own = np.random.default_rng(n)
+    missed, pairs = 0, 2000
+    left, right = [], []
+    for _ in range(pairs):
+        apart = max(1, int(n / 9))
+        while 100 * n < 80 * (n + 2 * apart):  # n in common, `apart` more on each side
+            apart -= 1
+        pool = np.unique(own.integers(0, 2**64, n + 2 * max(apart, 0) + 8, np.uint64))
+        pool = own.permutation(pool)
+        left.append(np.sort(np.concatenate([pool[:n], pool[n : n + apart]])))
+        right.append(np.sort(np.concatenate([pool[:n], pool[n + apart : n + 2 * apart]])))
+    missed = int((~(neardup.band_keys(left) == neardup.band_keys(right)).any(axis=1)).sum())
+    assert missed <= 2
+
+
 def test_the_pipeline_links_by_five_words(spark):
     pytest.importorskip("corpus_pipeline")
     import corpus_pipeline
