@@ -35,11 +35,17 @@ def strip_headers_footers(units: DataFrame, pages: DataFrame, doc: str = "doc_id
     return out.where(~F.coalesce(gone, F.lit(False))).select(doc, page, "unit_no", "text")
 
 
-def exact_duplicates(docs: DataFrame, key: str = "doc_id", content: str = "text") -> DataFrame:
-    """key, sha256, first_key (the least key with these bytes), is_duplicate."""
+def exact_duplicates(docs: DataFrame, key: str = "doc_id", content: str = "text", parts: int = 32) -> DataFrame:
+    """key, sha256, first_key (the least key with these bytes), is_duplicate.
+
+    Texts that occur once need no join; copies of the others are dealt over `parts` tasks, so a text that is a third of all
+    rows is not one task's."""
+    salt = F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
     hashed = docs.select(key, F.sha2(content, 256).alias("sha256"))
-    first = hashed.groupBy("sha256").agg(F.min(key).alias("first_key"))
-    return hashed.join(first, "sha256").select(key, "sha256", "first_key", (F.col(key) != F.col("first_key")).alias("is_duplicate"))
+    first = hashed.groupBy("sha256").agg(F.min(key).alias("first_key"), F.count("*").alias("n")).where("n > 1").drop("n")
+    spread = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    out = hashed.withColumn("salt", salt).join(spread, ["sha256", "salt"], "left").withColumn("first_key", F.coalesce("first_key", key))
+    return out.select(key, "sha256", "first_key", (F.col(key) != F.col("first_key")).alias("is_duplicate"))
 
 
 def pending(docs: DataFrame, registry: DataFrame, signature: Column | str) -> DataFrame:

@@ -10,11 +10,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docgrain.functions import encode as E
 from docgrain.functions import text as X
+from docgrain.sources.scratch import written
 
 #: Query vectors that may go to every task at once; more are searched in as many rounds.
 QUERY_BATCH = 4096
@@ -51,7 +54,7 @@ def merged_filters(extracted: Column, asked: Column) -> Column:
     return F.coalesce(asked, extracted)
 
 
-def named_documents(questions: DataFrame, catalog: DataFrame, stop: list[str], most: int = 5, least_length: int = 4) -> DataFrame:
+def named_documents(questions: DataFrame, catalog: DataFrame, stop: tuple[str, ...], most: int = 5, least_length: int = 4) -> DataFrame:
     """questions (query_id, text), catalog (doc_id, name, kind) -> query_id, doc_ids (sorted), kind.
 
     A question's words meet the words of catalog names. A word that names one document settles it, unless
@@ -87,7 +90,8 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, decimals: i
     asked = queries.orderBy("query_id").select("query_id", F.transform("vector", lambda x: x.cast("double")).alias("vector"))
     rounds = []
     rows = asked.toLocalIterator()
-    while batch := [r for _, r in zip(range(QUERY_BATCH), rows)]:
+    batch = [r for _, r in zip(range(QUERY_BATCH), rows)]
+    while batch:
         ids = np.array([r["query_id"] for r in batch])
         matrix = np.array([r["vector"] for r in batch])
         length = np.linalg.norm(matrix, axis=1, keepdims=True)
@@ -102,34 +106,78 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, decimals: i
                 keys = frame["chunk_id"].to_numpy()
                 order = np.argsort(keys, kind="stable")
                 s = np.round(unit @ np.divide(x, size, out=np.zeros_like(x), where=size > 0)[order].T, decimals) + 0.0
+                if s.shape[1] > 4 * k:  # no more than what reaches the k-th score is put in order
+                    floor = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
+                    reach = np.flatnonzero((s >= floor).any(axis=0))
+                    s, keys, order = s[:, reach], keys[order][reach], np.arange(len(reach))
                 best = np.argsort(-s, axis=1, kind="stable")[:, :k]
                 yield pd.DataFrame({"query_id": np.repeat(ids, best.shape[1]), "chunk_id": keys[order][best].ravel(), "score": np.take_along_axis(s, best, axis=1).ravel()})
 
-        rounds.append(vectors.select("chunk_id", "vector").mapInPandas(score, f"query_id {q_kind}, chunk_id {kind}, score double"))
+        after = [r for _, r in zip(range(QUERY_BATCH), rows)]
+        if after and not rounds:
+            vectors = written(vectors.select("chunk_id", "vector"), "dense-vectors")  # read once a round, made once
+        part = vectors.select("chunk_id", "vector").mapInPandas(score, f"query_id {q_kind}, chunk_id {kind}, score double")
+        # A round's result is written before the next begins, so the driver holds one round of queries.
+        rounds.append(written(ranked(part, k), "dense-round") if after or rounds else ranked(part, k))
+        batch = after
     if not rounds:
         return vectors.sparkSession.createDataFrame([], f"query_id {q_kind}, chunk_id {kind}, score double, rank int")
     found = rounds[0]
     for more in rounds[1:]:
         found = found.unionByName(more)
-    return ranked(found, k)
+    return found
 
 
 # Sparse
 
 
+def counted(rows: DataFrame, keys: list[str], terms: Column) -> DataFrame:
+    """keys, n_terms, term, tf: how often each term stands in its row's array, counted in the row's batch: no shuffle."""
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1000):
+                some = batch.slice(a, 1000)
+                lists = some.column(len(keys))
+                sizes = np.nan_to_num(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(float)).astype("i8")
+                coded = pc.list_flatten(lists).dictionary_encode()
+                many = max(1, len(coded.dictionary))
+                pair, times = np.unique(np.repeat(np.arange(len(sizes)), sizes) * many + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+                at = pa.array(pair // many)
+                yield pa.record_batch([*(some.column(i).take(at) for i in range(len(keys))), pa.array(sizes[pair // many]), coded.dictionary.take(pa.array(pair % many)), pa.array(times)], names=[*keys, "n_terms", "term", "tf"])
+
+    return rows.select(*keys, terms.alias("terms")).mapInArrow(run, f"{kinds}, n_terms long, term string, tf long")
+
+
 def term_counts(chunks: DataFrame, key: str = "chunk_id", text: str = "text", pattern: str = X.WORD) -> DataFrame:
     """Postings: key, term, tf."""
-    return chunks.select(key, F.explode(X.words(text, pattern)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    return counted(chunks, [key], X.words(text, pattern)).select(key, "term", "tf")
+
+
+def corpus_statistics(chunks: DataFrame) -> DataFrame:
+    """One row: n, avgdl; chunks without words count."""
+    return chunks.agg(F.count("*").alias("n"), F.avg(F.size(X.words("text")).cast("double")).alias("avgdl"))
+
+
+def postings_of(chunks: DataFrame) -> DataFrame:
+    return counted(chunks, ["chunk_id"], X.words("text")).withColumnRenamed("n_terms", "dl")
 
 
 def bm25_index(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Postings with dl (chunk_id, term, tf, dl), term statistics (term, df) and corpus statistics (n, avgdl).
 
-    Chunks without words count in n and avgdl. Write the three once for many searches."""
-    tokens = chunks.select("chunk_id", X.words("text").alias("terms"))
-    postings = tokens.select("chunk_id", F.size("terms").cast("long").alias("dl"), F.explode("terms").alias("term")).groupBy("chunk_id", "term", "dl").agg(F.count("*").alias("tf"))
-    stats = tokens.agg(F.count("*").alias("n"), F.avg(F.size("terms").cast("double")).alias("avgdl"))
-    return postings, postings.groupBy("term").agg(F.count("*").alias("df")), stats
+    Write the postings once for many searches."""
+    postings = postings_of(chunks)
+    return postings, postings.groupBy("term").agg(F.count("*").alias("df")), corpus_statistics(chunks)
+
+
+def bm25_index_for(chunks: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """bm25_index() of the terms that some query has, for a search without an index: one pass finds their postings,
+    which are written for the two uses that they have, another counts the corpus."""
+    asked = queries.select(F.explode(X.words("text")).alias("term")).distinct()
+    postings = written(postings_of(chunks).join(asked, "term", "left_semi"), "bm25-postings")
+    return postings, postings.groupBy("term").agg(F.count("*").alias("df")), corpus_statistics(chunks)
 
 
 def bm25_scores(index: tuple[DataFrame, DataFrame, DataFrame], queries: DataFrame, k1: float = 1.5, b: float = 0.75, decimals: int = 9) -> DataFrame:
@@ -146,13 +194,15 @@ def bm25_scores(index: tuple[DataFrame, DataFrame, DataFrame], queries: DataFram
 
 
 def bm25_top_k(chunks: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
-    return ranked(bm25_scores(bm25_index(chunks), queries), k)
+    return ranked(bm25_scores(bm25_index_for(chunks, queries), queries), k)
 
 
 def hash_sparse(rows: DataFrame, key: str, text: str = "text", modulus: int = 10_000) -> DataFrame:
     """key, idx, weight: counts of the hashed white-space words, lower case; collisions add up."""
-    words = F.filter(F.split(F.lower(F.col(text)), r"(?U)\s+"), lambda w: w != "")
-    return rows.select(key, F.explode(words).alias("w")).select(key, E.hash_term(F.col("w"), modulus).alias("idx")).groupBy(key, "idx").agg(F.count("*").alias("weight"))
+    found = F.filter(F.split(F.lower(F.col(text)), r"(?U)\s+"), lambda w: w != "")
+    # Words are counted in their row's batch; what is left to add up are distinct words of one row in one slot.
+    words = counted(rows, [key], found).select(key, E.hash_term(F.col("term"), modulus).alias("idx"), "tf")
+    return words.groupBy(key, "idx").agg(F.sum("tf").alias("weight"))
 
 
 def sparse_top_k(doc_terms: DataFrame, query_terms: DataFrame, n_docs: DataFrame, k: int = 20, decimals: int = 6) -> DataFrame:

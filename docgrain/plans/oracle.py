@@ -294,3 +294,23 @@ o AS (SELECT d.doc_id, text, CASE WHEN d.doc_id IN (SELECT doc_id FROM labels WH
 SELECT count(*) AS docs, count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (status = 'indexed') AS indexed, count(*) FILTER (status = 'failed') AS failed,
   CAST(coalesce(sum(length(text)) FILTER (status = 'indexed'), 0) AS BIGINT) AS chars,
   CAST(coalesce(sum(CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, length(text) // 4) END) FILTER (status = 'indexed'), 0) AS BIGINT) AS est_tokens, CAST(coalesce(sum(n) FILTER (status = 'indexed'), 0) AS BIGINT) AS chunks FROM o"""
+ORACLE["C3_packed_chunks"] = r"""WITH RECURSIVE
+q AS (SELECT doc_id, text, regexp_extract_all(text, '[^ \n]*[ \n]|[^ \n]+') AS p FROM documents WHERE length(text) > 0),
+e AS (SELECT doc_id, length(x) AS n, pos FROM (SELECT doc_id, unnest(p) AS x, generate_subscripts(p, 1) AS pos FROM q)),
+c AS (SELECT doc_id, pos, CAST(sum(n) OVER (PARTITION BY doc_id ORDER BY pos) AS BIGINT) AS z FROM e),
+l AS (SELECT doc_id, list(z ORDER BY pos) AS ends, max(z) AS n FROM c GROUP BY doc_id),
+r AS (
+  SELECT doc_id, 0 AS k, CAST(0 AS BIGINT) AS a, coalesce(list_max(list_filter(ends, lambda x: x <= 2048)), ends[1]) AS b, n FROM l
+  UNION ALL
+  SELECT doc_id, k + 1, a, coalesce(list_max(list_filter(ends, lambda x: x > a AND x <= a + 2048)), list_min(list_filter(ends, lambda x: x > a))), n
+  FROM (SELECT r.doc_id, k, ends, r.n, greatest(list_min(list_filter(ends, lambda x: x > r.a)), coalesce(list_max(list_filter(ends, lambda x: x <= r.b - 256)), 0)) AS a FROM r JOIN l USING (doc_id) WHERE r.b < r.n))
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS chunk_idx, a AS "start", b AS "end", md5(substring(text, a + 1, b - a)) AS text_md5
+FROM r JOIN q USING (doc_id) WHERE regexp_matches(substring(text, a + 1, b - a), '\S')"""
+ORACLE["M5_holdout"] = """WITH a AS (SELECT doc_id, lang FROM documents QUALIFY count(*) OVER (PARTITION BY text) = 1),
+h AS (SELECT lang, count(*) AS n FROM a GROUP BY lang),
+e AS (SELECT least(24, coalesce((SELECT n FROM h WHERE lang = 'en'), 0)) AS en),
+f AS (SELECT en, least(40 - en, coalesce((SELECT n FROM h WHERE lang = 'fr'), 0)) AS fr FROM e),
+g AS (SELECT en, fr, least(50 - en - fr, coalesce((SELECT n FROM h WHERE lang = 'de'), 0)) AS de FROM f),
+b AS (SELECT h.lang, n, CASE h.lang WHEN 'en' THEN en WHEN 'fr' THEN fr WHEN 'de' THEN de ELSE 0 END AS k, 50 - en - fr - de AS short FROM h, g),
+w AS (SELECT lang, k + greatest(0, least(n - k, short - coalesce(sum(n - k) OVER (ORDER BY lang ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS q FROM b)
+SELECT doc_id, lang FROM a JOIN w USING (lang) QUALIFY row_number() OVER (PARTITION BY lang ORDER BY md5('43:' || doc_id), doc_id) <= q"""

@@ -372,7 +372,7 @@ def R3_filtered_pipeline(spark, sf_dir):
     gold = evaluate.relevant_documents(docs, table(spark, sf_dir, "benchmark")).join(docs.select("doc_id", "lang"), "doc_id")
     rules = gold.groupBy(F.col("item_id").alias("query_id")).agg(search.with_unknown(F.array_sort(F.collect_set("lang"))).alias("values"))
     chunks = R.chunks_of(docs)
-    scored = search.bm25_scores(search.bm25_index(chunks), asked)
+    scored = search.bm25_scores(search.bm25_index_for(chunks, asked), asked)
     named = scored.withColumn("doc_id", F.split("chunk_id", ":")[0].cast("long")).join(docs.select("doc_id", "lang"), "doc_id")
     found = search.ranked(search.allowed(named, rules, "lang").select("query_id", "chunk_id", "score"), 10)
     return found.select("query_id", "chunk_id", "score", i32("rank"))

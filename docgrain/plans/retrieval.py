@@ -48,7 +48,8 @@ def build_index(docs: DataFrame, into: Collection) -> int:
     """Chunks, dense vectors, postings and statistics as the collection's next version; each is made once for
     many searches. Postings lie sorted by term, so a search reads the row groups of its words."""
     chunks = written(chunks_of(docs), "index-chunks")
-    postings, terms, stats = search.bm25_index(chunks)
+    postings = written(search.postings_of(chunks), "index-postings")
+    terms, stats = postings.groupBy("term").agg(F.count("*").alias("df")), search.corpus_statistics(chunks)
     vectors = chunks.select("chunk_id", E.hash_dense(F.col("text")).alias("vector"))
     tables = {"chunks": chunks, "vectors": vectors, "postings": postings.repartitionByRange("term").sortWithinPartitions("term"), "terms": terms, "stats": stats}
     return into.replace(tables, {"chunks": chunks.count()})

@@ -1,6 +1,7 @@
 """The retrieval engine's operators against small vectors and plain definitions."""
 
 import random
+import re
 import uuid
 
 import pytest
@@ -64,9 +65,11 @@ def test_uuid5(spark):
 
 
 def test_clause_cells(spark):
-    cells = ["['June 8, 2010']", "[]", "plain", '["a", " b "]', None, "5"]
+    cells = ["['June 8, 2010']", "[]", "plain", '["a", " b "]', None, "5", "['it\\'s', \"two, three\", 7,]", "[a] and [b]", "'quoted'", "[ ]"]
     rows = spark.createDataFrame([(c,) for c in cells], "x string").select(X.clause_cell("x").alias("y")).collect()
-    assert [r["y"] for r in rows] == [["June 8, 2010"], [], ["plain"], ["a", "b"], [], ["5"]]
+    assert [r["y"] for r in rows] == [["June 8, 2010"], [], ["plain"], ["a", "b"], [], ["5"], ["it's", "two, three", "7"], ["[a] and [b]"], ["quoted"], []]
+    joined = spark.createDataFrame([("['a', 'b']",), ("[]",)], "x string").select(X.answer_cell("x").alias("y")).collect()
+    assert [r["y"] for r in joined] == ["a; b", ""]
 
 
 def test_repaired_json(spark):
@@ -119,15 +122,30 @@ def test_pending(spark):
     assert sorted(r["doc_id"] for r in clean.pending(docs, known, "s").collect()) == [2, 3, 4]
 
 
-def test_packed_pieces_cover_the_text():
-    for _ in range(300):
-        text = "".join(rng.choice(["word", "a", " ", "\n", "\n\n", "longerword"]) for _ in range(rng.randrange(60)))
-        assert "".join(chunk.pieces_of(text)) == text
-        cut = list(chunk.packed(text, 40, 8))
-        assert all(text[a : a + len(c)] == c and c.strip() for a, c in cut)
-        assert [a for a, _ in cut] == sorted({a for a, _ in cut})
-        seen = {i for a, c in cut for i in range(a, a + len(c))}
-        assert all(i in seen for i, ch in enumerate(text) if not ch.isspace())
+def plain_packed(text, size, overlap):
+    """Piece by piece, as the rule says."""
+    pieces = re.findall(r"[^ \n]*[ \n]|[^ \n]+", text)
+    out, first = [], 0
+    while first < len(pieces):
+        n = 1
+        while first + n < len(pieces) and len("".join(pieces[first : first + n + 1])) <= size:
+            n += 1
+        at = len("".join(pieces[:first]))
+        out.append((at, at + len("".join(pieces[first : first + n]))))
+        if first + n == len(pieces):
+            break
+        back = first + n
+        while back > first and len("".join(pieces[back : first + n])) < overlap:
+            back -= 1
+        first = max(first + 1, back)
+    return out
+
+
+def test_packed_chunks_follow_the_rule():
+    for _ in range(400):
+        text = "".join(rng.choice(["word", "a", " ", "\n", "\n\n", "longerword", "é\U0001f600"]) for _ in range(rng.randrange(60)))
+        for size, overlap in ((40, 8), (6, 0), (3, 30)):
+            assert list(chunk.packed(text, size, overlap)) == plain_packed(text, size, overlap), text
 
 
 def plain_windows(text, size, step):
@@ -288,6 +306,15 @@ def test_quotas():
     assert sampling.holdout_quotas({"core": 30, "ip": 2, "other": 30}, 50, {"core": 24, "ip": 16, "other": 10}) == {"core": 24, "ip": 2, "other": 24}
 
 
+def test_levelling_equals_one_unit_at_a_time():
+    for _ in range(300):
+        heights = {c: rng.randrange(8) for c in "abcde"[: rng.randrange(1, 6)]}
+        n, left = rng.randrange(30), dict(heights)
+        for _ in range(min(n, sum(heights.values()))):
+            left[max(left, key=lambda s: (left[s], s))] -= 1
+        assert sampling.levelled(heights, n) == {s: h - left[s] for s, h in heights.items()}
+
+
 def test_filled_buckets():
     offers = {f"d{i}": {"slot": ["a", "b"], "yes_span": ["x"] if i % 2 else [], "no_answer": ["y"]} for i in range(6)}
     got = sampling.filled_buckets(offers, {"slot": 4, "yes_span": 3, "no_answer": 2})
