@@ -19,7 +19,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A table. One with fewer splits than the session has cores is dealt over all of them, for the work is on whole
+    texts; a larger one is left as it is split and nothing moves."""
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df if table not in ("documents", "pages") or df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def scratch_dir(spark: SparkSession) -> str:
