@@ -12,7 +12,7 @@ from docgrain.functions import text as X
 from docgrain.operators import agent, chunk, clean, evaluate, feedback, fuse, registry, sampling, search
 from docgrain.plans import retrieval as R
 from docgrain.sources import collections, readers
-from docgrain.sources.readers import table
+from docgrain.sources.readers import spread, table
 from docgrain.sources.scratch import written
 from docgrain.streaming import ingest
 
@@ -218,7 +218,7 @@ def C2_fixed_windows(spark, sf_dir):
 
 @query
 def C3_packed_chunks(spark, sf_dir):
-    cut = chunk.packed_chunks(table(spark, sf_dir, "documents"))
+    cut = chunk.packed_chunks(spread(table(spark, sf_dir, "documents")))
     return cut.select("doc_id", i64("chunk_idx"), i64("start"), i64("end"), F.md5("text").alias("text_md5"))
 
 
@@ -246,7 +246,7 @@ def E1_hash_dense(spark, sf_dir):
 
 @query
 def E2_hash_sparse(spark, sf_dir):
-    return search.hash_sparse(table(spark, sf_dir, "documents"), "doc_id")
+    return search.hash_sparse(spread(table(spark, sf_dir, "documents")), "doc_id")
 
 
 @query
@@ -685,7 +685,7 @@ def N4_stems(spark, sf_dir):
 
 @query
 def N7_tokens(spark, sf_dir):
-    return search.term_counts(table(spark, sf_dir, "documents"), "doc_id")
+    return search.term_counts(spread(table(spark, sf_dir, "documents")), "doc_id")
 
 
 @query

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docgrain.functions import encode as E
 from docgrain.operators import chunk, evaluate, fuse, search
 from docgrain.sources.collections import Collection
-from docgrain.sources.readers import table
+from docgrain.sources.readers import spread, table
 from docgrain.sources.scratch import written
 
 K = 20
@@ -16,7 +16,7 @@ K = 20
 
 def chunks_of(docs: DataFrame, tokens: int = 512, overlap: int = 64) -> DataFrame:
     """chunk_id ('doc:index'), doc_id, chunk_idx, start, end, text."""
-    cut = chunk.fixed_windows(docs, tokens, overlap)
+    cut = chunk.fixed_windows(spread(docs), tokens, overlap)
     return cut.withColumn("chunk_id", F.concat_ws(":", F.col("doc_id").cast("string"), F.col("chunk_idx").cast("string")))
 
 

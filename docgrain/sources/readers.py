@@ -15,6 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table with fewer splits than the session has cores, dealt over all of them, for work on whole texts; a larger one is
+    left as it is split and nothing moves."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def text_files(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, source_path, page_no 1, text: whole files."""
     found = spark.read.text(path, wholetext=True).withColumn("source_path", F.input_file_name())
