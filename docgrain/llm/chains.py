@@ -98,13 +98,13 @@ class Rows:
     """Feature rows laid end to end."""
 
     def __init__(self, parts: list[tuple[np.ndarray, np.ndarray]]):
-        self.n, self.row = len(parts), np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-        self.slot = np.concatenate([np.empty(0, "i8"), *(p[0] for p in parts)]).astype("i8")
+        self.n, self.row = len(parts), np.repeat(np.arange(len(parts), dtype="i4"), [len(p[0]) for p in parts])
+        self.slot = np.concatenate([np.empty(0, "i4"), *(p[0] for p in parts)]).astype("i4")
         self.value = np.concatenate([np.empty(0, "f4"), *(p[1] for p in parts)])
 
     def some(self, at: np.ndarray) -> Rows:
-        out, place = Rows([]), np.full(self.n, -1)
-        place[at] = np.arange(len(at))
+        out, place = Rows([]), np.full(self.n, -1, "i4")
+        place[at] = np.arange(len(at), dtype="i4")
         own = place[self.row] >= 0
         out.n, out.row, out.slot, out.value = len(at), place[self.row[own]], self.slot[own], self.value[own]
         return out
@@ -138,7 +138,7 @@ class Linear:
         # How far a slot's mean value under the label is from its mean elsewhere, in standard errors.
         n1, n0 = labels.sum(), (1 - labels).sum()
         total = lambda v: np.bincount(rows.slot, weights=v, minlength=2 * HALF)
-        one, all_, square = total(rows.value * labels[rows.row]), total(rows.value), total(rows.value**2) / rows.n
+        one, all_, square = total(rows.value * labels.astype("f4")[rows.row]), total(rows.value), total(rows.value**2) / rows.n
         spread = np.sqrt(np.maximum(square - (all_ / rows.n) ** 2, 0) * (1 / n1 + 1 / n0)) + 1e-3
         gain = np.abs(one / n1 - (all_ - one) / n0) / spread
         self.slots = np.sort(np.argsort(-gain, kind="stable")[:most])
@@ -165,11 +165,11 @@ class Chain:
         """labels: a column for each category, in the chain's order; the last decides."""
         fold = np.random.default_rng(folds).permutation(rows.n) % folds
         earlier = np.zeros((rows.n, 0))
-        parts = [(seen, held, rows.some(seen), rows.some(held)) for f in range(folds) for seen, held in [(np.flatnonzero(fold != f), np.flatnonzero(fold == f))]]
         for k in range(len(self.names)):
             out = np.zeros(rows.n)
-            for seen, held, own, other in parts:
-                out[held] = Linear(k).fit(own, earlier[seen], labels[seen, k]).probability(other, earlier[held])
+            for f in range(folds):
+                seen, held = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
+                out[held] = Linear(k).fit(rows.some(seen), earlier[seen], labels[seen, k]).probability(rows.some(held), earlier[held])
             self.models.append(Linear(k).fit(rows, earlier, labels[:, k]))
             earlier = np.column_stack([earlier, out])
         # The threshold with the best F1 on the out-of-fold probabilities of the last category.
@@ -245,13 +245,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", labelled: int
             points = [pa.array([x[a:b].astype(t).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()) for x, t in ((slot, "i4"), (value, "f4"))]
             yield pa.record_batch([*(batch.column(c) for c in ("doc_id", "label", "lang")), *points], names=["doc_id", "label", "lang", "at", "value"])
 
-    found = few.mapInArrow(measure, "doc_id long, label int, lang string, at binary, value binary").collect()
-    found.sort(key=lambda r: r["doc_id"])
-    if not found:
+    # A bounded table; as Arrow, its bytes are held once.
+    found = few.mapInArrow(measure, "doc_id long, label int, lang string, at binary, value binary").toArrow().sort_by("doc_id")
+    if not len(found):
         return None
-    rows = Rows([(np.frombuffer(r["at"], "i4"), np.frombuffer(r["value"], "f4")) for r in found])
-    toxic = np.array([r["label"] == 1 for r in found])
-    return Chain(names_of(label)).fit(rows, np.column_stack([derived(rows, toxic, [r["lang"] for r in found]), toxic]).astype(float))
+    rows = Rows([(np.frombuffer(a.as_buffer(), "i4"), np.frombuffer(v.as_buffer(), "f4")) for a, v in zip(found["at"], found["value"], strict=True)])
+    toxic, langs = np.array(found["label"].to_pylist()) == 1, found["lang"].to_pylist()
+    del found
+    return Chain(names_of(label)).fit(rows, np.column_stack([derived(rows, toxic, langs), toxic]).astype(float))
 
 
 def score(docs: DataFrame, fitted: Chain | None) -> DataFrame:
