@@ -129,6 +129,29 @@ def spearman(pairs: DataFrame, x: str, y: str, decimals: int = 6) -> DataFrame:
     return both.agg(F.count("*").alias("n"), F.round(F.when(F.count("*") < 2, 0.0).otherwise(F.coalesce(F.nanvl(r, F.lit(0.0)), F.lit(0.0))), decimals).alias("spearman"))
 
 
+def samples_of(items: DataFrame, records: DataFrame, default_route: str = "corpus_technical") -> DataFrame:
+    """Evaluation samples: items (id, question, gold_answer, gold_spans, expected_abstain, expected_route, bucket) with their records (id,
+    retrieved_contexts, answer, route, abstained, quotes, latency_ms, llm_calls, groundedness); records of unknown ids go.
+
+    Empty contexts are left out; citations_valid is null without quotes, else whether each occurs in some context."""
+    text = lambda c: F.coalesce(c, F.lit(""))
+    whole = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(c)
+    both = items.join(records, "id").withColumn("retrieved_contexts", F.filter(F.coalesce("retrieved_contexts", F.array().cast("array<string>")), lambda c: text(c) != ""))
+    hay = F.transform("retrieved_contexts", X.normalize)
+    held = F.forall("quotes", lambda q: (F.trim(text(q)) != "") & F.exists(hay, lambda c: F.contains(c, X.normalize(q))))
+    return both.select(
+        "id", "question", "retrieved_contexts", text(F.col("answer")).alias("answer"), reference(F.col("gold_answer"), F.col("gold_spans")).alias("reference"), "expected_abstain", "expected_route",
+        F.coalesce(F.nullif("route", F.lit("")), F.lit(default_route)).alias("predicted_route"), F.coalesce("abstained", F.lit(False)).alias("abstained"),
+        F.when(F.size("quotes") > 0, held).alias("citations_valid"), whole("latency_ms"), whole("llm_calls"), "groundedness", "bucket",
+    )
+
+
+def paired(a: DataFrame, b: DataFrame, score: str, names: tuple[str, str] = ("ragas", "deepeval")) -> DataFrame:
+    """id and the scores of two judges, (id, score) each, where both have one."""
+    one = lambda d, name: d.where(F.col(score).isNotNull()).select("id", F.col(score).alias(name))
+    return one(a, names[0]).join(one(b, names[1]), "id")
+
+
 def disagreements(pairs: DataFrame, x: str, y: str, delta: float = 0.3) -> DataFrame:
     return pairs.where(F.abs(F.col(x) - F.col(y)) > delta)
 

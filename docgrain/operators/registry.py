@@ -14,6 +14,27 @@ def catalog(manifest: DataFrame, registry: DataFrame) -> DataFrame:
     return manifest.select("doc_id", "name", "kind").unionByName(more.select("doc_id", "name", "kind"))
 
 
+def listed(rows: DataFrame, order: tuple[str, ...] = ("kind", "doc_id"), **equal: object) -> DataFrame:
+    """The rows in order, those that equal what is asked for."""
+    for name, value in equal.items():
+        rows = rows.where(F.col(name) == F.lit(value))
+    return rows.orderBy(*order)
+
+
+def looked_up(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Each asked id with its row, nulls where there is none."""
+    return ids.select(key).join(rows, key, "left")
+
+
+def work_list(manifest: DataFrame, paths: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """doc_id, path, kind of what an ingest takes: the paths (path) if given, else the manifest (doc_id, path, kind) in the order of
+    doc_id, as far as the limit goes."""
+    if paths is not None:
+        return paths.select(X.normal_stem("path").alias("doc_id"), "path", F.lit(None).cast("string").alias("kind"))
+    out = manifest.select("doc_id", "path", "kind").orderBy("doc_id")
+    return out if limit is None else out.limit(limit)
+
+
 def marked(registry: DataFrame, outcome: DataFrame) -> DataFrame:
     """The registry after a run: outcome (doc_id, sha256, index_sig, status) replaces a document's row."""
     same = registry.join(outcome.select("doc_id"), "doc_id", "left_anti")

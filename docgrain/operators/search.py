@@ -54,11 +54,12 @@ def merged_filters(extracted: Column, asked: Column) -> Column:
     return F.coalesce(asked, extracted)
 
 
-def named_documents(questions: DataFrame, catalog: DataFrame, stop: tuple[str, ...], most: int = 5, least_length: int = 4) -> DataFrame:
+def named_documents(questions: DataFrame, catalog: DataFrame, stop: tuple[str, ...], most: int = 5, least_length: int = 4, kinds_of: dict[str, str] | None = None) -> DataFrame:
     """questions (query_id, text), catalog (doc_id, name, kind) -> query_id, doc_ids (sorted), kind.
 
     A question's words meet the words of catalog names. A word that names one document settles it, unless
     another names a different one; else the smallest set of at most `most` documents. kind is theirs if they agree.
+    With kinds_of (aliases), a question that settles on no document takes the kind that its text names, if the catalog has it.
     """
     ask = questions.select("query_id", F.explode(F.array_distinct(X.words("text", X.WORD_APOSTROPHE))).alias("token"))
     ask = ask.where((F.length("token") >= least_length) & ~F.col("token").isin(*stop))
@@ -73,7 +74,12 @@ def named_documents(questions: DataFrame, catalog: DataFrame, stop: tuple[str, .
     docs = F.when(F.size("single") == 1, F.col("single")).when(F.size("single") == 0, F.col("smallest.docs"))
     out = hits.select("query_id", docs.alias("docs")).where(F.col("docs").isNotNull())
     kinds = F.array_distinct(F.filter(F.transform("docs", lambda d: d["kind"]), lambda k: F.coalesce(k, F.lit("")) != ""))
-    return out.select("query_id", F.array_sort(F.transform("docs", lambda d: d["doc_id"])).alias("doc_ids"), F.when(F.size(kinds) == 1, F.try_element_at(kinds, F.lit(1))).alias("kind"))
+    out = out.select("query_id", F.array_sort(F.transform("docs", lambda d: d["doc_id"])).alias("doc_ids"), F.when(F.size(kinds) == 1, F.try_element_at(kinds, F.lit(1))).alias("kind"))
+    if kinds_of is None:
+        return out
+    named = questions.select("query_id", X.named_type("text", kinds_of).alias("kind")).where("kind IS NOT NULL").join(out, "query_id", "left_anti")
+    named = named.join(catalog.select("kind").distinct(), "kind", "left_semi")
+    return out.unionByName(named, allowMissingColumns=True)
 
 
 # Dense

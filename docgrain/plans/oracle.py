@@ -58,15 +58,16 @@ LOGS = "l AS (SELECT conv_id AS query_id, arg_min(text, turn) AS question, arg_m
 VERSIONS = """now AS (SELECT doc_id, sha256(text) AS sha256 FROM documents),
 points AS (SELECT * FROM now UNION ALL SELECT doc_id, sha256(sha256 || ':old') FROM now WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1))"""
 KS = (1, 3, 5, 10)
+#: What is asked for a passage: all its words, or the first three.
+ASKED, THREE_WORDS = "lower(text), '[a-z0-9]+'))) AS term FROM benchmark", "lower(array_to_string(string_split(text, ' ')[1:3], ' ')), '[a-z0-9]+'))) AS term FROM benchmark"
 JUDGED = (
     BM25
     + f""",
 {QRELS},
-items AS (SELECT item_id AS query_id, CASE WHEN length(text) < 200 THEN 'short' ELSE 'long' END AS bucket FROM benchmark),
+items AS (SELECT item_id || ':' || doc_id AS query_id, item_id, doc_id, text AS span, CASE WHEN length(text) < 200 THEN 'short' ELSE 'long' END AS bucket FROM gold JOIN benchmark USING (item_id)),
 res AS (
-  SELECT i.query_id, bucket, rank, gold.doc_id IS NOT NULL AND rank IS NOT NULL AS rel
-  FROM items i LEFT JOIN (SELECT *, CAST(split_part(chunk_id, ':', 1) AS BIGINT) AS doc_id FROM sparse WHERE rank <= 10) s USING (query_id)
-  LEFT JOIN gold ON gold.item_id = i.query_id AND gold.doc_id = s.doc_id),
+  SELECT i.query_id, i.item_id, i.doc_id, bucket, rank, coalesce(contains({normal("s.text")}, {normal("span")}), false) AS rel
+  FROM items i LEFT JOIN (SELECT query_id, doc_id, rank, text FROM sparse JOIN chunks USING (chunk_id) WHERE rank <= 10) s ON s.query_id = i.item_id AND s.doc_id = i.doc_id),
 m AS (
   SELECT query_id, bucket, coalesce(1.0e0 / min(rank) FILTER (rel), 0) AS mrr"""
     + "".join(
@@ -77,6 +78,8 @@ m AS (
     + """
   FROM res GROUP BY query_id, bucket)"""
 )
+PAIRED = """j AS (SELECT l.doc_id AS id, quality::DOUBLE AS ragas, round(length(regexp_replace(text, '[^A-Za-z]', '', 'g')) / greatest(length(text), 1), 6) AS deepeval
+  FROM labels l JOIN documents d USING (doc_id) WHERE quality IS NOT NULL AND length(text) >= 200)"""
 LABELLED = "d AS (SELECT * FROM documents JOIN labels USING (doc_id))"
 
 
@@ -95,7 +98,14 @@ SELECT folder, CASE folder WHEN 'fr' THEN 'French' WHEN 'de' THEN 'German' WHEN
     "S4_clause_lookup": r"""WITH r AS (SELECT lower(p_name) AS stem, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS key, p_partkey FROM part)
 SELECT DISTINCT stem, key, max(p_partkey) OVER (PARTITION BY stem) AS last_by_stem, min(p_partkey) OVER (PARTITION BY key) AS first_by_key FROM r""",
     "S6_scan_chunks": f"WITH {CHUNKS} SELECT chunk_id, doc_id, length(text) AS n_chars FROM chunks",
-    "S7_registry_list": "SELECT source, lang, count(*) AS n, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM documents GROUP BY source, lang",
+    "S7_registry_list": "SELECT doc_id, lang AS kind, source, n_chars FROM documents ORDER BY lang, doc_id",
+    "S7_registry_get": "SELECT event_id AS doc_id, source, n_chars FROM events LEFT JOIN documents ON doc_id = event_id",
+    "S7_feedback_of_query": f"WITH {RATINGS} SELECT feedback_id, query_id, rating FROM f WHERE query_id = 7 ORDER BY feedback_id",
+    "S10_work_list": "SELECT doc_id, source AS path, lang AS kind FROM documents ORDER BY doc_id LIMIT 100",
+    "K11_results_table": f"""WITH {LABELLED} SELECT concat_ws('/', source, lang) AS path, source AS profile, lang AS split, CAST(count(*) AS INT) AS n, substring(md5(concat_ws('/', source, lang)), 1, 12) AS config_hash, '' AS git_sha,
+  round(avg(quality), 6) AS mrr, round(avg(toxic), 6) AS "hit@5", CAST(NULL AS DOUBLE) AS "r@5" FROM d GROUP BY source, lang""",
+    "M8_standing_run": f"""WITH {LABELLED}, w AS (SELECT DISTINCT source AS profile, lang AS split, md5(CASE WHEN quality = 1 THEN text ELSE 'none' END) AS config_hash FROM d)
+SELECT profile, split, config_hash, (SELECT CAST(arg_max(doc_id, (md5(text) IS NOT DISTINCT FROM config_hash, doc_id)) AS VARCHAR) FROM documents WHERE source = profile AND lang = split) AS path FROM w""",
     "S8_remaining": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "S9_catalog": "SELECT doc_id, source AS name, lang AS kind FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) OR n_chars > 0",
     "K1_upsert": "SELECT doc_id, CAST(coalesce(q, -1) AS INT) AS state FROM documents FULL JOIN (SELECT doc_id, max(quality) AS q FROM labels GROUP BY doc_id) USING (doc_id)",
@@ -147,7 +157,7 @@ SELECT vec_id, unnest(range(len(e))) AS at, round(unnest(list_transform(e, lambd
     "A12_corpus_statistics": f"WITH {BM25} SELECT term, df, n, round(avgdl, 6) AS avgdl FROM df, stats",
     "P1_filter": "SELECT lang, source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM documents WHERE lang IN ('de', 'fr') GROUP BY lang, source",
     "P2_unknown_type": "SELECT source, string_agg(DISTINCT lang, ',' ORDER BY lang) || ',Unknown' AS types FROM documents GROUP BY source",
-    "P3_named_documents": r"""WITH stop AS (SELECT unnest(string_split('agreement agreements clause clauses contract does include includes which what whose jurisdiction govern governs the and for with from this that under between required measured appears grant', ' ')) AS token),
+    "P3_named_documents": r"""WITH stop AS (SELECT unnest(string_split('agreement agreements clause clauses contract does include includes which what whose jurisdiction govern governs the and for with from this that under between required measured appears grant governing law parties date effective expiration renewal term notice period to terminate exclusivity audit rights cap on liability non compete ip assignment ownership insurance minimum commitment license anti termination convenience transferable affiliate agency co branding cobranding collaboration cooperation consulting development distributor endorsement franchise hosting ip joint venture license maintenance manufacturing marketing non compete noncompete outsourcing promotion reseller service services sponsorship strategic alliance supply transportation', ' ')) AS token),
 ask AS (SELECT DISTINCT conv_id || ':' || turn AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+(?:''[a-z0-9]+)?')) AS token FROM conversations WHERE role = 'user'),
 cat AS (SELECT DISTINCT page_id AS doc_id, regexp_extract(url, '^https?://[^/]+/([a-z]*)', 1) AS kind, unnest(regexp_extract_all(lower(regexp_extract(url, '^https?://([^/]+)', 1)), '[a-z0-9]+')) AS token FROM pages),
 h AS (SELECT query_id, token, doc_id, kind FROM ask JOIN cat USING (token) WHERE length(token) >= 4 AND token NOT IN (SELECT token FROM stop)),
@@ -195,17 +205,14 @@ SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id
     "M1_question_metrics": f"WITH {JUDGED} SELECT query_id, bucket, round(mrr, 6) AS mrr"
     + "".join(f', round("{m}@{k}", 6) AS "{m}@{k}"' for k in KS for m in ("p", "hit", "ndcg"))
     + " FROM m",
-    "M2_span_recall": f"""WITH {BM25}, {QRELS},
-f AS (SELECT DISTINCT query_id, CAST(split_part(chunk_id, ':', 1) AS BIGINT) AS doc_id FROM sparse WHERE rank <= 10),
-x AS (SELECT item_id AS query_id, CAST(f.doc_id IS NOT NULL AS INT)::DOUBLE AS hit FROM gold LEFT JOIN f ON f.query_id = item_id AND f.doc_id = gold.doc_id)
+    "M2_span_recall": f"""WITH {JUDGED}, x AS (SELECT item_id AS query_id, doc_id, CAST(bool_or(rel) AS INT)::DOUBLE AS hit FROM res GROUP BY item_id, doc_id)
 SELECT query_id, round(avg(hit), 6) AS r, max(hit) AS r_any, min(hit) AS r_all FROM x GROUP BY query_id""",
     "A1_aggregate": f"""WITH {JUDGED}, u AS (SELECT 'overall' AS "by", 'all' AS key, * FROM m UNION ALL SELECT 'bucket', bucket, * FROM m)
 SELECT "by", key, round(avg(mrr), 6) AS mrr, round(avg("hit@5"), 6) AS "hit@5", round(avg("ndcg@10"), 6) AS "ndcg@10", count(*) AS n FROM u GROUP BY "by", key""",
-    "A8_top_misses": f"""WITH {JUDGED},
-g AS (SELECT item_id AS query_id, min(doc_id) AS doc_id FROM gold GROUP BY item_id),
-f AS (SELECT DISTINCT query_id, CAST(split_part(chunk_id, ':', 1) AS BIGINT) AS doc_id FROM sparse WHERE rank <= 10)
-SELECT query_id AS id, doc_id, CASE WHEN (query_id, doc_id) NOT IN (SELECT query_id, doc_id FROM f) THEN 'exact_term_miss' WHEN "hit@10" = 0 THEN 'chunk_boundary' WHEN "hit@5" = 0 THEN 'reranker_demoted_gold' ELSE 'header_noise' END AS tag, round(mrr, 6) AS mrr
-FROM m JOIN g USING (query_id) WHERE "hit@10" < 1 ORDER BY "hit@10", m.mrr, query_id LIMIT 20""",
+    "A8_top_misses": f"""WITH {JUDGED.replace(ASKED, THREE_WORDS)},
+f AS (SELECT DISTINCT query_id AS item_id, doc_id FROM sparse JOIN chunks USING (chunk_id) WHERE rank <= 10)
+SELECT query_id AS id, i.doc_id, CASE WHEN f.doc_id IS NULL THEN 'exact_term_miss' WHEN "hit@10" = 0 THEN 'chunk_boundary' WHEN "hit@5" = 0 THEN 'reranker_demoted_gold' ELSE 'header_noise' END AS tag, round(m.mrr, 6) AS mrr
+FROM m JOIN items i USING (query_id) LEFT JOIN f ON f.item_id = i.item_id AND f.doc_id = i.doc_id WHERE "hit@10" < 1 ORDER BY "hit@10", m.mrr, query_id LIMIT 20""",
     "A2_answer_metrics": f"""WITH {LABELLED},
 s AS (SELECT quality = 1 AS route, n_chars > 500 AS predicted, toxic = 1 AS want, contains(text, 'idiot') OR contains(text, 'clown') AS did,
   CASE WHEN quality = 1 THEN n_chars > 100 END AS ok, CASE WHEN toxic = 0 THEN least(1.0e0, n_chars / 4000.0e0) END AS g, n_chars, doc_id % 7 AS calls FROM d),
@@ -218,13 +225,20 @@ SELECT count(*)::DOUBLE AS n, round(avg(CAST(route = predicted AS INT)), 6) AS r
     "A4_spearman": """WITH r AS (SELECT l_quantity AS x, round(l_extendedprice, 0) AS y FROM lineitem),
 k AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0e0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0e0 AS ry FROM r)
 SELECT count(*) AS n, round(corr(rx, ry), 6) AS spearman FROM k""",
-    "A5_disagreements": f"WITH {LABELLED}, j AS (SELECT doc_id AS id, quality::DOUBLE AS ragas, round(length(regexp_replace(text, '[^A-Za-z]', '', 'g')) / greatest(length(text), 1), 6) AS deepeval FROM d) SELECT * FROM j WHERE abs(ragas - deepeval) > 0.3",
+    "J4_samples": f"""WITH r AS (SELECT doc_id AS id, [x FOR x IN string_split(text, chr(10))[2:] IF x <> ''] AS contexts, string_split(text, chr(10))[2:2] AS quotes, text, source, n_chars FROM documents)
+SELECT id, len(contexts) AS n_contexts, substring(text, 1, 50) AS answer, quality || ' kept' AS reference, CASE WHEN id % 3 > 0 THEN source ELSE 'corpus_technical' END AS predicted_route, n_chars < 100 AS abstained,
+  CASE WHEN len(quotes) > 0 THEN trim(quotes[1], ' ') <> '' AND len([x FOR x IN contexts IF contains({normal("x")}, {normal("quotes[1]")})]) > 0 END AS citations_valid, n_chars AS latency_ms, CAST(0 AS BIGINT) AS llm_calls
+FROM r JOIN labels ON id = doc_id""",
+    "A5_agreement": f"""WITH {PAIRED},
+k AS (SELECT rank() OVER (ORDER BY ragas) + (count(*) OVER (PARTITION BY ragas) - 1) / 2.0e0 AS rx, rank() OVER (ORDER BY deepeval) + (count(*) OVER (PARTITION BY deepeval) - 1) / 2.0e0 AS ry FROM j)
+SELECT count(*) AS n, round(corr(rx, ry), 6) AS spearman FROM k""",
+    "A5_disagreements": f"WITH {PAIRED} SELECT * FROM j WHERE abs(ragas - deepeval) > 0.3",
     "A6_ratings_by_route": f"WITH {RATINGS}, {LOGS} SELECT coalesce(nullif(route, ''), '(none)') AS key, count(*) AS n, round(avg(rating), 6) AS mean_rating, count(*) FILTER (rating >= 4) AS up, count(*) FILTER (rating <= 2) AS down FROM f JOIN l USING (query_id) GROUP BY 1",
     "A6_ratings_by_type": f"""WITH {RATINGS}, {LOGS}, c AS (SELECT query_id, unnest(cited) AS doc_id FROM l),
 k AS (SELECT DISTINCT query_id, coalesce(lang, '(unknown)') AS kind FROM c LEFT JOIN documents USING (doc_id))
 SELECT kind AS key, count(*) AS n, round(avg(rating), 6) AS mean_rating, count(*) FILTER (rating >= 4) AS up, count(*) FILTER (rating <= 2) AS down FROM f JOIN k USING (query_id) GROUP BY kind""",
     "A7_worst_queries": f"WITH {RATINGS}, {LOGS} SELECT query_id, count(*) AS n, round(avg(rating), 6) AS mean_rating, any_value(route) AS route FROM f JOIN l USING (query_id) GROUP BY query_id ORDER BY round(avg(rating), 6), n DESC, query_id LIMIT 20",
-    "A10_framework_means": f"WITH {LABELLED} SELECT round(avg(quality), 6) AS ragas, count(*) AS n_ragas, round(avg(round(length(regexp_replace(text, '[^A-Za-z]', '', 'g')) / greatest(length(text), 1), 6)), 6) AS deepeval, count(*) AS n_deepeval FROM d WHERE toxic <> 1",
+    "A10_framework_means": f"WITH {PAIRED} SELECT round(avg(ragas), 6) AS ragas, count(*) AS n_ragas, round(avg(deepeval), 6) AS deepeval, count(*) AS n_deepeval FROM j JOIN labels ON id = doc_id WHERE toxic <> 1",
     "A11_frequencies": "SELECT source, count(*) AS n, count(DISTINCT lang) AS n_lang, count(DISTINCT text) AS n_texts FROM documents GROUP BY source",
     "J9_split_overlap": "SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)",
     "J1_joined_sources": r"""WITH p AS (SELECT p_partkey, replace(lower(p_name), ' ', '_') AS stem, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS key FROM part),

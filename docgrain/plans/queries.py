@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docgrain.functions import encode as E
 from docgrain.functions import text as X
 from docgrain.operators import agent, chunk, clean, evaluate, feedback, fuse, registry, sampling, search
+from docgrain.operators import runs as run_tables
 from docgrain.plans import retrieval as R
 from docgrain.sources import collections, readers
 from docgrain.sources.readers import spread, table
@@ -73,8 +74,45 @@ def S6_scan_chunks(spark, sf_dir):
 
 @query
 def S7_registry_list(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return docs.groupBy("source", "lang").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("kind"), "source", "n_chars")
+    return registry.listed(rows)
+
+
+@query
+def S7_registry_get(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    return registry.looked_up(rows, table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id")))
+
+
+@query
+def S7_feedback_of_query(spark, sf_dir):
+    """The filter is the operator: the feedback of one question."""
+    return registry.listed(ratings(spark, sf_dir), ("feedback_id",), query_id=7).select("feedback_id", "query_id", "rating")
+
+
+@query
+def S10_work_list(spark, sf_dir):
+    """The limit is the operator: the first documents of the manifest."""
+    manifest = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("path"), F.col("lang").alias("kind"))
+    return registry.work_list(manifest, limit=100)
+
+
+@query
+def K11_results_table(spark, sf_dir):
+    """A run a source and language, its metrics those of the labels."""
+    d = labelled(spark, sf_dir)
+    runs = d.groupBy("source", "lang").agg(F.count("*").alias("n"), F.round(F.avg("quality"), 6).alias("mrr"), F.round(F.avg("toxic"), 6).alias("hit"), F.md5(F.concat_ws("/", "source", "lang")).alias("config_hash"))
+    overall = F.create_map(F.lit("n"), F.col("n").cast("double"), F.lit("mrr"), F.col("mrr"), F.lit("hit@5"), F.col("hit"))
+    payload = F.to_json(F.struct(F.col("source").alias("profile"), F.col("lang").alias("split"), "config_hash", overall.alias("overall")))
+    return run_tables.retrieval_table(runs.select(F.concat_ws("/", "source", "lang").alias("path"), payload.alias("json"))).select("path", "profile", "split", "n", "config_hash", "git_sha", "mrr", "`hit@5`", "`r@5`")
+
+
+@query
+def M8_standing_run(spark, sf_dir):
+    """Documents as runs of their source and language; asked for are the labelled texts, bad ones by a configuration that never ran."""
+    run = lambda d, text: d.select(F.col("source").alias("profile"), F.col("lang").alias("split"), F.md5(text).alias("config_hash"), F.col("doc_id").alias("modified"), F.col("doc_id").cast("string").alias("path"))
+    wanted = run(labelled(spark, sf_dir), F.when(F.col("quality") == 1, F.col("text")).otherwise("none")).select("profile", "split", "config_hash").distinct()
+    return run_tables.standing_run(run(table(spark, sf_dir, "documents"), F.col("text")), wanted)
 
 
 @query
@@ -281,7 +319,7 @@ def P3_named_documents(spark, sf_dir):
     asked = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.concat_ws(":", "conv_id", "turn").alias("query_id"), "text")
     host = F.split(F.regexp_extract("url", r"^https?://([^/]+)", 1), r"\.")
     known = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.array_join(host, " ").alias("name"), F.regexp_extract("url", r"^https?://[^/]+/([a-z]*)", 1).alias("kind"))
-    found = search.named_documents(asked, known, X.STOP_WORDS)
+    found = search.named_documents(asked, known, X.QUESTION_VOCABULARY, kinds_of=X.TYPE_ALIASES)
     return found.select("query_id", F.array_join(F.transform("doc_ids", lambda d: d.cast("string")), ",").alias("doc_ids"), "kind")
 
 
@@ -392,11 +430,32 @@ def J6_relevant_documents(spark, sf_dir):
     return evaluate.relevant_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def gold_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each passage with each document that holds it: query_id ('item:doc'), item_id, doc_id, span, bucket."""
+    spans = table(spark, sf_dir, "benchmark")
+    pairs = evaluate.relevant_documents(table(spark, sf_dir, "documents"), spans).join(spans.select("item_id", F.col("text").alias("span")), "item_id")
+    bucket = F.when(F.length("span") < 200, "short").otherwise("long")
+    return pairs.select(F.concat_ws(":", F.col("item_id").cast("string"), F.col("doc_id").cast("string")).alias("query_id"), "item_id", "doc_id", "span", bucket.alias("bucket"))
+
+
+def found_and_judged(spark: SparkSession, sf_dir: str, threshold: float | None = None, n_words: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """BM25's ten best chunks a passage (asked for by its first n_words, or all), and which of them hold the whole passage of an
+    item's document."""
+    chunks, asked = R.chunks_of(table(spark, sf_dir, "documents")), R.questions(spark, sf_dir)
+    if n_words:
+        asked = asked.withColumn("text", F.array_join(F.slice(F.split("text", " "), 1, n_words), " "))
+    found = written(search.bm25_top_k(chunks, asked, 10), "found")
+    return found, R.judged(found, chunks, gold_items(spark, sf_dir), threshold)
+
+
+@query
+def J6_relevant_chunks(spark, sf_dir):
+    """Fuzzy: a fragment that does not occur as it is may be alike by 90 of 100."""
+    return found_and_judged(spark, sf_dir, 90.0)[1]
+
+
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, spans = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    found = search.bm25_top_k(R.chunks_of(docs), R.questions(spark, sf_dir), 10)
-    items = spans.select(F.col("item_id").alias("query_id"), F.when(F.length("text") < 200, "short").otherwise("long").alias("bucket"))
-    return evaluate.question_metrics(R.judged(found, docs, spans), items)
+    return evaluate.question_metrics(found_and_judged(spark, sf_dir)[1], gold_items(spark, sf_dir).select("query_id", "bucket"))
 
 
 METRICS = ["mrr", *(f"{m}@{k}" for k in (1, 3, 5, 10) for m in ("p", "hit", "ndcg"))]
@@ -409,10 +468,10 @@ def M1_question_metrics(spark, sf_dir):
 
 @query
 def M2_span_recall(spark, sf_dir):
-    docs, spans = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    gold = evaluate.relevant_documents(docs, spans).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("span_id"))
-    found = search.bm25_top_k(R.chunks_of(docs), R.questions(spark, sf_dir), 10).select("query_id", F.split("chunk_id", ":")[0].cast("long").alias("span_id"), "rank")
-    out = evaluate.span_recall(found, gold, 10)
+    """A passage's spans are its copies in the documents that hold it."""
+    items = gold_items(spark, sf_dir).select(F.col("item_id").alias("query_id"), F.col("query_id").alias("span_id"))
+    hits = found_and_judged(spark, sf_dir)[1].where("relevant").select(F.col("query_id").alias("span_id"), "rank")
+    out = evaluate.span_recall(items.join(hits, "span_id"), items, 10)
     return out.select("query_id", F.round("r", 6).alias("r"), "r_any", "r_all")
 
 
@@ -423,11 +482,13 @@ def A1_aggregate(spark, sf_dir):
 
 @query
 def A8_top_misses(spark, sf_dir):
-    docs, spans = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    gold = evaluate.relevant_documents(docs, spans)
-    rows = metrics(spark, sf_dir).join(gold.groupBy(F.col("item_id").alias("query_id")).agg(F.min("doc_id").alias("doc_id")), "query_id")
-    found = search.bm25_top_k(R.chunks_of(docs), R.questions(spark, sf_dir), 10).groupBy("query_id").agg(F.collect_set(F.split("chunk_id", ":")[0].cast("long")).alias("doc_ids"))
-    rows = rows.join(found, "query_id", "left").select(F.col("query_id").alias("id"), "doc_id", "doc_ids", "`hit@5`", "`hit@10`", F.col("`hit@10`").alias("r@10"), "mrr")
+    """Passages are asked for by three words, so that some are missed. An item has one span: recall is that span's."""
+    items = gold_items(spark, sf_dir)
+    found, judged = found_and_judged(spark, sf_dir, n_words=3)
+    recall = evaluate.span_recall(judged.where("relevant").select("query_id", F.lit(0).alias("span_id"), "rank"), items.select("query_id", F.lit(0).alias("span_id")), 10)
+    listed = found.groupBy(F.col("query_id").alias("item_id")).agg(F.collect_set(F.split("chunk_id", ":")[0].cast("long")).alias("doc_ids"))
+    scored = evaluate.question_metrics(judged, items.select("query_id", "item_id", "doc_id")).join(recall, "query_id").join(listed, "item_id", "left")
+    rows = scored.select(F.col("query_id").alias("id"), "doc_id", "doc_ids", "`hit@5`", "`hit@10`", F.col("r").alias("r@10"), "mrr")
     return evaluate.top_misses(rows).select("id", "doc_id", "tag", F.round("mrr", 6).alias("mrr"))
 
 
@@ -463,9 +524,32 @@ def A4_spearman(spark, sf_dir):
 
 
 def judges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two judges of each labelled document: the label, and the share of letters in its text."""
+    """Two judges with rows of their own: the labels, and the share of letters in the texts, null for short ones."""
     letters = F.length(F.regexp_replace("text", "[^A-Za-z]", "")) / F.greatest(F.length("text"), F.lit(1))
-    return labelled(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("ragas"), F.round(letters, 6).alias("deepeval"))
+    ragas = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("faithfulness"))
+    deepeval = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.when(F.length("text") >= 200, F.round(letters, 6)).alias("faithfulness"))
+    return evaluate.paired(ragas, deepeval, "faithfulness")
+
+
+@query
+def J4_samples(spark, sf_dir):
+    """Labels as items, documents as the records of their generation: lines are contexts, the first line is quoted."""
+    none = lambda kind: F.lit(None).cast(kind)
+    items = table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("id"), F.lit("").alias("question"), none("string").alias("gold_answer"), F.array(F.col("quality").cast("string"), F.lit("kept")).alias("gold_spans"),
+        (F.col("toxic") == 1).alias("expected_abstain"), F.when(F.col("quality") == 1, "corpus_technical").otherwise("general").alias("expected_route"), F.lit("slot").alias("bucket"),
+    )
+    lines = F.split("text", "\n")
+    records = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("id"), F.slice(lines, 2, 1000000).alias("retrieved_contexts"), F.substring("text", 1, 50).alias("answer"), F.when(F.col("doc_id") % 3 > 0, F.col("source")).alias("route"),
+        (F.col("n_chars") < 100).alias("abstained"), F.slice(lines, 2, 1).alias("quotes"), F.col("n_chars").alias("latency_ms"), none("int").alias("llm_calls"), none("double").alias("groundedness"),
+    )
+    return evaluate.samples_of(items, records).select("id", F.size("retrieved_contexts").cast("long").alias("n_contexts"), "answer", "reference", "predicted_route", "abstained", "citations_valid", "latency_ms", "llm_calls")
+
+
+@query
+def A5_agreement(spark, sf_dir):
+    return evaluate.spearman(judges(spark, sf_dir), "ragas", "deepeval")
 
 
 @query
@@ -613,15 +697,26 @@ def G7_lexical_support(spark, sf_dir):
     return agent.lexical_support(answers, contexts, 0.1)
 
 
-@query
-def G8_citations(spark, sf_dir):
+def cited(spark: SparkSession, sf_dir: str, quote: Column, fuzzy: Callable | None = None) -> DataFrame:
     """Each passage is quoted from the best chunk that BM25 finds for it."""
     docs, spans = table(spark, sf_dir, "documents"), R.questions(spark, sf_dir)
     chunks = R.chunks_of(docs)
     best = search.bm25_top_k(chunks, spans, 3)
     retrieved = best.join(chunks.select("chunk_id", "doc_id", "text"), "chunk_id").select("query_id", "chunk_id", "doc_id", "text")
-    cited = best.join(spans.select("query_id", F.col("text").alias("quote")), "query_id").select("query_id", F.when(F.col("rank") == 3, F.concat("chunk_id", F.lit("?"))).otherwise(F.col("chunk_id")).alias("chunk_id"), F.when(F.col("rank") == 2, -1).otherwise(F.split("chunk_id", ":")[0].cast("long")).alias("doc_id"), "quote")
-    return agent.citation_errors(cited, retrieved).select("query_id", "chunk_id", "error")
+    cited = best.join(spans.select("query_id", quote.alias("quote")), "query_id").select("query_id", F.when(F.col("rank") == 3, F.concat("chunk_id", F.lit("?"))).otherwise(F.col("chunk_id")).alias("chunk_id"), F.when(F.col("rank") == 2, -1).otherwise(F.split("chunk_id", ":")[0].cast("long")).alias("doc_id"), "quote")
+    return agent.citation_errors(cited, retrieved, fuzzy).select("query_id", "chunk_id", "error")
+
+
+@query
+def G8_citations(spark, sf_dir):
+    return cited(spark, sf_dir, F.col("text"))
+
+
+@query
+def G8_near_citations(spark, sf_dir):
+    """Quotes whose fourth word is lost, held to an alikeness of 90 of 100."""
+    parts = F.split("text", " ")
+    return cited(spark, sf_dir, F.concat_ws(" ", F.slice(parts, 1, 3), F.slice(parts, 5, 1_000_000)), X.fuzzy_contains())
 
 
 @query

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docgrain.functions import encode as E
-from docgrain.operators import chunk, evaluate, fuse, search
+from docgrain.functions import text as X
+from docgrain.operators import chunk, fuse, search
 from docgrain.sources.collections import Collection
 from docgrain.sources.readers import spread, table
 from docgrain.sources.scratch import written
@@ -69,8 +70,13 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "chunk_id", "score", F.col("rank").cast("int").alias("rank"))
 
 
-def judged(found: DataFrame, docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """found with relevant: the chunk's document holds the query's passage."""
-    gold = evaluate.relevant_documents(docs, spans).select(F.col("item_id").alias("query_id"), "doc_id", F.lit(True).alias("relevant"))
-    named = found.withColumn("doc_id", F.split("chunk_id", ":")[0].cast("long"))
-    return named.join(gold, ["query_id", "doc_id"], "left").withColumn("relevant", F.coalesce("relevant", F.lit(False)))
+def judged(found: DataFrame, chunks: DataFrame, items: DataFrame, threshold: float | None = None) -> DataFrame:
+    """found (query_id, chunk_id, rank), items (query_id, item_id, doc_id, span), an item a passage and its document ->
+    query_id, chunk_id, rank, relevant, of the chunks of an item's document that were found for its passage.
+
+    A chunk is relevant if it holds every fragment of the span, both normalised; with a threshold, fragments that don't
+    occur as they are may be nearly alike."""
+    asked = found.select(F.col("query_id").alias("item_id"), "chunk_id", "rank")
+    own = asked.join(chunks.select("chunk_id", "doc_id", "text"), "chunk_id").join(items.select("query_id", "item_id", "doc_id", "span"), ["item_id", "doc_id"])
+    parts, text = X.fragments("span"), X.normalize("text")
+    return own.select("query_id", "chunk_id", "rank", (X.holds_all(parts, text) if threshold is None else X.nearly_holds_all(threshold)(parts, text)).alias("relevant"))
