@@ -105,12 +105,17 @@ class Ids:
 _TOKENIZERS: dict[str, Ids] = {}
 
 
+def tokenizer_ids(path: str) -> Ids:
+    """One a worker and file."""
+    return _TOKENIZERS.get(path) or _TOKENIZERS.setdefault(path, Ids(path))
+
+
 def pieces(docs: DataFrame, tokenizer: str, room: int = ROOM, end_id: int = END_ID) -> DataFrame:
     """docs (doc_id, text) -> PIECES; row names the piece uniquely; write the result before it is used twice."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pa.set_cpu_count(1)  # a task has one core
-        encode = _TOKENIZERS.get(tokenizer) or _TOKENIZERS.setdefault(tokenizer, Ids(tokenizer))
+        encode = tokenizer_ids(tokenizer)
         end = np.asarray([end_id], "<u4").tobytes()
         for batch in slices(batches, 4000):
             texts = pc.fill_null(batch.column("text"), "")

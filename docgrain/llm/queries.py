@@ -88,7 +88,14 @@ def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chains.score(docs, chains.fit(docs, read(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_spans, op2_language_id, op3_quality_rules, op4_best_fit_packing, op5_quality_classifier, op6_main_text, op7_voronoi_topk, op8_minhash_neardup, op9_source_mixing, op10_toxicity_chain, mixing_contract)}
+def op12_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from docgrain.llm import balance
+
+    return balance.packing(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii_spans, op2_language_id, op3_quality_rules, op4_best_fit_packing, op5_quality_classifier, op6_main_text, op7_voronoi_topk, op8_minhash_neardup, op9_source_mixing, op10_toxicity_chain, op12_cost_packing, mixing_contract)}
 
 SQL = {
     "op7_voronoi_topk": r"""
