@@ -95,7 +95,15 @@ def op12_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balance.packing(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_spans, op2_language_id, op3_quality_rules, op4_best_fit_packing, op5_quality_classifier, op6_main_text, op7_voronoi_topk, op8_minhash_neardup, op9_source_mixing, op10_toxicity_chain, op12_cost_packing, mixing_contract)}
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from docgrain.llm import align
+
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return align.alignment(read(spark, sf_dir, "documents"), a, b)
+
+
+QUERIES = {f.__name__: f for f in (op1_pii_spans, op2_language_id, op3_quality_rules, op4_best_fit_packing, op5_quality_classifier, op6_main_text, op7_voronoi_topk, op8_minhash_neardup, op9_source_mixing, op10_toxicity_chain, op12_cost_packing, op13_token_alignment, mixing_contract)}
 
 SQL = {
     "op7_voronoi_topk": r"""
