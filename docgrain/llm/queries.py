@@ -88,6 +88,13 @@ def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chains.score(docs, chains.fit(docs, read(spark, sf_dir, "labels")))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docgrain.llm import repair
+
+    rows = read(spark, sf_dir, "conversations")
+    return repair.repaired_conversations(repair.damaged(rows), rows)
+
+
 def op12_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     from docgrain.llm import balance
@@ -103,7 +110,7 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.alignment(read(spark, sf_dir, "documents"), a, b)
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_spans, op2_language_id, op3_quality_rules, op4_best_fit_packing, op5_quality_classifier, op6_main_text, op7_voronoi_topk, op8_minhash_neardup, op9_source_mixing, op10_toxicity_chain, op12_cost_packing, op13_token_alignment, mixing_contract)}
+QUERIES = {f.__name__: f for f in (op1_pii_spans, op2_language_id, op3_quality_rules, op4_best_fit_packing, op5_quality_classifier, op6_main_text, op7_voronoi_topk, op8_minhash_neardup, op9_source_mixing, op10_toxicity_chain, op11_conversation_repair, op12_cost_packing, op13_token_alignment, mixing_contract)}
 
 SQL = {
     "op7_voronoi_topk": r"""

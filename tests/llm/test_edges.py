@@ -40,13 +40,14 @@ def odd_documents():
     return rows + [(20 + i, words(rng, 60 + i), rng.choice(["en", "de"]), rng.choice("abc"), 300) for i in range(60)]
 
 
-def write(spark, path, docs, labels, pages, vectors):
+def write(spark, path, docs, labels, pages, vectors, turns=()):
     extra = {c: "1" for c in CLASHING}
     d = spark.createDataFrame(docs, DOCS)
     l = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     p = spark.createDataFrame(pages, "page_id long, url string, html string")
     e = spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int")
-    for name, df in (("documents", d), ("labels", l), ("pages", p), ("embeddings", e)):
+    t = spark.createDataFrame(list(turns), "conv_id long, turn long, role string, text string")
+    for name, df in (("documents", d), ("labels", l), ("pages", p), ("embeddings", e), ("conversations", t)):
         for c in extra:
             if c not in df.columns:
                 df = df.selectExpr("*", f"'1' AS {c}")
@@ -88,16 +89,17 @@ def test_empty_pipeline(spark, empty):
     assert corpus_pipeline.run(spark, empty).count() == 0
 
 
-@pytest.mark.parametrize("name", [n for n in sorted(QUERIES) if n.startswith("op") and not n.startswith(("op4_", "op6_", "op7_"))])
+@pytest.mark.parametrize("name", [n for n in sorted(QUERIES) if n.startswith("op") and not n.startswith(("op4_", "op6_", "op7_", "op11_", "op12_"))])
 def test_one_row_for_each_document(spark, odd, name):
     rows = QUERIES[name](spark, odd).collect()
     docs = odd_documents()
     assert sorted(str(r["doc_id"]) for r in rows) == sorted(str(d[0]) for d in docs)
 
 
-def test_packing_keeps_all_tokens(spark, odd):
-    rows = QUERIES["op4_best_fit_packing"](spark, odd).collect()
-    assert sum(r["piece"] == 0 for r in rows) == len(odd_documents())
+@pytest.mark.parametrize(("name", "room"), [("op4_best_fit_packing", 4096), ("op12_cost_packing", 2048)])
+def test_packing_keeps_all_tokens(spark, odd, name, room):
+    rows = QUERIES[name](spark, odd).collect()
+    assert sum(r["start"] == 0 for r in rows) == len(odd_documents())
     by = {}
     for r in rows:
         by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
@@ -106,7 +108,7 @@ def test_packing_keeps_all_tokens(spark, odd):
         for offset, length in sorted(parts):
             assert offset == at
             at += length
-        assert at <= 4096
+        assert at <= room
 
 
 def test_pages(spark, odd):
