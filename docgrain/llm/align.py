@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +39,6 @@ HOT, CACHED, CACHED_CHARS = 1 << 19, 400_000, 64
 SPACE = "▁"
 #: Parts of a text: a new one begins at a space or newline behind another character than white space.
 PARTS = re.compile(r"\s*\S+(?:[^\S \n]\s*\S+)*(?:[^\S \n]\s*)?|\s+")
-Group = tuple[int, int, int, int]
 
 
 def byte_names() -> dict[str, int]:
@@ -65,7 +65,9 @@ class Pair:
         if any(re.search(r"\S[ \n]", p) for p in plain):
             raise ValueError("pieces of B run over the beginning of a word")
         self.a_sizes, self.b_sizes = (np.fromiter(map(len, t), "i8", len(t)) for t in (self.a_bytes, self.b_bytes))
-        self.known: dict[str, tuple[bytes, bytes]] = {}
+        width = len(str(max(len(self.a_sizes), len(self.b_sizes)))) + 1
+        self.names = id_names(len(self.a_sizes), "|", width), id_names(len(self.b_sizes), ";", width)
+        self.known: dict[str, tuple[bytes, bytes, bool]] = {}
 
     def learn(self, parts: list[str]) -> None:
         """B puts a space before what it encodes: the part's own, or one that is taken off again."""
@@ -74,7 +76,12 @@ class Pair:
         for part, a, b in zip(parts, coded_a, coded_b, strict=True):
             if part == " ":  # B has no ids for an empty text
                 b = [self.b.piece_to_id(SPACE)]
-            self.known[part] = np.asarray(a.ids, "<u4").tobytes(), np.asarray(b if part[0] == " " else b[1:], "<u4").tobytes()
+            b = b if part[0] == " " else b[1:]
+            same = part.encode() == b"".join([self.a_bytes[i] for i in a.ids]) == b"".join([self.b_bytes[i] for i in b])
+            self.known[part] = array("I", a.ids).tobytes(), array("I", b).tobytes(), same
+
+    def same(self, text: str, a: np.ndarray, b: np.ndarray) -> bool:
+        return f" {text}".encode() == b"".join([self.a_bytes[i] for i in a]) == b"".join([self.b_bytes[i] for i in b])
 
     def __call__(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Ids of space + text; none where either tokenizer changes its bytes."""
@@ -86,8 +93,7 @@ class Pair:
         for text, parts in zip(texts, cut, strict=True):
             both = [self.known[p] for p in parts]
             a, b = (np.frombuffer(b"".join([x[k] for x in both]), "<u4") for k in (0, 1))
-            raw = f" {text}".encode()
-            if text and raw == b"".join(map(self.a_bytes.__getitem__, a.tolist())) == b"".join(map(self.b_bytes.__getitem__, b.tolist())):
+            if text and (all([x[2] for x in both]) or self.same(text, a, b)):
                 yield a, b
             else:
                 yield a[:0], b[:0]
@@ -99,69 +105,62 @@ class Pair:
 _PAIRS: dict[tuple[str, str], Pair] = {}
 
 
-def walk(a: list[int], b: list[int]) -> Iterator[tuple[bool, Group]]:
-    """(one to one?, (i, to i, j, to j)) over two lists of token ends that end alike: stretches of groups of one token each, and
-    irregular groups."""
+def walk(a: list[int], b: list[int]) -> tuple[list[int], list[int], list[int], list[int]]:
+    """Two lists of token ends that end alike -> (A, B) places of linked tokens of which A's ends no group, and of which B's ends none.
+    All other tokens end a group; those that end the same one are linked too."""
+    behind_a: list[int] = []
+    with_b: list[int] = []
+    with_a: list[int] = []
+    behind_b: list[int] = []
     i = j = 0
-    n, m = len(a), len(b)
+    n = len(a)
     while i < n:
-        at, shift, step = i, j - i, 1
-        while i + step <= n and i + shift + step <= m and a[i : i + step] == b[i + shift : i + shift + step]:
-            i += step
-            step *= 2
-        while step > 1:
-            step //= 2
-            if i + step <= n and i + shift + step <= m and a[i : i + step] == b[i + shift : i + shift + step]:
-                i += step
-        j = i + shift
-        if i > at:
-            yield True, (at, i, at + shift, j)
-        if i < n:
-            at, start = i, j
-            x, y = a[i], b[j]
-            while x != y:
-                if x < y:
-                    i += 1
-                    x = a[i]
-                else:
-                    j += 1
-                    y = b[j]
-            i += 1
-            j += 1
-            yield False, (at, i, start, j)
-
-
-def links(a: list[int], b: list[int], group: Group) -> Iterator[tuple[int, int]]:
-    """The overlapping tokens of an irregular group."""
-    i, last_i, j, last_j = group
-    yield i, j
-    while i + 1 < last_i or j + 1 < last_j:
-        if a[i] < b[j]:
-            i += 1
-        else:
-            j += 1
-        yield i, j
-
-
-def align(a_ids: np.ndarray, b_ids: np.ndarray, a_sizes: np.ndarray, b_sizes: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The groups as text, and the linked ids of each link."""
-    a, b = np.cumsum(a_sizes[a_ids]).tolist(), np.cumsum(b_sizes[b_ids]).tolist()
-    a_names, b_names = list(map(str, a_ids.tolist())), list(map(str, b_ids.tolist()))
-    names: list[str] = []
-    at_a: list[int] = []
-    at_b: list[int] = []
-    for one, group in walk(a, b):
-        i, to_i, j, to_j = group
-        if one:
-            names += map("|".join, zip(a_names[i:to_i], b_names[j:to_j], strict=True))
-            at_a += range(i, to_i)
-            at_b += range(j, to_j)
-        else:
-            names.append(f"{','.join(a_names[i:to_i])}|{','.join(b_names[j:to_j])}")
-            for x, y in links(a, b, group):
-                at_a.append(x)
-                at_b.append(y)
-    return names, a_ids[at_a], b_ids[at_b]
+        x, y = a[i], b[j]
+        if x == y:  # a stretch at this shift: blocks twice as long each time, then their halves
+            i, j, step = i + 1, j + 1, 2
+            while i < n and a[i : i + step] == b[j : j + step]:
+                i, j, step = i + step, j + step, step * 2
+            while step > 1 and i < n:
+                step >>= 1
+                if a[i : i + step] == b[j : j + step]:
+                    i, j = i + step, j + step
+            continue  # the last block may reach beyond the end, which both lists have in common
+        while x != y:  # an irregular group: the side that is behind goes on
+            if x < y:
+                behind_a.append(i)
+                with_b.append(j)
+                i += 1
+                x = a[i]
+            else:
+                with_a.append(i)
+                behind_b.append(j)
+                j += 1
+                y = b[j]
+        i, j = i + 1, j + 1
+    return behind_a, with_b, with_a, behind_b
+
+
+def align(a_ids: np.ndarray, b_ids: np.ndarray, a_sizes: np.ndarray, b_sizes: np.ndarray, names: tuple[np.ndarray, np.ndarray]) -> tuple[bytes, int, np.ndarray, np.ndarray]:
+    """The groups as text, how many they are, and the linked ids of each link. names: of both kinds of ids, those inside a
+    group's list, then those at its end."""
+    n, m = len(a_ids), len(b_ids)
+    walked = walk(np.cumsum(a_sizes[a_ids]).tolist(), np.cumsum(b_sizes[b_ids]).tolist())
+    behind_a, with_b, with_a, behind_b = (np.asarray(w, "i8") for w in walked)
+    ends_a, ends_b = np.ones(n, bool), np.ones(m, bool)
+    ends_a[behind_a] = ends_b[behind_b] = False
+    to_a, to_b = np.flatnonzero(ends_a), np.flatnonzero(ends_b)
+    # Behind the A ids of a group stand its B ids.
+    out = np.empty(n + m, names[0].dtype)
+    group_a, group_b = np.cumsum(ends_a) - ends_a, np.cumsum(ends_b) - ends_b
+    out[np.arange(n) + np.concatenate([[0], to_b[:-1] + 1])[group_a]] = names[0][a_ids + len(a_sizes) * ends_a]
+    out[np.arange(m) + to_a[group_b] + 1] = names[1][b_ids + len(b_sizes) * ends_b]
+    links = (np.concatenate(x) for x in ((behind_a, with_a, to_a), (with_b, behind_b, to_b)))
+    return out.tobytes().translate(None, b"\0")[:-1], len(to_a), *(ids[x] for ids, x in zip((a_ids, b_ids), links, strict=True))
+
+
+def id_names(n: int, end: str, width: int = 12) -> np.ndarray:
+    """As bytes of one width, filled up with zero bytes."""
+    return np.asarray([f"{i}," for i in range(n)] + [f"{i}{end}" for i in range(n)], f"S{width}")
 
 
 def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
@@ -170,14 +169,21 @@ def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _PAIRS.get((a_path, b_path)) or _PAIRS.setdefault((a_path, b_path), Pair(a_path, b_path))
+        none = np.empty(0, "i8")
         for batch in by_bytes(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             numbers, hashes, pairs, times = [], [], [], []
             for a, b in encode(texts):
-                names, from_a, from_b = align(a, b, encode.a_sizes, encode.b_sizes)
+                if not len(a):
+                    numbers.append((0, 0, 0, 0))
+                    hashes.append("")
+                    pairs.append(none)
+                    times.append(none)
+                    continue
+                shown, groups, from_a, from_b = align(a, b, encode.a_sizes, encode.b_sizes, encode.names)
                 kinds, often = np.unique(from_a.astype("i8") << 32 | from_b, return_counts=True)
-                numbers.append((len(a), len(b), len(names), len(from_a)))
-                hashes.append(hashlib.sha256(";".join(names).encode()).hexdigest() if names else "")
+                numbers.append((len(a), len(b), groups, len(from_a)))
+                hashes.append(hashlib.sha256(shown).hexdigest())
                 pairs.append(kinds)
                 times.append(often)
             upto = np.concatenate([[0], np.cumsum([len(p) for p in pairs])]).astype("i4")

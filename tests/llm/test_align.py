@@ -57,9 +57,9 @@ def test_the_walk_equals_all_against_all(seed):
 
     sizes = [np.diff([0, *e]) for e in (ends, other)]
     a, b = np.arange(len(ends)), np.arange(len(other))
-    names, x, y = align.align(a, b, *sizes)
+    names, groups, x, y = align.align(a, b, *sizes, (align.id_names(len(a), "|"), align.id_names(len(b), ";")))
     want = plain_alignment(a.tolist(), b.tolist(), sizes[0].tolist(), sizes[1].tolist())
-    assert names == want[0] and sorted(zip(x.tolist(), y.tolist(), strict=True)) == sorted(want[1])
+    assert names.decode() == ";".join(want[0]) and groups == len(want[0]) and sorted(zip(x.tolist(), y.tolist(), strict=True)) == sorted(want[1])
 
 
 PIECES = [" ", "\n", "\t", "\r\n", "  ", " ", " ", "\x1c", "\x85", "'s", "the", " The", "é", "ü", "日本", "\U0001f600", "½", "ﬁ", "▁", "<s>", "<|endoftext|>", "<0x0A>", "12", "3.5", "é", "...", "\x00", "​", "ſ", "xyz", "a b"]
