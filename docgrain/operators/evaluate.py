@@ -2,45 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docgrain.functions import text as X
+from docgrain.operators import contain
+
+
+def relevant_documents(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """docs (doc_id, text), spans (item_id, text) -> item_id, doc_id where the text holds the span verbatim."""
+    return contain.holders(docs, spans).select("item_id", "doc_id")
+
+
+def relevant_chunks(found: DataFrame, chunks: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
+    """found (item_id, chunk_id, rank), chunks (chunk_id, doc_id, text), items (query_id, item_id, doc_id, span) -> query_id, chunk_id,
+    rank, relevant, of the chunks of an item's document that were found for its passage.
 
-#: Spans that are looked for at once.
-SPAN_BLOCK = 50_000
-
-
-def relevant_documents(docs: DataFrame, spans: DataFrame, block: int = SPAN_BLOCK) -> DataFrame:
-    """docs (doc_id, text), spans (item_id, text) -> item_id, doc_id where the text holds the span verbatim.
-
-    The spans are the query set: blocks of them become an automaton that finds all of a block's spans in one
-    pass over a text, so nothing is shuffled. An empty span occurs nowhere."""
-    rows = spans.where("text IS NOT NULL AND text <> ''").select("item_id", "text").toLocalIterator()
-    d_kind, i_kind = (df.schema[c].dataType.simpleString() for df, c in ((docs, "doc_id"), (spans, "item_id")))
-    found = None
-    while some := [(r["item_id"], r["text"]) for _, r in zip(range(block), rows)]:
-
-        def match(frames: Iterator[pd.DataFrame], some=some) -> Iterator[pd.DataFrame]:
-            import ahocorasick
-
-            by_text: dict[str, list] = {}
-            for item, text in some:
-                by_text.setdefault(text, []).append(item)
-            automaton = ahocorasick.Automaton()
-            for text, items in by_text.items():
-                automaton.add_word(text, items)
-            automaton.make_automaton()
-            for frame in frames:
-                out = [(item, doc) for doc, text in zip(frame["doc_id"], frame["text"], strict=True) if text for item in {i for _, items in automaton.iter(text) for i in items}]
-                yield pd.DataFrame(out, columns=["item_id", "doc_id"])
-
-        part = docs.select("doc_id", "text").mapInPandas(match, f"item_id {i_kind}, doc_id {d_kind}")
-        found = part if found is None else found.unionByName(part)
-    return docs.sparkSession.createDataFrame([], f"item_id {i_kind}, doc_id {d_kind}") if found is None else found
+    A chunk is relevant if it holds every fragment of the span, each as it is or nearly; a span without fragments is held by none."""
+    own = found.join(chunks.select("chunk_id", "doc_id"), "chunk_id").join(items.select("query_id", "item_id", "doc_id"), ["item_id", "doc_id"])
+    texts = chunks.join(own.select("chunk_id").distinct(), "chunk_id", "left_semi").select("doc_id", "chunk_id", X.normalize("text").alias("text"))
+    parts = items.select("doc_id", "query_id", F.posexplode(F.array_distinct(X.fragments("span"))).alias("at", "text"))
+    held = contain.near_holders(texts, parts, "doc_id", ["chunk_id"], ["query_id", "at"], threshold).groupBy("query_id", "chunk_id").agg(F.count("*").alias("n_held"))
+    wanted = items.select("query_id", F.size(F.array_distinct(X.fragments("span"))).alias("n_parts"))
+    both = own.join(held, ["query_id", "chunk_id"], "left").join(wanted, "query_id")
+    return both.select("query_id", "chunk_id", "rank", F.coalesce((F.col("n_held") == F.col("n_parts")) & (F.col("n_parts") > 0), F.lit(False)).alias("relevant"))
 
 
 def question_metrics(results: DataFrame, items: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:

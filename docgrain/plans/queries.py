@@ -435,27 +435,28 @@ def gold_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = table(spark, sf_dir, "benchmark")
     pairs = evaluate.relevant_documents(table(spark, sf_dir, "documents"), spans).join(spans.select("item_id", F.col("text").alias("span")), "item_id")
     bucket = F.when(F.length("span") < 200, "short").otherwise("long")
-    return pairs.select(F.concat_ws(":", F.col("item_id").cast("string"), F.col("doc_id").cast("string")).alias("query_id"), "item_id", "doc_id", "span", bucket.alias("bucket"))
+    return written(pairs.select(F.concat_ws(":", F.col("item_id").cast("string"), F.col("doc_id").cast("string")).alias("query_id"), "item_id", "doc_id", "span", bucket.alias("bucket")), "items")
 
 
-def found_and_judged(spark: SparkSession, sf_dir: str, threshold: float | None = None, n_words: int | None = None) -> tuple[DataFrame, DataFrame]:
+def found_and_judged(spark: SparkSession, sf_dir: str, items: DataFrame, threshold: float | None = None, n_words: int | None = None) -> tuple[DataFrame, DataFrame]:
     """BM25's ten best chunks a passage (asked for by its first n_words, or all), and which of them hold the whole passage of an
     item's document."""
     chunks, asked = R.chunks_of(table(spark, sf_dir, "documents")), R.questions(spark, sf_dir)
     if n_words:
         asked = asked.withColumn("text", F.array_join(F.slice(F.split("text", " "), 1, n_words), " "))
     found = written(search.bm25_top_k(chunks, asked, 10), "found")
-    return found, R.judged(found, chunks, gold_items(spark, sf_dir), threshold)
+    return found, R.judged(found, chunks, items, threshold)
 
 
 @query
 def J6_relevant_chunks(spark, sf_dir):
     """Fuzzy: a fragment that does not occur as it is may be alike by 90 of 100."""
-    return found_and_judged(spark, sf_dir, 90.0)[1]
+    return found_and_judged(spark, sf_dir, gold_items(spark, sf_dir), 90.0)[1]
 
 
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.question_metrics(found_and_judged(spark, sf_dir)[1], gold_items(spark, sf_dir).select("query_id", "bucket"))
+    items = gold_items(spark, sf_dir)
+    return evaluate.question_metrics(found_and_judged(spark, sf_dir, items)[1], items.select("query_id", "bucket"))
 
 
 METRICS = ["mrr", *(f"{m}@{k}" for k in (1, 3, 5, 10) for m in ("p", "hit", "ndcg"))]
@@ -469,8 +470,9 @@ def M1_question_metrics(spark, sf_dir):
 @query
 def M2_span_recall(spark, sf_dir):
     """A passage's spans are its copies in the documents that hold it."""
-    items = gold_items(spark, sf_dir).select(F.col("item_id").alias("query_id"), F.col("query_id").alias("span_id"))
-    hits = found_and_judged(spark, sf_dir)[1].where("relevant").select(F.col("query_id").alias("span_id"), "rank")
+    gold = gold_items(spark, sf_dir)
+    items = gold.select(F.col("item_id").alias("query_id"), F.col("query_id").alias("span_id"))
+    hits = found_and_judged(spark, sf_dir, gold)[1].where("relevant").select(F.col("query_id").alias("span_id"), "rank")
     out = evaluate.span_recall(items.join(hits, "span_id"), items, 10)
     return out.select("query_id", F.round("r", 6).alias("r"), "r_any", "r_all")
 
@@ -484,7 +486,7 @@ def A1_aggregate(spark, sf_dir):
 def A8_top_misses(spark, sf_dir):
     """Passages are asked for by three words, so that some are missed. An item has one span: recall is that span's."""
     items = gold_items(spark, sf_dir)
-    found, judged = found_and_judged(spark, sf_dir, n_words=3)
+    found, judged = found_and_judged(spark, sf_dir, items, n_words=3)
     recall = evaluate.span_recall(judged.where("relevant").select("query_id", F.lit(0).alias("span_id"), "rank"), items.select("query_id", F.lit(0).alias("span_id")), 10)
     listed = found.groupBy(F.col("query_id").alias("item_id")).agg(F.collect_set(F.split("chunk_id", ":")[0].cast("long")).alias("doc_ids"))
     scored = evaluate.question_metrics(judged, items.select("query_id", "item_id", "doc_id")).join(recall, "query_id").join(listed, "item_id", "left")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docgrain.functions import encode as E
 from docgrain.functions import text as X
-from docgrain.operators import chunk, fuse, search
+from docgrain.operators import chunk, evaluate, fuse, search
 from docgrain.sources.collections import Collection
 from docgrain.sources.readers import spread, table
 from docgrain.sources.scratch import written
@@ -77,6 +77,7 @@ def judged(found: DataFrame, chunks: DataFrame, items: DataFrame, threshold: flo
     A chunk is relevant if it holds every fragment of the span, both normalised; with a threshold, fragments that don't
     occur as they are may be nearly alike."""
     asked = found.select(F.col("query_id").alias("item_id"), "chunk_id", "rank")
+    if threshold is not None:
+        return evaluate.relevant_chunks(asked, chunks, items, threshold)
     own = asked.join(chunks.select("chunk_id", "doc_id", "text"), "chunk_id").join(items.select("query_id", "item_id", "doc_id", "span"), ["item_id", "doc_id"])
-    parts, text = X.fragments("span"), X.normalize("text")
-    return own.select("query_id", "chunk_id", "rank", (X.holds_all(parts, text) if threshold is None else X.nearly_holds_all(threshold)(parts, text)).alias("relevant"))
+    return own.select("query_id", "chunk_id", "rank", X.holds_all(X.fragments("span"), X.normalize("text")).alias("relevant"))

@@ -243,8 +243,7 @@ def test_metrics(spark):
 def test_relevant_documents(spark):
     docs = spark.createDataFrame([(1, "aba abab"), (2, None), (3, "xyz b")], "doc_id long, text string")
     spans = spark.createDataFrame([(1, "bab"), (2, "b"), (3, ""), (4, None), (5, "b"), (6, "aba abab")], "item_id long, text string")
-    for block in (2, 100):
-        assert sorted(map(tuple, evaluate.relevant_documents(docs, spans, block).collect())) == [(1, 1), (2, 1), (2, 3), (5, 1), (5, 3), (6, 1)]
+    assert sorted(map(tuple, evaluate.relevant_documents(docs, spans).collect())) == [(1, 1), (2, 1), (2, 3), (5, 1), (5, 3), (6, 1)]
 
 
 def test_answer_metrics(spark):
