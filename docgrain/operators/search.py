@@ -134,6 +134,17 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, decimals: i
     return found
 
 
+def dense_within(vectors: DataFrame, queries: DataFrame, within: DataFrame, k: int = 20, decimals: int = 6) -> DataFrame:
+    """dense_top_k() of queries that look into documents of their own only: vectors have a doc_id, within (query_id, doc_id) says which.
+    Vectors of other documents are left out before anything is compared."""
+    own = vectors.join(within.select("doc_id").distinct(), "doc_id", "left_semi").join(within, "doc_id")
+    both = own.select("query_id", "chunk_id", F.col("vector").alias("v")).join(queries.select("query_id", F.col("vector").alias("q")), "query_id")
+    dot = F.aggregate(F.zip_with("q", "v", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    size = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    score = F.round(F.coalesce(F.try_divide(dot, size("q") * size("v")), F.lit(0.0)), decimals) + F.lit(0.0)
+    return ranked(both.select("query_id", "chunk_id", score.alias("score")), k)
+
+
 # Sparse
 
 
@@ -166,8 +177,8 @@ def corpus_statistics(chunks: DataFrame) -> DataFrame:
     return chunks.agg(F.count("*").alias("n"), F.avg(F.size(X.words("text")).cast("double")).alias("avgdl"))
 
 
-def postings_of(chunks: DataFrame) -> DataFrame:
-    return counted(chunks, ["chunk_id"], X.words("text")).withColumnRenamed("n_terms", "dl")
+def postings_of(chunks: DataFrame, keys: tuple[str, ...] = ("chunk_id",)) -> DataFrame:
+    return counted(chunks, list(keys), X.words("text")).withColumnRenamed("n_terms", "dl")
 
 
 def bm25_index(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -178,24 +189,30 @@ def bm25_index(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return postings, postings.groupBy("term").agg(F.count("*").alias("df")), corpus_statistics(chunks)
 
 
-def bm25_index_for(chunks: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def bm25_index_for(chunks: DataFrame, queries: DataFrame, keys: tuple[str, ...] = ("chunk_id",)) -> tuple[DataFrame, DataFrame, DataFrame]:
     """bm25_index() of the terms that some query has, for a search without an index: one pass finds their postings,
     which are written for the two uses that they have, another counts the corpus."""
     asked = queries.select(F.explode(X.words("text")).alias("term")).distinct()
-    postings = written(postings_of(chunks).join(asked, "term", "left_semi"), "bm25-postings")
+    postings = written(postings_of(chunks, keys).join(asked, "term", "left_semi"), "bm25-postings")
     return postings, postings.groupBy("term").agg(F.count("*").alias("df")), corpus_statistics(chunks)
 
 
-def bm25_scores(index: tuple[DataFrame, DataFrame, DataFrame], queries: DataFrame, k1: float = 1.5, b: float = 0.75, decimals: int = 9) -> DataFrame:
-    """query_id, chunk_id, score > 0, of queries (query_id, text), each distinct word once."""
+def bm25_scores(index: tuple[DataFrame, DataFrame, DataFrame], queries: DataFrame, k1: float = 1.5, b: float = 0.75, decimals: int = 9, within: DataFrame | None = None) -> DataFrame:
+    """query_id, chunk_id, score > 0, of queries (query_id, text), each distinct word once.
+
+    within (query_id, doc_id): the documents that each query may look into; the postings then have a doc_id, those of other documents
+    are left out before anything is scored, and only queries that have some are answered. The statistics stay those of the corpus."""
     postings, terms, stats = index
     asked = queries.select("query_id", F.explode(F.array_distinct(X.words("text"))).alias("term"))
     weighted = asked.join(terms, "term").join(F.broadcast(stats))  # stats is one row
     idf = F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = weighted.select("query_id", "term", idf.alias("idf"), "avgdl")
+    weighted, keys = weighted.select("query_id", "term", idf.alias("idf"), "avgdl"), ["term"]
+    if within is not None:
+        weighted, keys = weighted.join(within, "query_id"), ["doc_id", "term"]
+        postings = postings.join(within.select("doc_id").distinct(), "doc_id", "left_semi")
     tf = F.col("tf").cast("double")
     part = F.col("idf") * tf * (k1 + 1.0) / (tf + k1 * (1.0 - b + b * F.greatest("dl", F.lit(1)) / F.col("avgdl")))
-    scores = weighted.join(postings, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), decimals).alias("score"))
+    scores = weighted.join(postings, keys).groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), decimals).alias("score"))
     return scores.where("score > 0")
 
 

@@ -91,6 +91,19 @@ def rrf(base: int) -> str:
     return f"SELECT query_id, chunk_id, round(sum(1.0e0 / (60 + rank - 1 + {base})), 9) AS score, string_agg(list_id, ',' ORDER BY list_id) || ',rrf' AS provenance FROM lists GROUP BY query_id, chunk_id"
 
 
+STOP = r"""stop AS (SELECT unnest(string_split('agreement agreements clause clauses contract does include includes which what whose jurisdiction govern governs the and for with from this that under between required measured appears grant governing law parties date effective expiration renewal term notice period to terminate exclusivity audit rights cap on liability non compete ip assignment ownership insurance minimum commitment license anti termination convenience transferable affiliate agency co branding cobranding collaboration cooperation consulting development distributor endorsement franchise hosting ip joint venture license maintenance manufacturing marketing non compete noncompete outsourcing promotion reseller service services sponsorship strategic alliance supply transportation', ' ')) AS token)"""
+#: Filters by the titles of documents: query_id, docs (sorted), kind.
+FILTERS = (
+    STOP
+    + r""",
+asking AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+(?:''[a-z0-9]+)?')) AS token FROM benchmark),
+cat AS (SELECT DISTINCT doc_id, coalesce(lang, 'Unknown') AS kind, unnest(regexp_extract_all(lower(array_to_string(string_split(text, ' ')[1:5], ' ')), '[a-z0-9]+(?:''[a-z0-9]+)?')) AS token FROM documents),
+h AS (SELECT query_id, token, doc_id, kind FROM asking JOIN cat USING (token) WHERE length(token) >= 4 AND token NOT IN (SELECT token FROM stop)),
+g AS (SELECT query_id, token, count(*) AS n, list(doc_id ORDER BY doc_id) AS docs, list(kind ORDER BY doc_id) AS kinds FROM h GROUP BY query_id, token HAVING count(*) <= 5),
+o AS (SELECT query_id, list(DISTINCT docs[1]) FILTER (n = 1) AS singles, arg_min({'d': docs, 'k': kinds}, (n, token)) AS least FROM g GROUP BY query_id),
+rule AS (SELECT query_id, least.d AS docs, CASE WHEN len(list_distinct(least.k)) = 1 THEN least.k[1] END AS kind FROM o WHERE singles IS NULL OR len(singles) <= 1)"""
+)
+
 ORACLE: dict[str, str] = {
     "S2_text_pages": "SELECT doc_id, 1 AS page_no, length(text) AS n_chars, sha256(text) AS sha256 FROM documents",
     "S3_inventory": r"""WITH p AS (SELECT regexp_extract(url, '^https?://[^/]+/([^/?#]*)', 1) AS folder FROM pages)
@@ -194,11 +207,27 @@ SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id
 q AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS q FROM benchmark),
 s AS (SELECT query_id, chunk_id, CASE WHEN len(q) = 0 THEN 0 ELSE round(len(list_intersect(q, ws)) / len(q), 6) END AS score FROM sparse JOIN q USING (query_id) JOIN words USING (chunk_id) WHERE rank <= 20)
 SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INT) AS rank FROM s QUALIFY rank <= 10""",
-    "R3_filtered_pipeline": f"""WITH {BM25}, {QRELS},
-r AS (SELECT DISTINCT item_id AS query_id, lang FROM gold JOIN documents USING (doc_id)),
-s AS (
-  SELECT bm.* FROM bm JOIN documents d ON d.doc_id = CAST(split_part(chunk_id, ':', 1) AS BIGINT)
-  WHERE score > 0 AND (bm.query_id NOT IN (SELECT query_id FROM r) OR (bm.query_id, d.lang) IN (SELECT query_id, lang FROM r) OR d.lang = 'Unknown'))
+    "R3_question_filters": f"""WITH {FILTERS}
+SELECT query_id, array_to_string(docs, ',') AS doc_ids, CASE WHEN kind = 'Unknown' THEN kind ELSE kind || ',Unknown' END AS kinds, CAST(len(docs) AS BIGINT) AS n_allowed FROM rule""",
+    "R3_filtered_pipeline": f"""WITH {BM25.split("ask AS")[0]}
+{FILTERS},
+asks AS (SELECT item_id AS query_id, 0 AS nth, text FROM benchmark UNION ALL SELECT item_id, 1, {normal("text")} FROM benchmark WHERE {normal("text")} <> text),
+ask AS (SELECT query_id, nth, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS term FROM asks),
+pairs AS (SELECT query_id, unnest(docs) AS doc_id FROM rule),
+may AS (SELECT query_id, chunk_id FROM pairs JOIN chunks USING (doc_id) UNION ALL SELECT item_id, chunk_id FROM benchmark, chunks WHERE item_id NOT IN (SELECT query_id FROM rule)),
+bm AS (
+  SELECT query_id, nth, chunk_id, round(sum(ln(1 + (stats.n - df + 0.5e0) / (df + 0.5e0)) * tf * 2.5e0 / (tf + 1.5e0 * (0.25e0 + 0.75e0 * greatest(dl, 1) / avgdl))), 9) AS score
+  FROM ask JOIN df USING (term) JOIN post USING (term) JOIN may USING (query_id, chunk_id), stats GROUP BY query_id, nth, chunk_id),
+cv AS (SELECT chunk_id, {hash_vector("text")} AS v FROM chunks),
+qv AS (SELECT query_id, nth, {hash_vector("text")} AS v FROM asks),
+dn AS (SELECT query_id, nth, chunk_id, round(list_cosine_similarity(qv.v, cv.v), 6) + 0.0e0 AS score FROM qv JOIN may USING (query_id) JOIN cv USING (chunk_id)),
+lists AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id, nth ORDER BY score DESC, chunk_id) AS rank FROM bm WHERE score > 0 QUALIFY rank <= 20
+  UNION ALL SELECT *, row_number() OVER (PARTITION BY query_id, nth ORDER BY score DESC, chunk_id) AS rank FROM dn QUALIFY rank <= 20),
+each AS (SELECT query_id, nth, chunk_id, round(sum(1.0e0 / (60 + rank)), 9) AS score FROM lists GROUP BY ALL),
+top AS (SELECT DISTINCT query_id, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id, nth ORDER BY score DESC, chunk_id) AS rank FROM each QUALIFY rank <= 20)),
+q AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS q FROM benchmark),
+s AS (SELECT query_id, chunk_id, CASE WHEN len(q) = 0 THEN 0 ELSE round(len(list_intersect(q, ws)) / len(q), 6) END AS score FROM top JOIN q USING (query_id) JOIN words USING (chunk_id))
 SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INT) AS rank FROM s QUALIFY rank <= 10""",
     "R4_merged_rounds": f"WITH {HYBRID} SELECT query_id, chunk_id, list_id, rank + CASE WHEN list_id = 'dense' THEN 0 ELSE 1000 END AS seq FROM lists QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY list_id) = 1",
     "J6_relevant_documents": f"WITH {QRELS} SELECT * FROM gold",

@@ -403,19 +403,28 @@ def R2_lexical_rerank(spark, sf_dir):
     return fuse.lexical_rerank(search.bm25_top_k(chunks, asked), asked, chunks, 10).select("query_id", "chunk_id", "score", i32("rank"))
 
 
+def titles(docs: DataFrame) -> DataFrame:
+    """The catalog of documents: a document's first five words are its name, its language its kind."""
+    name = F.array_join(F.slice(F.split("text", " "), 1, 5), " ")
+    return docs.select("doc_id", name.alias("name"), F.coalesce("lang", F.lit("Unknown")).alias("kind"))
+
+
 @query
 def R3_filtered_pipeline(spark, sf_dir):
-    """Only chunks in the language that most of the passage's documents have; candidates are filtered, statistics are not."""
-    docs, asked = table(spark, sf_dir, "documents"), R.questions(spark, sf_dir)
-    gold = evaluate.relevant_documents(docs, table(spark, sf_dir, "benchmark")).join(docs.select("doc_id", "lang"), "doc_id")
-    rules = gold.groupBy(F.col("item_id").alias("query_id")).agg(search.with_unknown(F.array_sort(F.collect_set("lang"))).alias("values"))
-    chunks = R.chunks_of(docs)
-    scored = search.bm25_scores(search.bm25_index_for(chunks, asked), asked)
-    named = scored.withColumn("doc_id", F.split("chunk_id", ":")[0].cast("long")).join(docs.select("doc_id", "lang"), "doc_id")
-    found = search.ranked(search.allowed(named, rules, "lang").select("query_id", "chunk_id", "score"), 10)
+    """Passages as questions, which may name documents by words of their titles; asked as they are and in normal form."""
+    docs = table(spark, sf_dir, "documents")
+    found = R.filtered_pipeline(R.chunks_of(docs), R.questions(spark, sf_dir), titles(docs), transforms=(X.normalize,))
     return found.select("query_id", "chunk_id", "score", i32("rank"))
 
 
+@query
+def R3_question_filters(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    rules = R.question_filters(R.questions(spark, sf_dir), titles(docs))
+    allowed = R.allowed_documents(rules, titles(docs)).groupBy("query_id").agg(F.count("*").alias("n_allowed"))
+    return rules.join(allowed, "query_id", "left").select("query_id", F.array_join(F.transform("doc_ids", lambda d: d.cast("string")), ",").alias("doc_ids"), F.array_join("kinds", ",").alias("kinds"), F.coalesce("n_allowed", F.lit(0)).cast("long").alias("n_allowed"))
+
+
 @query
 def R4_merged_rounds(spark, sf_dir):
     found = lists(spark, sf_dir).withColumn("seq", F.col("rank") + F.when(F.col("list_id") == "dense", 0).otherwise(1000))

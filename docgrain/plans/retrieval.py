@@ -32,7 +32,7 @@ def dense_list(chunks: DataFrame, asked: DataFrame, k: int = K, dim: int = 8) ->
 
 def hybrid_lists(chunks: DataFrame, asked: DataFrame, k: int = K) -> DataFrame:
     """Both ranked lists, widened to 20 at least: list_id, query_id, chunk_id, score, rank."""
-    wide = max(k, 20)
+    chunks, wide = written(chunks.select("chunk_id", "text"), "hybrid-chunks"), max(k, 20)
     dense = dense_list(chunks, asked, wide).withColumn("list_id", F.lit("dense"))
     sparse = search.bm25_top_k(chunks, asked, wide).withColumn("list_id", F.lit("sparse"))
     return dense.unionByName(sparse)
@@ -42,6 +42,59 @@ def hybrid(chunks: DataFrame, asked: DataFrame, k: int = K, rank_base: int = 1)
     return fuse.rrf(hybrid_lists(chunks, asked, k), rank_base=rank_base).where(F.col("rank") <= k)
 
 
+def question_filters(questions: DataFrame, catalog: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """questions (query_id, text), catalog (doc_id, name, kind) -> query_id, doc_ids, kinds: what the question's own words name, each null
+    where they name none. A kind lets documents of unknown kind through. asked (query_id, doc_ids, kinds): the caller's filters, which go first."""
+    named = search.named_documents(questions, catalog, X.QUESTION_VOCABULARY, kinds_of=X.TYPE_ALIASES)
+    rules = named.select("query_id", "doc_ids", F.when(F.col("kind").isNotNull(), F.array("kind")).alias("kinds"))
+    if asked is not None:
+        both = rules.alias("r").join(asked.alias("a"), "query_id", "full")
+        rules = both.select("query_id", *[search.merged_filters(F.col(f"r.{c}"), F.col(f"a.{c}")).alias(c) for c in ("doc_ids", "kinds")])
+    rules = rules.withColumn("kinds", search.with_unknown(F.col("kinds")))
+    return rules.where("doc_ids IS NOT NULL OR kinds IS NOT NULL")
+
+
+def allowed_documents(rules: DataFrame, catalog: DataFrame) -> DataFrame:
+    """query_id, doc_id: the documents that each rule lets through; by ids where it has them, else by kinds."""
+    known = catalog.select("doc_id", "kind").distinct()
+    by_id = rules.where("doc_ids IS NOT NULL").select("query_id", "kinds", F.explode(F.array_distinct("doc_ids")).alias("doc_id")).join(known, "doc_id")
+    by_id = by_id.where(F.col("kinds").isNull() | F.array_contains("kinds", F.col("kind")))
+    by_kind = rules.where("doc_ids IS NULL").select("query_id", F.explode(F.array_distinct("kinds")).alias("kind")).join(known, "kind")
+    return by_id.select("query_id", "doc_id").unionByName(by_kind.select("query_id", "doc_id")).distinct()
+
+
+def expanded(questions: DataFrame, transforms: tuple = ()) -> DataFrame:
+    """query_id, list_id, text: the question as it is and what each transform (Column -> Column) makes of it, each text once, in order."""
+    texts = F.array_distinct(F.filter(F.array(F.col("text"), *[t(F.col("text")) for t in transforms]), lambda t: t.isNotNull()))
+    return questions.select("query_id", F.posexplode(texts).alias("list_id", "text"))
+
+
+def filtered_pipeline(chunks: DataFrame, questions: DataFrame, catalog: DataFrame, k: int = 10, candidates: int = K, transforms: tuple = (), asked: DataFrame | None = None) -> DataFrame:
+    """From questions to reranked chunks: filters by the question's words, its texts, for each the `candidates` best of a hybrid search
+    inside the filter, these lists fused, and the fusion reranked to k. Ranked list: query_id, chunk_id, score, rank.
+
+    Chunks (chunk_id, doc_id, text) are made once. Postings and vectors of documents that no filter lets through are left out
+    before scoring; questions without a filter search everything."""
+    chunks, wide = written(chunks.select("chunk_id", "doc_id", "text"), "pipeline-chunks"), max(k, candidates)
+    rules = question_filters(questions, catalog, asked)
+    within = written(allowed_documents(rules, catalog), "pipeline-allowed")
+    # A search is a question's text; its id keeps both.
+    texts = expanded(questions, transforms).select(F.struct("query_id", "list_id").alias("query_id"), "text")
+    texts = texts.join(rules.select(F.col("query_id").alias("_id"), F.lit(True).alias("bound")), F.col("query_id.query_id") == F.col("_id"), "left").drop("_id")
+    texts = written(texts.withColumn("vector", E.hash_dense(F.col("text"))), "pipeline-texts")
+    free, bound = texts.where("bound IS NULL"), texts.where("bound")
+    own = bound.select("query_id").join(within.withColumnRenamed("query_id", "_id"), F.col("query_id.query_id") == F.col("_id")).drop("_id")
+    index = search.bm25_index_for(chunks, texts, ("chunk_id", "doc_id"))
+    vectors = chunks.select("chunk_id", "doc_id", E.hash_dense(F.col("text")).alias("vector"))
+    sparse = search.bm25_scores(index, free).unionByName(search.bm25_scores(index, bound, within=own))
+    dense = search.dense_top_k(vectors, free.select(F.to_json("query_id").alias("query_id"), "vector"), wide)
+    dense = dense.withColumn("query_id", F.from_json("query_id", texts.schema["query_id"].dataType.simpleString())).unionByName(search.dense_within(vectors, bound, own, wide))
+    lists = search.ranked(sparse, wide).withColumn("list_id", F.lit("sparse")).unionByName(dense.withColumn("list_id", F.lit("dense")))
+    each = fuse.rrf(lists).where(F.col("rank") <= wide)
+    fused = fuse.rrf(each.select("query_id.query_id", F.col("query_id.list_id").cast("string").alias("list_id"), "chunk_id", "score", "rank"))
+    return fuse.lexical_rerank(fused, questions, chunks, k)
+
+
 INDEX_TABLES = ("postings", "terms", "stats")
 
 
