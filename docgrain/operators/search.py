@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docgrain.functions import encode as E
+from docgrain.functions import stem as S
 from docgrain.functions import text as X
 from docgrain.sources.scratch import written
 
@@ -228,6 +229,30 @@ def hash_sparse(rows: DataFrame, key: str, text: str = "text", modulus: int = 10
     return words.groupBy(key, "idx").agg(F.sum("tf").alias("weight"))
 
 
+def stems_of(words: DataFrame, word: str = "term") -> DataFrame:
+    """Distinct words with their stems; stop words have none and are left out."""
+    known = words.select(word).distinct().where(~F.col(word).isin(*S.STOP_WORDS))
+    return known.withColumn("idx", S.porter(F.col(word)))
+
+
+def bm25_sparse(rows: DataFrame, key: str, text: str = "text", k: float = 1.2, b: float = 0.75, expected_length: float = 256.0, decimals: int = 9) -> DataFrame:
+    """key, idx (a stem), weight: saturated counts of the stems of a text, stop words left out, lengths measured against a fixed one, so
+    that a row's encoding depends on nothing but its text. Inverse document frequency comes in at search time (sparse_top_k).
+
+    Stems are made of distinct words; rows without words have no encoding."""
+    words = written(counted(rows, [key], X.words(text, X.ANY_WORD)).select(key, "term", "tf"), "sparse-words")
+    stems = words.join(stems_of(words), "term").groupBy(key, "idx").agg(F.sum("tf").alias("tf"))
+    sizes = stems.groupBy(key).agg(F.sum("tf").alias("dl"))
+    tf = F.col("tf").cast("double")
+    return stems.join(sizes, key).select(key, "idx", F.round(tf * (k + 1.0) / (tf + k * (1.0 - b + b * F.col("dl") / expected_length)), decimals).alias("weight"))
+
+
+def bm25_sparse_query(queries: DataFrame) -> DataFrame:
+    """query_id, idx, weight: each stem of a question once, of weight 1."""
+    words = queries.select("query_id", F.explode(F.array_distinct(X.words("text", X.ANY_WORD))).alias("term"))
+    return words.join(stems_of(words), "term").select("query_id", "idx").distinct().withColumn("weight", F.lit(1.0))
+
+
 def sparse_top_k(doc_terms: DataFrame, query_terms: DataFrame, n_docs: DataFrame, k: int = 20, decimals: int = 6) -> DataFrame:
     """Dot product with inverse document frequency: doc_terms (chunk_id, idx, weight), query_terms (query_id, idx,
     weight), n_docs (n: one row)."""

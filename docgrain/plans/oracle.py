@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from docgrain.functions import stem
+
 CHUNKS = r"""
 cut AS (SELECT doc_id, unnest(range(0, CAST(greatest(0, ceil((length(text) - 2048) / 1792.0)) AS BIGINT) * 1792 + 1, 1792)) AS s, text FROM documents WHERE length(text) > 0),
 chunks AS (
@@ -104,7 +106,55 @@ o AS (SELECT query_id, list(DISTINCT docs[1]) FILTER (n = 1) AS singles, arg_min
 rule AS (SELECT query_id, least.d AS docs, CASE WHEN len(list_distinct(least.k)) = 1 THEN least.k[1] END AS kind FROM o WHERE singles IS NULL OR len(singles) <= 1)"""
 )
 
+
+
+def sql_porter() -> str:
+    """The stemmer as common tables: voc (word) -> st0, st1, ..., stems (word, idx)."""
+    tests = {name: f"regexp_matches({{k}}, '{p}')" if p else "true" for name, p in stem.CONDITIONS.items()}
+
+    def cut(n: int) -> str:
+        return f"left(w, length(w) - {n})"
+
+    def step(rules: list, word: str = "w") -> str:
+        cases = []
+        for ending, new, condition in sorted(rules, key=lambda r: -len(r[0])):
+            own = condition == "two, s or t"
+            kept = cut(len(ending) - len(new) if own else len(ending))
+            cases.append(f"WHEN suffix(w, '{ending}') THEN CASE WHEN {tests[condition].format(k=kept)} THEN {kept if own else f"{kept} || '{new}'"} ELSE w END")
+        return f"CASE {' '.join(cases)} ELSE w END"
+
+    kept = "left(w, length(w) - CASE WHEN suffix(w, 'ing') THEN 3 ELSE 2 END)"
+    mended = f"CASE WHEN regexp_matches({kept}, '(at|bl|iz)$') THEN {kept} || 'e' WHEN length({kept}) > 1 AND right({kept}, 1) = left(right({kept}, 2), 1) AND regexp_matches({kept}, '[^aeiouylsz]$') THEN left({kept}, length({kept}) - 1) WHEN {tests['short'].format(k=kept)} THEN {kept} || 'e' ELSE {kept} END"
+    past = f"CASE WHEN NOT suffix(w, 'eed') AND regexp_matches(w, '(ed|ing)$') AND {tests['vowel'].format(k=kept)} THEN {mended} ELSE {step(stem.PAST[:1])} END"
+    e = f"CASE WHEN suffix(w, 'e') AND ({tests['two'].format(k=cut(1))} OR {tests['just one'].format(k=cut(1))} AND NOT {tests['short'].format(k=cut(1))}) THEN {cut(1)} ELSE w END"
+    ll = f"CASE WHEN suffix(w, 'll') AND {tests['two'].format(k=cut(1))} THEN {cut(1)} ELSE w END"
+    steps = [step(stem.PLURALS), past, step(stem.LAST_Y), step(stem.DOUBLE_ENDINGS), step(stem.ENDINGS), step(stem.LAST_ENDINGS), e, ll]
+    out = "st0 AS (SELECT word, word AS w FROM voc)"
+    for k, made in enumerate(steps, 1):
+        out += f",\nst{k} AS (SELECT word, {made} AS w FROM st{k - 1})"
+    return out + f",\nstems AS (SELECT word AS term, CASE WHEN length(word) > 2 THEN w ELSE word END AS idx FROM st{len(steps)})"
+
+
+SPARSE = (
+    CHUNKS
+    + r""",
+toks AS (SELECT chunk_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM chunks),
+asks AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM benchmark),
+voc AS (SELECT term AS word FROM (SELECT term FROM toks UNION SELECT term FROM asks) WHERE term NOT IN ("""
+    + ", ".join(f"'{w}'" for w in stem.STOP_WORDS)
+    + f""")),
+{sql_porter()},
+tfs AS (SELECT chunk_id, idx, count(*) AS tf FROM toks JOIN stems USING (term) GROUP BY ALL),
+enc AS (SELECT chunk_id, idx, round(tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * dl / 256.0e0)), 9) AS weight FROM tfs JOIN (SELECT chunk_id, sum(tf) AS dl FROM tfs GROUP BY chunk_id) USING (chunk_id))"""
+)
+
 ORACLE: dict[str, str] = {
+    "E5_sparse_encodings": f"WITH {SPARSE} SELECT * FROM enc",
+    "E5_sparse_search": f"""WITH {SPARSE},
+q AS (SELECT DISTINCT query_id, idx FROM asks JOIN stems USING (term)),
+df AS (SELECT idx, count(*) AS df FROM enc GROUP BY idx),
+s AS (SELECT query_id, chunk_id, round(sum(ln(1 + ((SELECT count(*) FROM chunks) - df + 0.5e0) / (df + 0.5e0)) * weight), 6) AS score FROM q JOIN df USING (idx) JOIN enc USING (idx) GROUP BY query_id, chunk_id)
+SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INT) AS rank FROM s QUALIFY rank <= 20""",
     "S2_text_pages": "SELECT doc_id, 1 AS page_no, length(text) AS n_chars, sha256(text) AS sha256 FROM documents",
     "S3_inventory": r"""WITH p AS (SELECT regexp_extract(url, '^https?://[^/]+/([^/?#]*)', 1) AS folder FROM pages)
 SELECT folder, CASE folder WHEN 'fr' THEN 'French' WHEN 'de' THEN 'German' WHEN 'en' THEN 'English' END AS kind, count(*) AS n, folder NOT IN ('fr', 'de', 'en') AS unmapped FROM p GROUP BY folder""",

@@ -287,6 +287,19 @@ def E2_hash_sparse(spark, sf_dir):
     return search.hash_sparse(spread(table(spark, sf_dir, "documents")), "doc_id")
 
 
+@query
+def E5_sparse_encodings(spark, sf_dir):
+    return search.bm25_sparse(R.chunks_of(table(spark, sf_dir, "documents")), "chunk_id")
+
+
+@query
+def E5_sparse_search(spark, sf_dir):
+    chunks = written(R.chunks_of(table(spark, sf_dir, "documents")).select("chunk_id", "text"), "sparse-chunks")
+    terms = written(search.bm25_sparse(chunks, "chunk_id"), "sparse-terms")
+    found = search.sparse_top_k(terms, search.bm25_sparse_query(R.questions(spark, sf_dir)), chunks.agg(F.count("*").alias("n")))
+    return found.select("query_id", "chunk_id", "score", i32("rank"))
+
+
 @query
 def E6_normalised(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(E.l2_normalized(F.col("embedding"))).alias("at", "x"))
