@@ -149,6 +149,20 @@ enc AS (SELECT chunk_id, idx, round(tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0
 )
 
 ORACLE: dict[str, str] = {
+    # One document after another takes what is left, as a recursion over the failing ones.
+    "T3_ratio_gate": r"""WITH RECURSIVE d AS (
+  SELECT doc_id, source AS kind, lang AS grp, quality, toxic, length(regexp_replace(lower(text), '\s', '', 'g')) AS a, floor(n_chars * 0.86) AS b FROM documents JOIN labels USING (doc_id)),
+r AS (SELECT *, coalesce(a > 0 AND b > 0 AND a / b BETWEEN 0.97 AND 1.03, false) AS ok FROM d),
+f AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS k FROM r WHERE toxic = 1 AND NOT ok),
+c AS (SELECT * FROM r WHERE toxic = 0 AND quality = 1 AND ok),
+g AS (
+  SELECT 0::BIGINT AS k, []::BIGINT[] AS taken
+  UNION ALL
+  SELECT g.k + 1, list_append(any_value(g.taken), arg_min(c.doc_id, (CASE WHEN c.kind IS NOT DISTINCT FROM f.kind THEN 0 WHEN c.grp IS NOT DISTINCT FROM f.grp THEN 1 ELSE 2 END, c.doc_id)) FILTER (c.doc_id IS NOT NULL))
+  FROM g JOIN f ON f.k = g.k + 1 LEFT JOIN c ON NOT list_contains(g.taken, c.doc_id) GROUP BY g.k),
+t AS (SELECT taken FROM g ORDER BY k DESC LIMIT 1)
+SELECT doc_id, doc_id AS final, NULL::VARCHAR AS note FROM r WHERE toxic = 1 AND ok
+UNION ALL SELECT doc_id, taken[k], CASE WHEN taken[k] IS NULL THEN 'no_replacement ' || doc_id ELSE 'replaced ' || doc_id || ' -> ' || taken[k] END FROM f, t""",
     "E5_sparse_encodings": f"WITH {SPARSE} SELECT * FROM enc",
     "E5_sparse_search": f"""WITH {SPARSE},
 q AS (SELECT DISTINCT query_id, idx FROM asks JOIN stems USING (term)),

@@ -327,10 +327,44 @@ def test_drawn(spark):
     assert {r["s"]: r["count"] for r in got} == {"a": 700, "b": 3}
 
 
-def test_ratio_gate():
-    doc = lambda i, ok, kind="k", group="g": {"doc_id": i, "ratio_ok": ok, "kind": kind, "group": group}
-    out, notes = sampling.ratio_gate([doc(1, True), doc(2, False), doc(3, False)], [doc(7, True, "x", "y"), doc(8, False), doc(9, True)])
-    assert [d["doc_id"] for d in out] == [1, 9, 7] and len(notes) == 4
+def in_turns(chosen, pool):
+    """The rule as it is told: one document after another takes the best one left."""
+    left, out = sorted((p for p in pool if p[4] and p[0] not in {c[0] for c in chosen}), key=lambda p: p[3]), {}
+    for doc in sorted(chosen, key=lambda c: c[3]):
+        if doc[4]:
+            out[doc[0]] = doc[0]
+            continue
+        order = sorted(range(len(left)), key=lambda i, d=doc: (0 if (left[i][1] or "") == (d[1] or "") else 1 if (left[i][2] or "") == (d[2] or "") else 2, i))
+        out[doc[0]] = left.pop(order[0])[0] if order else None
+    return out
+
+
+GATE = "doc_id long, kind string, group string, seq long, ratio_ok boolean"
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_ratio_gate_equals_taking_turns(spark, seed):
+    rng = random.Random(seed)
+    row = lambda i: (i, rng.choice(["a", "b", "c", "d", None]), rng.choice(["core", "ip", "other"]), rng.randrange(10**6) * 1000 + i, rng.choice([True, False, False, None]))
+    chosen, pool = [row(i) for i in range(rng.randrange(1, 40))], [row(100 + i) for i in range(rng.choice([5, 30, 80]))]
+    got = sampling.ratio_gate(spark.createDataFrame(chosen, GATE), spark.createDataFrame(pool, GATE)).collect()
+    assert {r["doc_id"]: r["final"] for r in got} == in_turns(chosen, pool)
+
+
+def test_ratio_gate_notes(spark):
+    chosen = spark.createDataFrame([(1, "k", "g", 1, True), (2, "k", "g", 2, False), (3, "k", "g", 3, False), (4, "k", "g", 4, False)], GATE)
+    pool = spark.createDataFrame([(7, "x", "y", 1, True), (8, "k", "g", 2, False), (9, "k", "g", 3, True)], GATE)
+    assert sorted((r["doc_id"], r["final"], r["note"]) for r in sampling.ratio_gate(chosen, pool).collect()) == [(1, 1, None), (2, 9, "replaced 2 -> 9"), (3, 7, "replaced 3 -> 7"), (4, None, "no_replacement 4")]
+    assert sampling.ratio_gate(chosen.limit(0), pool).count() == 0 and sampling.ratio_gate(chosen, pool.limit(0)).where("final IS NULL").count() == 3
+
+
+def test_null_strata(spark):
+    have = {"a": 5, None: 7, "b": 3}
+    for quotas in (sampling.holdout_quotas(have, 9, {"a": 2, "b": 1}), sampling.proportional_split(have, 7), sampling.stratified_quotas(have, 8)):
+        assert sum(quotas.values()) in (7, 8, 9) and quotas[None] > 0
+        docs = spark.createDataFrame([(i, s) for s, n in have.items() for i in range(n)], "doc_id int, s string").withColumn("doc_id", F.monotonically_increasing_id())
+        got = {r["s"]: r["count"] for r in sampling.drawn(docs, "s", quotas, "doc_id").groupBy("s").count().collect()}
+        assert got == {s: n for s, n in quotas.items() if n}
 
 
 # Agent
