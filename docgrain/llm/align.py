@@ -21,6 +21,7 @@ docs other than doc_id and text are not read.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import os
 import re
@@ -35,10 +36,14 @@ from pyspark.sql import functions as F
 from docgrain.llm.common import by_bytes, written
 
 ALIGNED = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<long>"
-HOT, CACHED, CACHED_CHARS = 1 << 19, 400_000, 64
+HOT, CACHED, CACHED_CHARS, BATCH_BYTES = 1 << 19, 150_000, 64, 2_000_000
 SPACE = "▁"
 #: Parts of a text: a new one begins at a space or newline behind another character than white space.
 PARTS = re.compile(r"\s*\S+(?:[^\S \n]\s*\S+)*(?:[^\S \n]\s*)?|\s+")
+#: White space that makes no part begin, runs of white space, and what would be taken for the mark of a cut.
+NOT_PLAIN = re.compile(r"[^\S \n]|[ \n][ \n]|\x00")
+#: Behind the Latin letters, of which all rules for letters and numbers hold alike.
+LATIN_END = "\u0250"
 
 
 def byte_names() -> dict[str, int]:
@@ -48,10 +53,19 @@ def byte_names() -> dict[str, int]:
     return {chr(b): b for b in seen} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
+def parts_of(text: str) -> list[str]:
+    """The parts of space + text."""
+    text = f" {text}"
+    if NOT_PLAIN.search(text):
+        return PARTS.findall(text)
+    return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")[1:]
+
+
 class Pair:
-    """Ids of texts by both tokenizers, and the bytes of each id."""
+    """Ids of texts by both tokenizers, and the bytes of each id. a_ranks: a file of the vocabulary of A as ranks, and the pattern that
+    cuts texts before its merges; Latin texts are then encoded by these, to the same ids."""
 
-    def __init__(self, a_path: str, b_path: str):
+    def __init__(self, a_path: str, b_path: str, a_ranks: tuple[str, str] | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         import sentencepiece
         from tokenizers import Tokenizer
@@ -67,9 +81,20 @@ class Pair:
         self.a_sizes, self.b_sizes = (np.fromiter(map(len, t), "i8", len(t)) for t in (self.a_bytes, self.b_bytes))
         width = len(str(max(len(self.a_sizes), len(self.b_sizes)))) + 1
         self.names = id_names(len(self.a_sizes), "|", width), id_names(len(self.b_sizes), ";", width)
-        self.known: dict[str, tuple[bytes, bytes, bool]] = {}
+        self.ranked = None
+        if a_ranks:
+            import tiktoken
 
-    def learn(self, parts: list[str]) -> None:
+            lines = (line.split() for line in open(a_ranks[0], "rb"))
+            self.ranked = tiktoken.Encoding("own", pat_str=a_ranks[1], mergeable_ranks={base64.b64decode(t): int(n) for t, n in lines}, special_tokens={})
+        self.of_a: dict[str, bytes] = {}
+        self.of_b: dict[str, bytes] = {}
+        self.changed: set[str] = set()  # parts whose bytes a tokenizer changes
+
+    def a_ids(self, text: str) -> list[int]:
+        return self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def learn_each(self, parts: list[str]) -> None:
         """B puts a space before what it encodes: the part's own, or one that is taken off again."""
         coded_a = self.a.encode_batch_fast(parts, add_special_tokens=False)
         coded_b = self.b.encode([p[1:] if p[0] == " " else p for p in parts], num_threads=1)
@@ -77,32 +102,63 @@ class Pair:
             if part == " ":  # B has no ids for an empty text
                 b = [self.b.piece_to_id(SPACE)]
             b = b if part[0] == " " else b[1:]
-            same = part.encode() == b"".join([self.a_bytes[i] for i in a.ids]) == b"".join([self.b_bytes[i] for i in b])
-            self.known[part] = array("I", a.ids).tobytes(), array("I", b).tobytes(), same
+            self.of_a[part], self.of_b[part] = array("I", a.ids).tobytes(), array("I", b).tobytes()
+            if not part.encode() == b"".join([self.a_bytes[i] for i in a.ids]) == b"".join([self.b_bytes[i] for i in b]):
+                self.changed.add(part)
+
+    def learn(self, parts: list[str]) -> None:
+        """Many parts as one text, whose tokens are dealt to them by their bytes; those that may not stand in a row go by themselves."""
+        row, other, single = [], [], []
+        for p in parts:
+            (single if p[-1].isspace() or SPACE in p else row if p.isascii() or max(p) < LATIN_END else other).append(p)
+        coders = [(some, self.ranked.encode_ordinary if self.ranked and some is row else self.a_ids) for some in (row, other)]
+        for some, a_ids in [([" a", *kind[k : k + 4000]], code) for kind, code in coders for k in range(0, len(kind), 4000)]:
+            text = "".join(some)
+            raw, ends = text.encode(), np.cumsum([len(p.encode()) for p in some])
+            dealt = []
+            for ids, known, sizes in (
+                (a_ids(text), self.a_bytes, self.a_sizes),
+                (self.b.encode(text[1:], num_threads=1), self.b_bytes, self.b_sizes),
+            ):
+                coded = np.asarray(ids, "<u4")
+                upto = np.cumsum(sizes[coded])
+                at = np.searchsorted(upto, ends)
+                if b"".join([known[i] for i in ids]) == raw and (upto[at] == ends).all():
+                    dealt.append((coded.tobytes(), (4 * (at + 1)).tolist()))
+            if len(dealt) < 2:
+                single += some[1:]
+                continue
+            for of, (ids, cuts) in zip((self.of_a, self.of_b), dealt, strict=True):
+                for part, x, y in zip(some[1:], cuts, cuts[1:], strict=False):
+                    of[part] = ids[x:y]
+        for k in range(0, len(single), 4000):
+            self.learn_each(single[k : k + 4000])
 
     def same(self, text: str, a: np.ndarray, b: np.ndarray) -> bool:
         return f" {text}".encode() == b"".join([self.a_bytes[i] for i in a]) == b"".join([self.b_bytes[i] for i in b])
 
     def __call__(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Ids of space + text; none where either tokenizer changes its bytes."""
-        cut = [PARTS.findall(f" {t}") if t else [] for t in texts]
-        if len(self.known) > CACHED:
-            self.known.clear()
-        names = {p for parts in cut for p in parts}
-        self.learn([p for p in names if p not in self.known])
+        cut = [parts_of(t) if t else [] for t in texts]
+        if len(self.of_a) > CACHED:
+            self.of_a.clear()
+            self.of_b.clear()
+            self.changed.clear()
+        names = set().union(*cut)
+        self.learn(list(names - self.of_a.keys()))
         for text, parts in zip(texts, cut, strict=True):
-            both = [self.known[p] for p in parts]
-            a, b = (np.frombuffer(b"".join([x[k] for x in both]), "<u4") for k in (0, 1))
-            if text and (all([x[2] for x in both]) or self.same(text, a, b)):
+            a, b = (np.frombuffer(b"".join(map(of.__getitem__, parts)), "<u4") for of in (self.of_a, self.of_b))
+            if text and (not self.changed or self.changed.isdisjoint(parts) or self.same(text, a, b)):
                 yield a, b
             else:
                 yield a[:0], b[:0]
         for p in names:
             if len(p) > CACHED_CHARS:  # long parts are not kept beyond their batch
-                del self.known[p]
+                del self.of_a[p], self.of_b[p]
+                self.changed.discard(p)
 
 
-_PAIRS: dict[tuple[str, str], Pair] = {}
+_PAIRS: dict[tuple, Pair] = {}
 
 
 def walk(a: list[int], b: list[int]) -> tuple[list[int], list[int], list[int], list[int]]:
@@ -163,14 +219,15 @@ def id_names(n: int, end: str, width: int = 12) -> np.ndarray:
     return np.asarray([f"{i}," for i in range(n)] + [f"{i}{end}" for i in range(n)], f"S{width}")
 
 
-def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
+def aligned(docs: DataFrame, a_path: str, b_path: str, a_ranks: tuple[str, str] | None = None) -> DataFrame:
     """docs (doc_id, text) -> doc_id, ALIGNED and `row`; pairs are A id * 2^32 + B id, each once, and times how many links have it.
     Write the result before it is used twice."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _PAIRS.get((a_path, b_path)) or _PAIRS.setdefault((a_path, b_path), Pair(a_path, b_path))
+        key = a_path, b_path, a_ranks
+        encode = _PAIRS.get(key) or _PAIRS.setdefault(key, Pair(*key))
         none = np.empty(0, "i8")
-        for batch in by_bytes(batches):
+        for batch in by_bytes(batches, BATCH_BYTES):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             numbers, hashes, pairs, times = [], [], [], []
             for a, b in encode(texts):
@@ -221,5 +278,5 @@ def scored(found: DataFrame, hot: int = HOT) -> DataFrame:
     return found.drop("pairs", "times").join(both, "row", "left").select("doc_id", "n_a", "n_b", "n_groups", "n_links", *filled, "groups_sha256")
 
 
-def alignment(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    return scored(written(aligned(docs, a_path, b_path), "align-docs"))
+def alignment(docs: DataFrame, a_path: str, b_path: str, a_ranks: tuple[str, str] | None = None) -> DataFrame:
+    return scored(written(aligned(docs, a_path, b_path, a_ranks), "align-docs"))

@@ -107,7 +107,8 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docgrain.llm import align
 
     a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
-    return align.alignment(read(spark, sf_dir, "documents"), a, b)
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return align.alignment(read(spark, sf_dir, "documents"), a, b, ranks)
 
 
 QUERIES = {f.__name__: f for f in (op1_pii_spans, op2_language_id, op3_quality_rules, op4_best_fit_packing, op5_quality_classifier, op6_main_text, op7_voronoi_topk, op8_minhash_neardup, op9_source_mixing, op10_toxicity_chain, op11_conversation_repair, op12_cost_packing, op13_token_alignment, mixing_contract)}

@@ -19,7 +19,8 @@ from tokenizers import Tokenizer
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 WHOLE_A, WHOLE_B = Tokenizer.from_file(A), sentencepiece.SentencePieceProcessor(model_file=B)
 WHOLE_A.encode_special_tokens = True
-PAIR = align.Pair(A, B)
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+PAIR = align.Pair(A, B, RANKS)
 
 
 def plain_tokens(text):
@@ -79,10 +80,26 @@ def test_ids_equal_those_of_the_whole_text(text):
 def test_parts_are_the_whole_text_and_long_ones_are_not_kept():
     rng = random.Random(1)
     text = " ".join("".join(rng.choice("abcé\t\x1c　") for _ in range(rng.randrange(1, 9))) for _ in range(2000)) + "x" * 50_000
-    assert "".join(align.PARTS.findall(" " + text)) == " " + text
+    assert "".join(align.parts_of(text)) == " " + text
     ((a, b),) = PAIR([text])
     assert (a.tolist(), b.tolist()) == plain_tokens(text)
-    assert all(len(p) <= align.CACHED_CHARS for p in PAIR.known)
+    assert all(len(p) <= align.CACHED_CHARS for p in PAIR.of_a)
+
+
+def test_plain_texts_are_cut_as_others():
+    rng = random.Random(4)
+    for _ in range(3000):
+        text = "".join(rng.choice(["ab", "é", " ", "\n", ".", "\t", "x y", "a\nb"]) for _ in range(rng.randrange(1, 12)))
+        assert align.parts_of(text) == align.PARTS.findall(" " + text)
+
+
+def test_ranks_give_the_same_ids():
+    """Many Latin parts in a row, by ranks and without."""
+    rng = random.Random(6)
+    signs = [chr(c) for c in range(33, 0x250) if not chr(c).isspace()]
+    text = " ".join("".join(rng.choice(signs) if rng.random() < 0.3 else rng.choice("etaoinsrhldü'") for _ in range(rng.randrange(1, 12))) for _ in range(20_000))
+    (found,), (plain,) = align.Pair(A, B, RANKS)([text]), align.Pair(A, B)([text])
+    assert [x.tolist() for x in found] == [x.tolist() for x in plain] == list(plain_tokens(text))
 
 
 def plain_query(rows):
@@ -112,7 +129,7 @@ def small_texts():
 def test_alignment_equals_a_plain_run(spark, hot):
     rows = small_texts()
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = align.scored(written(align.aligned(docs, A, B), "test-align"), hot).collect()
+    got = align.scored(written(align.aligned(docs, A, B, RANKS), "test-align"), hot).collect()
     key = lambda r: tuple(map(str, r))
     assert sorted(map(tuple, got), key=key) == sorted(plain_query(rows), key=key)
 
