@@ -8,7 +8,7 @@ The dictionaries are a bounded sample (`sampled` documents a language on average
 `piece_bytes` each, `dictionary_bytes` in all): every sampled document gives a part of each of its pieces,
 copies count once, and the order is a seeded hash. Every text is compressed whole.
 
-Defined results: null text and text without a letter are `und` with score 0; without training texts all
+Defined results: null text and text without a letter (number characters such as \u00bd or \u2167 are none) are `und` with score 0; without training texts all
 are `und`; ties go to the language with more training documents, then to the lesser name; repeated rows are each judged
 alone, and count each in the sample, where equal pieces are taken once; texts of any length are compressed whole, block by
 block; columns other than doc_id, text, held_out and (for the sample) lang are not read.
@@ -19,7 +19,6 @@ given one of those.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,7 +31,6 @@ from docgrain.llm.common import text_batches
 
 SAMPLED, PIECES, PIECE_BYTES, DICTIONARY_BYTES, MOST_LANGUAGES = 250, 4, 400, 32_000, 200
 BLOCK_BYTES, LEVEL, NARROW = 4096, 6, 0.02
-LETTER = re.compile(r"[^\W\d_]")
 #: ASCII characters that are no letters become spaces.
 ASCII_LETTERS = bytes(c if chr(c).isalpha() or c > 127 else 32 for c in range(256))
 
@@ -65,7 +63,8 @@ def sampled_pieces(docs: DataFrame, per_language: int = SAMPLED, pieces: int = P
     if not counts:
         return []
     shares = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, per_language / n)))])
-    unit = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_003)) / 1_000_003.0
+    # Drawn by id and text, so that rows without an id, or of one id, are drawn each for itself.
+    unit = F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(1_000_003)) / 1_000_003.0
     few = docs.where(unit < F.try_element_at(shares, F.col("lang"))).select("lang", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,7 +76,8 @@ def sampled_pieces(docs: DataFrame, per_language: int = SAMPLED, pieces: int = P
                 out.append([data[a : a + piece_bytes] for a in starts if a < len(data)])
             yield pa.record_batch([batch.column("lang"), pa.array(out, pa.list_(pa.binary()))], names=["lang", "pieces"])
 
-    rows = few.mapInArrow(cut, "lang string, pieces array<binary>").where("size(pieces) > 0").collect()
+    # Equal pieces count once, so what comes to the driver is about the draw, however often a row is repeated; the limit bounds it surely.
+    rows = few.mapInArrow(cut, "lang string, pieces array<binary>").where("size(pieces) > 0").distinct().limit(4 * per_language * len(counts)).collect()
     documents: dict[str, list[list[bytes]]] = {}
     for r in rows:
         documents.setdefault(r["lang"], []).append([bytes(p) for p in r["pieces"]])
@@ -97,7 +97,7 @@ class Compressors:
     def __call__(self, text: str) -> tuple[str, float, bool]:
         """Language, score from 0 (a tie) to 1, rejected. The score is the saving over the next best,
         in shares of its bytes, where a saving of a fifth counts as 1."""
-        if not self.langs or not LETTER.search(text):
+        if not self.langs or not any(map(str.isalpha, text)):
             return "und", 0.0, True
         data = normal(text)
         blocks = [data[a : a + BLOCK_BYTES] for a in range(0, max(len(data), 1), BLOCK_BYTES)]
