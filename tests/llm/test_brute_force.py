@@ -137,6 +137,22 @@ def test_every_sampled_document_is_in_the_dictionary(spark):
     assert data.count(b"a hot text a hot text") < 10
 
 
+def test_texts_without_letters_have_no_language():
+    own = langid.Compressors([("de", 2, b"der die das"), ("fr", 1, b"le la les")])
+    assert [own(t)[:2] for t in ("½", "²", "Ⅷ", "12 + 3", "", "🙂", "_")] == [("und", 0.0)] * 7
+    assert own("é")[0] != "und" and own("日")[0] != "und" and own("12 a")[0] != "und"
+
+
+def test_rows_without_ids_are_drawn_each_for_itself(spark):
+    own = random.Random(4)
+    text = lambda: " ".join("".join(own.choice("abcdefghij") for _ in range(6)) for _ in range(60))
+    rows = [(None, text(), "de") for _ in range(5000)] + [(5, text(), "fr") for _ in range(5000)] + [(7, "one row again and again", "fr")] * 5000
+    found = langid.sampled_pieces(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=100)
+    assert [(k, n) for k, n, _ in found] == [("fr", 10_000), ("de", 5000)]
+    for _, _, data in found:
+        assert 10_000 < len(data) <= langid.DICTIONARY_BYTES
+
+
 def plain_statistics(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     windows = {}
@@ -705,6 +721,30 @@ def test_only_whole_names_are_set_apart_in_an_article():
     assert alone(page.replace("site-header_bar ", "")) == "a b d"
 
 
+def content(page):
+    return " ".join(t for t, state in boilerplate.blocks(page) if state == boilerplate.CONTENT)
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<article><p class="ad">Buy<p>Real text here.</article>', "Real text here."),
+        ('<article><ul><li class="ad">x<ul><li>y</li></ul>z</li><li>real</ul></article>', "real"),
+        ('<article><table><tr><td class="ad">q<td>w<tr><td>e</table><dl><dt class="ad">k<dd>v</dl></article>', "w e v"),
+        ('<article><p class="ad">Buy<div>f</div>g</article>', "f g"),
+        ('<article><p>One <span class="advert">Buy <span>now</span> this</span> two.</p></article>', "One two."),
+        ('<article><p>x = 1 <span class="comment">// one</span> <em class="notice">mind</em></p></article>', "x = 1 // one mind"),
+        ('<article>a<div class="ad-slot">x</div><div class="ad-unit">x</div><div class="comment-thread">c</div><div class="related-stories">r</div>b</article>', "a b"),
+        ('<article>a<div hidden>h</div><div style="color:red; display: none">n</div><p style="visibility:hidden">v</p>b</article>', "a b"),
+        ('<article><p class="hidden-gem">a<p title="a hidden thing">b<p data-hidden="1">c<p aria-hidden="true">d<section id="related-work">e</section></article>', "a b c d e"),
+        ('<section class="more-stories"><article>teaser</article></section><article>story</article>', "story"),
+        ('<article>story</article><div id="thread">first! second!</div>', "story"),
+    ],
+)
+def test_what_is_set_apart_goes_and_nothing_else(page, text):
+    assert content(page) == text
+
+
 def plain_repeats(pages, share, depth):
     """Every stretch of marked tokens against every other page: of `depth` tokens, or a whole block."""
     distinct = sorted({tuple(tuple(b) for b in p) for p in pages})
