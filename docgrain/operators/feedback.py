@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docgrain.sources.collections import Collection, upserted
+
 # Allowed ratings and tags.
 RATINGS = (-1, 1, 2, 3, 4, 5)
 TAGS = ("wrong_answer", "hallucination", "wrong_citation", "missing_citation", "incomplete", "should_have_abstained", "should_not_have_abstained", "good")
@@ -28,6 +30,30 @@ def orphans(feedback: DataFrame, logs: DataFrame, key: str = "query_id") -> Data
     return feedback.join(logs.select(key), key, "left_anti")
 
 
+def refused(rows: DataFrame, logs: DataFrame) -> DataFrame:
+    """rows (feedback_id, query_id, rating, tags) with `reason`, why each may not be written; null where it may."""
+    known = logs.select(F.col("query_id").alias("_q")).distinct().withColumn("_known", F.lit(True))
+    unknown = F.array_except(F.coalesce(F.col("tags"), F.array().cast("array<string>")), F.array(*[F.lit(t) for t in TAGS]))
+    reason = (
+        F.when(~F.coalesce(F.col("rating").isin(*RATINGS), F.lit(False)), F.concat(F.lit("rating "), F.coalesce(F.col("rating").cast("string"), F.lit("null"))))
+        .when(F.size(unknown) > 0, F.concat(F.lit("unknown tags "), F.array_join(unknown, ", ", "null")))
+        .when(F.col("_known").isNull(), F.concat(F.lit("unknown query_id "), F.coalesce(F.col("query_id").cast("string"), F.lit("null"))))
+    )
+    return rows.join(known, F.col("query_id") == F.col("_q"), "left").select(*rows.columns, reason.alias("reason"))
+
+
+def accepted(rows: DataFrame, logs: DataFrame) -> DataFrame:
+    """rows, whole or not at all: reading one that is refused() is an error, so what writes them fails."""
+    checked = refused(rows, logs).withColumn("reason", F.when(F.col("reason").isNotNull(), F.raise_error(F.concat(F.lit("feedback refused: "), F.col("reason")))))
+    return checked.where(F.col("reason").isNull()).drop("reason")
+
+
+def append(into: Collection, rows: DataFrame, logs: DataFrame) -> dict[str, dict[str, int]]:
+    """Adds rows to the collection's table `feedback`, a later row of a feedback_id in place of an earlier one. One bad row leaves the table as it was."""
+    old = into.table("feedback") if into.exists() else None
+    return into.replace({"feedback": upserted(old, accepted(rows, logs), "feedback_id")})
+
+
 def summary(rated: DataFrame, key: Column | str, decimals: int = 6) -> DataFrame:
     """key, n, mean_rating, up (4 and more), down (2 and less)."""
     k = F.col(key) if isinstance(key, str) else key

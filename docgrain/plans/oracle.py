@@ -149,6 +149,11 @@ enc AS (SELECT chunk_id, idx, round(tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0
 )
 
 ORACLE: dict[str, str] = {
+    "K6_refused_writes": """WITH r AS (SELECT event_id AS feedback_id, user_id AS query_id, event_id % 8 - 1 AS rating, event_id % 11 = 0 AS odd, event_type FROM events),
+q AS (SELECT DISTINCT conv_id FROM conversations),
+w AS (SELECT feedback_id, query_id, CASE WHEN rating NOT IN (-1, 1, 2, 3, 4, 5) THEN 'rating ' || rating WHEN odd THEN 'unknown tags ' || event_type WHEN conv_id IS NULL THEN 'unknown query_id ' || query_id END AS reason
+  FROM r LEFT JOIN q ON conv_id = query_id)
+SELECT * FROM w WHERE reason IS NOT NULL""",
     # One document after another takes what is left, as a recursion over the failing ones.
     "T3_ratio_gate": r"""WITH RECURSIVE d AS (
   SELECT doc_id, source AS kind, lang AS grp, quality, toxic, length(regexp_replace(lower(text), '\s', '', 'g')) AS a, floor(n_chars * 0.86) AS b FROM documents JOIN labels USING (doc_id)),

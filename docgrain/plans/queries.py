@@ -177,6 +177,15 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.withColumn("cited_doc_ids", F.array(F.col("query_id"), F.col("query_id") * 2, F.col("query_id") + F.col("n_turns") * 1000))
 
 
+@query
+def K6_refused_writes(spark, sf_dir):
+    """Ratings of conversations by events, some of them out of the domain, with unknown tags, or of no conversation."""
+    tags = F.when(F.col("event_id") % 11 == 0, F.array(F.col("event_type"))).when(F.col("event_id") % 2 == 0, F.array(F.lit("good"), F.lit("incomplete")))
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("feedback_id"), F.col("user_id").alias("query_id"), (F.col("event_id") % 8 - 1).cast("int").alias("rating"), tags.alias("tags"))
+    logs_ = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query_id"))
+    return feedback.refused(rows, logs_).where("reason IS NOT NULL").select("feedback_id", "query_id", "reason")
+
+
 @query
 def K6_violations(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("event_id", (F.floor("value") % 9 - 2).cast("int").alias("rating"))

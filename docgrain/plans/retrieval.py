@@ -98,15 +98,16 @@ def filtered_pipeline(chunks: DataFrame, questions: DataFrame, catalog: DataFram
 INDEX_TABLES = ("postings", "terms", "stats")
 
 
-def build_index(docs: DataFrame, into: Collection) -> int:
+def build_index(docs: DataFrame, into: Collection) -> dict[str, dict[str, int]]:
     """Chunks, dense vectors, postings and statistics as the collection's next version; each is made once for
-    many searches. Postings lie sorted by term, so a search reads the row groups of its words."""
+    many searches. Postings lie sorted by term, so a search reads the row groups of its words. Returns the counts of the
+    written tables; there must be a vector for each chunk."""
     chunks = written(chunks_of(docs), "index-chunks")
     postings = written(search.postings_of(chunks), "index-postings")
     terms, stats = postings.groupBy("term").agg(F.count("*").alias("df")), search.corpus_statistics(chunks)
     vectors = chunks.select("chunk_id", E.hash_dense(F.col("text")).alias("vector"))
     tables = {"chunks": chunks, "vectors": vectors, "postings": postings.repartitionByRange("term").sortWithinPartitions("term"), "terms": terms, "stats": stats}
-    return into.replace(tables, {"chunks": chunks.count()})
+    return into.replace(tables, dict.fromkeys(("chunks", "vectors"), chunks.count()), {"postings": {"occurrences": F.sum("tf")}, "chunks": {"docs": F.approx_count_distinct("doc_id")}})
 
 
 def search_index(index: Collection, asked: DataFrame, k: int = K) -> DataFrame:

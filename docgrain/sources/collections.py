@@ -1,7 +1,8 @@
-"""Versioned collections: Parquet tables under a name, swapped whole by a pointer, checked by a fingerprint.
+"""Versioned collections: Parquet tables under a name, swapped whole, checked by a fingerprint.
 
-Layout: <root>/<name>/v=<n>/<table>.parquet, <root>/<name>/_current (the number of the version that
-readers use) and <root>/<name>/_fingerprint (what the content depends on). One writer at a time. Paths go
+Layout: <root>/<name>/v=<n>/<table>.parquet, and <root>/<name>/v=<n>/_complete, which is written last and holds what the content
+depends on. Readers use the highest complete version. Nothing that they use is ever changed or removed, so a writer that dies at
+any point leaves the version before as it was, and the next writer begins its number anew. One writer at a time. Paths go
 through Hadoop's file systems, so any store that Spark reads will do.
 """
 
@@ -9,7 +10,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -20,7 +21,7 @@ class CollectionMismatch(ValueError):
 class Collection:
     def __init__(self, spark: SparkSession, root: str, name: str, fingerprint: dict):
         self.spark, self.at, self.fingerprint = spark, f"{root}/{name}", fingerprint
-        known = self._read("_fingerprint")
+        known = self._read(f"v={self.version}/_complete")
         if known is not None and json.loads(known) != fingerprint:
             raise CollectionMismatch(f"{name}: made with {known}, asked for {json.dumps(fingerprint, sort_keys=True)}")
 
@@ -39,20 +40,22 @@ class Collection:
             stream.close()
 
     def _write(self, name: str, text: str) -> None:
-        """Beside the old file first, then in its place."""
+        """Beside its place first, so that a file that is there is whole."""
         fs, path = self._path(name)
         _, new = self._path(f"{name}.new")
         stream = fs.create(new, True)
         stream.write(bytearray(text.encode()))
         stream.close()
-        if fs.exists(path):
-            fs.delete(path, False)
         if not fs.rename(new, path):
-            raise OSError(f"{name} could not be replaced")
+            raise OSError(f"{name} could not be written")
 
     @property
     def version(self) -> int:
-        return int(self._read("_current") or 0)
+        """The highest complete one; 0 for none."""
+        fs, path = self._path("")
+        listed = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+        numbers = sorted((int(name[2:]) for name in listed if name.startswith("v=") and name[2:].isdigit()), reverse=True)
+        return next((n for n in numbers if fs.exists(self._path(f"v={n}/_complete")[1])), 0)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.at}/v={self.version}/{name}.parquet")
@@ -60,19 +63,22 @@ class Collection:
     def exists(self) -> bool:
         return self.version > 0
 
-    def replace(self, tables: dict[str, DataFrame], expect: dict[str, int] | None = None) -> int:
-        """Writes the next version and makes it current once the counts are as expected. A failure leaves
-        the version before readable."""
-        new = self.version + 1
+    def replace(self, tables: dict[str, DataFrame], expect: dict[str, int] | None = None, measures: dict[str, dict[str, Column]] | None = None) -> dict[str, dict[str, int]]:
+        """Writes the next version and makes it current once its row counts are as expected. A failure leaves the version before.
+
+        Rows are counted while they are written, and so are `measures` (aggregates by table and name): nothing is read a second
+        time. Returns what was counted: by table, `rows` and its measures."""
+        new, seen = self.version + 1, {}
         for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{self.at}/v={new}/{name}.parquet")
+            counts = Observation()
+            asked = [c.alias(k) for k, c in (measures or {}).get(name, {}).items()]
+            df.observe(counts, F.count(F.lit(1)).alias("rows"), *asked).write.mode("overwrite").parquet(f"{self.at}/v={new}/{name}.parquet")
+            seen[name] = dict(counts.get)
         for name, n in (expect or {}).items():
-            found = self.spark.read.parquet(f"{self.at}/v={new}/{name}.parquet").count()
-            if found != n:
-                raise RuntimeError(f"{name}: wrote {found} rows, expected {n}")
-        self._write("_fingerprint", json.dumps(self.fingerprint, sort_keys=True))
-        self._write("_current", str(new))
-        return new
+            if seen[name]["rows"] != n:
+                raise RuntimeError(f"{name}: wrote {seen[name]['rows']} rows, expected {n}")
+        self._write(f"v={new}/_complete", json.dumps(self.fingerprint, sort_keys=True))
+        return seen
 
 
 def upserted(old: DataFrame | None, new: DataFrame, key: str) -> DataFrame:

@@ -11,23 +11,25 @@ from pyspark.sql.streaming import StreamingQuery
 
 from docgrain.operators import chunk, clean, registry
 from docgrain.sources.collections import Collection, upserted, without_other_versions
+from docgrain.sources.scratch import written
 
 
 def ingest_batch(docs: DataFrame, into: Collection, signature: str, chunker: Callable[[DataFrame], DataFrame] = chunk.fixed_windows) -> dict[str, int]:
     """docs (doc_id, text) -> counts. A document without chunks is marked failed and tried again. A repeated document counts once, by its greatest content hash."""
     hashed = docs.withColumn("sha256", F.sha2("text", 256)).groupBy("doc_id").agg(F.max_by("text", "sha256").alias("text"), F.max("sha256").alias("sha256"))
+    hashed = written(hashed, "ingest-docs")
     known = into.table("registry") if into.exists() else None
-    new = clean.pending(hashed, known, signature) if known is not None else hashed
+    new = written(clean.pending(hashed, known, signature), "ingest-new") if known is not None else hashed
     total, todo = hashed.count(), new.count()
     if not todo:
         return {"docs": total, "skipped": total, "indexed": 0}
-    chunks = chunker(new).join(new.select("doc_id", "sha256"), "doc_id")
+    chunks = written(chunker(new).join(new.select("doc_id", "sha256"), "doc_id"), "ingest-chunks")
     status = registry.outcomes(new, new, chunks).select("doc_id", "status")
     rows = new.select("doc_id", "sha256", F.lit(signature).alias("index_sig")).join(status, "doc_id")
     old = into.table("chunks") if into.exists() else None
     kept = None if old is None else without_other_versions(old.join(rows.select("doc_id"), "doc_id", "left_anti"), rows)
-    into.replace({"chunks": chunks if kept is None else kept.unionByName(chunks), "registry": upserted(known, rows, "doc_id")})
-    return {"docs": total, "skipped": total - todo, "indexed": todo}
+    seen = into.replace({"chunks": chunks if kept is None else kept.unionByName(chunks), "registry": upserted(known, rows, "doc_id")}, measures={"registry": {"failed": F.count_if(F.col("status") == "failed")}})
+    return {"docs": total, "skipped": total - todo, "indexed": todo, "chunks": seen["chunks"]["rows"], "failed": seen["registry"]["failed"]}
 
 
 def ingest_stream(spark: SparkSession, path: str, into: Collection, signature: str, checkpoint: str, schema: str = "doc_id long, text string") -> StreamingQuery:

@@ -432,8 +432,8 @@ def test_config():
 def test_collections(spark, tmp_path):
     c = collections.Collection(spark, str(tmp_path), "docs__1", {"dim": 8})
     rows = lambda *r: spark.createDataFrame(r, "doc_id long, sha256 string")
-    assert c.replace({"points": rows((1, "a"), (2, "b"))}, {"points": 2}) == 1
-    with pytest.raises(RuntimeError):
+    assert c.replace({"points": rows((1, "a"), (2, "b"))}, {"points": 2}, {"points": {"top": F.max("doc_id")}}) == {"points": {"rows": 2, "top": 2}} and c.version == 1
+    with pytest.raises(RuntimeError, match="wrote 1 rows, expected 5"):
         c.replace({"points": rows((1, "z"))}, {"points": 5})
     assert c.version == 1 and c.table("points").count() == 2
     with pytest.raises(collections.CollectionMismatch):
@@ -442,11 +442,47 @@ def test_collections(spark, tmp_path):
     assert collections.without_other_versions(rows((1, "a"), (1, "b"), (2, "c")), rows((1, "b"))).count() == 2
 
 
+def test_a_writer_that_dies_leaves_the_version_before(spark, tmp_path):
+    rows = lambda *r: spark.createDataFrame(r, "doc_id long, sha256 string")
+    c = collections.Collection(spark, str(tmp_path), "docs", {"dim": 8})
+    c.replace({"points": rows((1, "a"))})
+    real = collections.Collection._write
+    for dies in ("before", "half"):
+
+        def write(self, name, text, dies=dies):
+            if dies == "half":  # the file beside its place is there, the rename isn't done
+                (tmp_path / "docs" / f"{name}.new").write_text("{")
+            raise OSError("killed")
+
+        collections.Collection._write = write
+        with pytest.raises(OSError, match="killed"):
+            c.replace({"points": rows((2, "b"), (3, "c"))})
+        collections.Collection._write = real
+        again = collections.Collection(spark, str(tmp_path), "docs", {"dim": 8})
+        assert again.exists() and again.version == 1 and [r["doc_id"] for r in again.table("points").collect()] == [1]
+    c.replace({"points": rows((2, "b"))})
+    assert c.version == 2 and c.table("points").count() == 1
+
+
+def test_one_bad_rating_leaves_the_table(spark, tmp_path):
+    logs = spark.createDataFrame([("q1",), ("q1",), ("q2",)], "query_id string")
+    rows = lambda *r: spark.createDataFrame(r, "feedback_id string, query_id string, rating int, tags array<string>")
+    c = collections.Collection(spark, str(tmp_path), "feedback", {})
+    feedback.append(c, rows(("a", "q1", 5, ["good"]), ("b", "q2", -1, None)), logs)
+    for bad, why in ((("c", "q1", 0, None), "rating 0"), (("c", "q1", None, None), "rating null"), (("c", "q1", 1, ["good", "nice"]), "unknown tags nice"), (("c", "q9", 1, None), "unknown query_id q9"), (("c", None, 1, []), "unknown query_id null")):
+        with pytest.raises(Exception, match=why):
+            feedback.append(c, rows(("d", "q2", 4, None), bad), logs)
+        assert c.version == 1 and c.table("feedback").count() == 2
+    assert feedback.append(c, rows(("a", "q1", 2, ["incomplete"]), ("d", "q2", 4, None)), logs) == {"feedback": {"rows": 3}}
+    assert {r["feedback_id"]: r["rating"] for r in c.table("feedback").collect()} == {"a": 2, "b": -1, "d": 4}
+
+
 def test_index_is_built_once_and_searched(spark, tmp_path):
     docs = spark.createDataFrame([(i, " ".join(rng.choice(["cat", "dog", "bird", "fish", "cow"]) for _ in range(30))) for i in range(40)], "doc_id long, text string")
     ask = spark.createDataFrame([(1, "cat cow"), (2, "fish")], "query_id int, text string")
     index = collections.Collection(spark, str(tmp_path), config.collection_name(config.BASE), {"index_sig": config.index_signature(config.BASE)})
-    assert retrieval.build_index(docs, index) == 1
+    seen = retrieval.build_index(docs, index)
+    assert index.version == 1 and seen["chunks"]["rows"] == seen["vectors"]["rows"] == 40 and seen["postings"]["occurrences"] == 40 * 30
     flat = lambda df: sorted((r["query_id"], r["rank"], r["chunk_id"]) for r in df.collect())
     assert flat(retrieval.search_index(index, ask, 5)) == flat(retrieval.hybrid(retrieval.chunks_of(docs), ask, 5))
 
