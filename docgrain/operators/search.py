@@ -86,6 +86,16 @@ def named_documents(questions: DataFrame, catalog: DataFrame, stop: tuple[str, .
 # Dense
 
 
+def best_of(ids: np.ndarray, keys: np.ndarray, scores: np.ndarray, k: int) -> pd.DataFrame:
+    """scores (queries by keys, keys in order) -> query_id, chunk_id, score of each query's k best; ties go to the lesser key."""
+    if scores.shape[1] > 4 * k:  # no more than what reaches the k-th score is put in order
+        floor = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
+        reach = np.flatnonzero((scores >= floor).any(axis=0))
+        scores, keys = scores[:, reach], keys[reach]
+    best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+    return pd.DataFrame({"query_id": np.repeat(ids, best.shape[1]), "chunk_id": keys[best].ravel(), "score": np.take_along_axis(scores, best, axis=1).ravel()})
+
+
 def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, decimals: int = 6) -> DataFrame:
     """vectors (chunk_id, vector), queries (query_id, vector) -> ranked list by cosine; zero vectors score 0.
 
@@ -113,12 +123,7 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, decimals: i
                 keys = frame["chunk_id"].to_numpy()
                 order = np.argsort(keys, kind="stable")
                 s = np.round(unit @ np.divide(x, size, out=np.zeros_like(x), where=size > 0)[order].T, decimals) + 0.0
-                if s.shape[1] > 4 * k:  # no more than what reaches the k-th score is put in order
-                    floor = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
-                    reach = np.flatnonzero((s >= floor).any(axis=0))
-                    s, keys, order = s[:, reach], keys[order][reach], np.arange(len(reach))
-                best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame({"query_id": np.repeat(ids, best.shape[1]), "chunk_id": keys[order][best].ravel(), "score": np.take_along_axis(s, best, axis=1).ravel()})
+                yield best_of(ids, keys[order], s, k)
 
         after = [r for _, r in zip(range(QUERY_BATCH), rows)]
         if after and not rounds:
@@ -175,7 +180,7 @@ def term_counts(chunks: DataFrame, key: str = "chunk_id", text: str = "text", pa
 
 def corpus_statistics(chunks: DataFrame) -> DataFrame:
     """One row: n, avgdl; chunks without words count."""
-    return chunks.agg(F.count("*").alias("n"), F.avg(F.size(X.words("text")).cast("double")).alias("avgdl"))
+    return chunks.agg(F.count("*").alias("n"), F.avg(F.size(X.words(F.coalesce("text", F.lit("")))).cast("double")).alias("avgdl"))
 
 
 def postings_of(chunks: DataFrame, keys: tuple[str, ...] = ("chunk_id",)) -> DataFrame:
@@ -217,8 +222,100 @@ def bm25_scores(index: tuple[DataFrame, DataFrame, DataFrame], queries: DataFram
     return scores.where("score > 0")
 
 
-def bm25_top_k(chunks: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
-    return ranked(bm25_scores(bm25_index_for(chunks, queries), queries), k)
+def term_lists(chunks: DataFrame) -> DataFrame:
+    """chunk_id, dl, terms, tfs: a chunk's distinct words and how often each stands in it, counted in the row's batch."""
+    kind = chunks.schema["chunk_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1000):
+                some = batch.slice(a, 1000)
+                lists = some.column(1)
+                sizes = np.nan_to_num(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(float)).astype("i8")
+                coded = pc.list_flatten(lists).dictionary_encode()
+                many = max(1, len(coded.dictionary))
+                pair, times = np.unique(np.repeat(np.arange(len(sizes)), sizes) * many + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+                upto = pa.array(np.searchsorted(pair, np.arange(len(sizes) + 1) * many).astype("i4"))
+                terms = coded.dictionary.take(pa.array(pair % many))
+                yield pa.record_batch([some.column(0), pa.array(sizes), pa.ListArray.from_arrays(upto, terms), pa.ListArray.from_arrays(upto, pa.array(times.astype("i4")))], names=["chunk_id", "dl", "terms", "tfs"])
+
+    return chunks.select("chunk_id", X.words("text").alias("words")).mapInArrow(run, f"chunk_id {kind}, dl long, terms array<string>, tfs array<int>")
+
+
+#: Questions, and distinct words of theirs, that go to the tasks at once: a matrix of some 30 MB.
+ASKED_BLOCK, ASKED_WORDS, CELLS = 256, 16_384, 4_000_000
+
+
+def asked_blocks(rows: Iterator, most: int, words: int) -> Iterator[list]:
+    """(query_id, terms, weights) in blocks of at most so many rows and distinct words; a row with more words stands alone."""
+    block, seen = [], set()
+    for row in rows:
+        if block and (len(block) == most or len(seen.union(row["terms"])) > words):
+            yield block
+            block, seen = [], set()
+        block.append(row)
+        seen.update(row["terms"])
+    if block:
+        yield block
+
+
+def bm25_top_k(chunks: DataFrame, queries: DataFrame, k: int = 20, k1: float = 1.5, b: float = 0.75, decimals: int = 9) -> DataFrame:
+    """Ranked list of queries (query_id, text), each distinct word once; scores above 0.
+
+    Most chunks share some word with most questions, so words are not joined: a block of questions goes to the tasks as a matrix of
+    words by questions, and each task multiplies it with its chunks' saturated counts and keeps k rows a question. What is
+    shuffled are those rows. Chunks are tokenised once, whatever the number of blocks."""
+    kind, q_kind = chunks.schema["chunk_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    lists = written(term_lists(chunks), "bm25-chunks")
+    stats = lists.agg(F.count("*").alias("n"), F.avg(F.col("dl").cast("double")).alias("avgdl")).first()
+    asked = queries.select("query_id", F.explode(F.array_distinct(X.words("text"))).alias("term"))
+    counts = lists.select(F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log(1.0 + (F.lit(stats["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighted = asked.join(counts, "term").groupBy("query_id").agg(F.collect_list("term").alias("terms"), F.collect_list(idf).alias("weights"))
+    blocks = asked_blocks(weighted.orderBy("query_id").toLocalIterator(), ASKED_BLOCK, ASKED_WORDS)
+    block, rounds = next(blocks, None), []
+    while block:
+        column: dict[str, int] = {}
+        for row in block:
+            for term in row["terms"]:
+                column.setdefault(term, len(column))
+        weights = np.zeros((len(column), len(block)))
+        for j, row in enumerate(block):
+            weights[[column[t] for t in row["terms"]], j] = row["weights"]
+        ids = np.array([row["query_id"] for row in block])
+
+        def score(batches: Iterator[pa.RecordBatch], column=column, weights=weights, ids=ids, avgdl=stats["avgdl"]) -> Iterator[pa.RecordBatch]:
+            step = max(16, CELLS // max(1, len(column)))
+            for batch in batches:
+                for a in range(0, batch.num_rows, step):
+                    some = batch.slice(a, step)
+                    coded = pc.list_flatten(some.column(2)).dictionary_encode()
+                    to = np.array([column.get(t, -1) for t in coded.dictionary.to_pylist()], "i8")
+                    at = to[coded.indices.to_numpy(zero_copy_only=False)] if len(to) else np.empty(0, "i8")
+                    rows = np.repeat(np.arange(some.num_rows), pc.list_value_length(some.column(2)).to_numpy(zero_copy_only=False))
+                    tf, dl = pc.list_flatten(some.column(3)).to_numpy(zero_copy_only=False).astype(float), some.column(1).to_numpy(zero_copy_only=False)
+                    fine = at >= 0
+                    rows, at, tf = rows[fine], at[fine], tf[fine]
+                    matrix = np.zeros((some.num_rows, len(column)))
+                    matrix[rows, at] = tf * (k1 + 1.0) / (tf + k1 * (1.0 - b + b * np.maximum(dl, 1)[rows] / avgdl))
+                    keys = np.array(some.column(0).to_pylist())
+                    order = np.argsort(keys, kind="stable")
+                    found = best_of(ids, keys[order], np.round(weights.T @ matrix[order].T, decimals), k)
+                    found = found[found["score"] > 0]
+                    if len(found):
+                        yield pa.RecordBatch.from_pandas(found, preserve_index=False)
+
+        after = next(blocks, None)
+        part = ranked(lists.mapInArrow(score, f"query_id {q_kind}, chunk_id {kind}, score double"), k)
+        # A round's result is written before the next begins, so the driver holds one block of questions.
+        rounds.append(written(part, "bm25-round") if after or rounds else part)
+        block = after
+    if not rounds:
+        return chunks.sparkSession.createDataFrame([], f"query_id {q_kind}, chunk_id {kind}, score double, rank int")
+    found = rounds[0]
+    for more in rounds[1:]:
+        found = found.unionByName(more)
+    return found
 
 
 def hash_sparse(rows: DataFrame, key: str, text: str = "text", modulus: int = 10_000) -> DataFrame:
