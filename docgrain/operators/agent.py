@@ -11,7 +11,7 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docgrain.functions import text as X
@@ -68,6 +68,82 @@ def lexical_support(answers: DataFrame, contexts: DataFrame, threshold: float =
     return scored.withColumn("grounded", F.col("score") >= threshold)
 
 
+def claims_of(answers: DataFrame) -> DataFrame:
+    """answers (query_id, answer) -> query_id, claim_no, claim, words: the sentences, and the distinct words of three letters and more that
+    each has; sentences without any claim nothing."""
+    sentences = F.transform(F.regexp_extract_all("answer", F.lit(r"[^.!?]+[.!?]*"), 0), lambda c: F.regexp_replace(c, r"^\s+|\s+$", ""))
+    each = answers.select("query_id", F.posexplode(sentences).alias("claim_no", "claim"))
+    words = F.array_distinct(F.filter(F.split(X.normalize("claim"), " "), lambda w: F.length(w) > 2))
+    return each.withColumn("words", words).where(F.size("words") > 0)
+
+
+def supported_claims(answers: DataFrame, contexts: DataFrame, threshold: float = 0.8, decimals: int = 6) -> DataFrame:
+    """answers (query_id, answer), contexts (query_id, seq, text) -> query_id, claim_no, claim, score, seq, supported: the share of a
+    claim's words in the one context that has most of them (the first of such; null where none has any).
+
+    A claim meets a context only by a word of both; a question's claims and contexts are not paired."""
+    claims = claims_of(answers)
+    asked = claims.select("query_id", "claim_no", F.explode("words").alias("word"))
+    held = contexts.select("query_id", "seq", F.explode(F.array_distinct(F.split(X.normalize("text"), " "))).alias("word")).distinct()
+    hits = asked.join(held, ["query_id", "word"]).groupBy("query_id", "claim_no", "seq").agg(F.count("*").alias("n"))
+    best = hits.groupBy("query_id", "claim_no").agg(F.max(F.struct("n", (-F.col("seq")).alias("back"))).alias("b"))
+    both = claims.join(best, ["query_id", "claim_no"], "left")
+    score = F.round(F.coalesce(F.col("b.n"), F.lit(0)) / F.size("words"), decimals)
+    return both.select("query_id", "claim_no", "claim", score.alias("score"), (-F.col("b.back")).alias("seq"), (score >= threshold).alias("supported"))
+
+
+def claim_support(answers: DataFrame, contexts: DataFrame, threshold: float = 0.8, decimals: int = 6) -> DataFrame:
+    """query_id, score (the mean of its claims'), grounded (each claim is supported), unsupported (the claims that aren't, in order).
+    An answer without claims is not grounded, and says so."""
+    each = supported_claims(answers, contexts, threshold, decimals).groupBy("query_id").agg(
+        F.round(F.avg("score"), decimals).alias("score"),
+        F.transform(F.array_sort(F.collect_list(F.when(~F.col("supported"), F.struct("claim_no", "claim")))), lambda c: c["claim"]).alias("unsupported"),
+    )
+    both = answers.select("query_id").distinct().join(each, "query_id", "left")
+    unsupported = F.coalesce("unsupported", F.array(F.lit("empty")))
+    return both.select("query_id", F.coalesce("score", F.lit(0.0)).alias("score"), (F.size(unsupported) == 0).alias("grounded"), unsupported.alias("unsupported"))
+
+
+def best_entailment(scores: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """scores (query_id, seq, scores: a model's classes, or its one score) -> query_id, score, seq, grounded. Entailment is the second of several classes."""
+    value = F.when(F.size("scores") >= 2, F.col("scores")[1]).when(F.size("scores") == 1, F.col("scores")[0]).otherwise(0.0)
+    best = scores.select("query_id", "seq", value.alias("s")).groupBy("query_id").agg(F.max(F.struct("s", (-F.col("seq")).alias("back"))).alias("b"))
+    return best.select("query_id", F.col("b.s").alias("score"), (-F.col("b.back")).alias("seq"), (F.col("b.s") >= threshold).alias("grounded"))
+
+
+def calls_of(candidates: DataFrame, budget: int = 8000, limit: int = 800) -> DataFrame:
+    """candidates (query_id, chunk_id, rank, text) -> query_id, call, items (chunk_id, text clipped to `limit`) in order of rank, no call
+    longer than `budget` characters."""
+    if budget <= limit:
+        raise ValueError("a call has to hold more than one clipped text")
+    own = candidates.select("query_id", "chunk_id", "rank", X.clip(F.coalesce("text", F.lit("")), limit).alias("text"))
+    upto = F.sum(F.length("text")).over(Window.partitionBy("query_id").orderBy("rank", "chunk_id"))
+    # Texts that begin within one stretch of budget - limit characters; the last of them adds `limit` at most.
+    call = F.floor((upto - F.length("text")) / (budget - limit)).cast("int")
+    rows = own.withColumn("call", call).groupBy("query_id", "call").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "text"))).alias("items"))
+    return rows.withColumn("items", F.transform("items", lambda i: F.struct(i["chunk_id"].alias("chunk_id"), i["text"].alias("text"))))
+
+
+def graded_in_calls(candidates: DataFrame, grade: Callable[[DataFrame], DataFrame], budget: int = 8000, limit: int = 800, attempts: int = 3, keep: Callable[[DataFrame, str], DataFrame] = written) -> DataFrame:
+    """candidates (query_id, chunk_id, rank, text, ...) with `relevant`.
+
+    grade: calls -> query_id, call, grades (array of chunk_id, relevant), null where the call failed. Failed calls alone are made again;
+    what no call grades is not relevant."""
+    left = keep(calls_of(candidates, budget, limit), "calls-0")
+    done = None
+    for attempt in range(1, attempts + 1):
+        made = keep(grade(left), f"graded-{attempt}")
+        fine = made.where("grades IS NOT NULL").select("query_id", F.explode("grades").alias("g")).select("query_id", "g.chunk_id", "g.relevant")
+        done = fine if done is None else done.unionByName(fine)
+        again = left.join(made.where("grades IS NOT NULL").select("query_id", "call"), ["query_id", "call"], "left_anti")
+        if attempt == attempts or again.isEmpty():
+            break
+        left = keep(again, f"calls-{attempt}")
+    # A grade that is given twice, or for another question's chunk, adds no row.
+    once = done.groupBy("query_id", "chunk_id").agg(F.max("relevant").alias("relevant"))
+    return back_filled(candidates, once)
+
+
 def citation_errors(citations: DataFrame, retrieved: DataFrame, fuzzy: Callable | None = None) -> DataFrame:
     """citations (query_id, chunk_id, doc_id, quote), retrieved (query_id, chunk_id, doc_id, text) -> the
     citations with error: unknown chunk, other document, quote not in it; null where it is valid."""

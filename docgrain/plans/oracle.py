@@ -148,7 +148,23 @@ tfs AS (SELECT chunk_id, idx, count(*) AS tf FROM toks JOIN stems USING (term) G
 enc AS (SELECT chunk_id, idx, round(tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * dl / 256.0e0)), 9) AS weight FROM tfs JOIN (SELECT chunk_id, sum(tf) AS dl FROM tfs GROUP BY chunk_id) USING (chunk_id))"""
 )
 
+CLAIMS = f"""{TURNS}, z AS (SELECT *, max(page_no) OVER (PARTITION BY doc_id) AS last FROM t),
+s AS (SELECT doc_id AS query_id, unnest(list_transform(regexp_extract_all(text, '[^.!?]+[.!?]*'), lambda c: regexp_replace(c, '^\\s+|\\s+$', '', 'g'))) AS claim, generate_subscripts(regexp_extract_all(text, '[^.!?]+[.!?]*'), 1) - 1 AS claim_no FROM z WHERE page_no = last),
+w AS (SELECT *, list_distinct(list_filter(string_split({normal("claim")}, ' '), lambda w: length(w) > 2)) AS words FROM s),
+c AS (SELECT * FROM w WHERE len(words) > 0),
+h AS (SELECT DISTINCT doc_id AS query_id, page_no AS seq, unnest(string_split({normal("text")}, ' ')) AS word FROM z WHERE page_no < last),
+n AS (SELECT query_id, claim_no, seq, count(*) AS n FROM (SELECT query_id, claim_no, unnest(words) AS word FROM c) JOIN h USING (query_id, word) GROUP BY ALL),
+b AS (SELECT query_id, claim_no, max(n) AS n, arg_max(seq, (n, -seq)) AS seq FROM n GROUP BY ALL),
+k AS (SELECT query_id, claim_no, claim, round(coalesce(n, 0) / len(words), 6) AS score, seq, round(coalesce(n, 0) / len(words), 6) >= 0.3 AS supported FROM c LEFT JOIN b USING (query_id, claim_no))"""
+
 ORACLE: dict[str, str] = {
+    "G7_supported_claims": f"WITH {CLAIMS} SELECT query_id, CAST(claim_no AS INT) AS claim_no, md5(claim) AS claim_md5, score, seq, supported FROM k",
+    "G7_claim_support": f"""WITH {CLAIMS},
+q AS (SELECT query_id, round(avg(score), 6) AS score, count(*) FILTER (NOT supported) = 0 AS grounded, coalesce(string_agg(claim, '|' ORDER BY claim_no) FILTER (NOT supported), '') AS u FROM k GROUP BY query_id)
+SELECT DISTINCT z.doc_id AS query_id, coalesce(score, 0) AS score, coalesce(grounded, false) AS grounded, md5(coalesce(u, 'empty')) AS unsupported_md5 FROM z LEFT JOIN q ON q.query_id = z.doc_id WHERE page_no = last""",
+    "G6_calls": """WITH c AS (SELECT conv_id AS query_id, turn, least(length(text), 400) AS n FROM conversations),
+u AS (SELECT *, sum(n) OVER (PARTITION BY query_id ORDER BY turn) - n AS before FROM c)
+SELECT query_id, CAST(before // 1600 AS INT) AS call, count(*) AS n, CAST(sum(n) AS BIGINT) AS n_chars FROM u GROUP BY ALL""",
     "K6_refused_writes": """WITH r AS (SELECT event_id AS feedback_id, user_id AS query_id, event_id % 8 - 1 AS rating, event_id % 11 = 0 AS odd, event_type FROM events),
 q AS (SELECT DISTINCT conv_id FROM conversations),
 w AS (SELECT feedback_id, query_id, CASE WHEN rating NOT IN (-1, 1, 2, 3, 4, 5) THEN 'rating ' || rating WHEN odd THEN 'unknown tags ' || event_type WHEN conv_id IS NULL THEN 'unknown query_id ' || query_id END AS reason

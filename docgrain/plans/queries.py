@@ -727,15 +727,35 @@ def G6_clipped(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(X.clip("text")).alias("text_md5"))
 
 
-@query
-def G7_lexical_support(spark, sf_dir):
+def last_turns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """A conversation's last turn is the answer, the turns before are its context."""
     t = turns(spark, sf_dir)
-    last = t.groupBy("doc_id").agg(F.max("page_no").alias("last"))
-    both = t.join(last, "doc_id")
+    both = t.join(t.groupBy("doc_id").agg(F.max("page_no").alias("last")), "doc_id")
     answers = both.where("page_no = last").select(F.col("doc_id").alias("query_id"), F.col("text").alias("answer"))
-    contexts = both.where("page_no < last").select(F.col("doc_id").alias("query_id"), F.col("page_no").alias("seq"), "text")
-    return agent.lexical_support(answers, contexts, 0.1)
+    return answers, both.where("page_no < last").select(F.col("doc_id").alias("query_id"), F.col("page_no").alias("seq"), "text")
+
+
+@query
+def G7_lexical_support(spark, sf_dir):
+    return agent.lexical_support(*last_turns(spark, sf_dir), 0.1)
+
+
+@query
+def G7_supported_claims(spark, sf_dir):
+    return agent.supported_claims(*last_turns(spark, sf_dir), 0.3).select("query_id", i32("claim_no"), F.md5("claim").alias("claim_md5"), "score", i64("seq"), "supported")
+
+
+@query
+def G7_claim_support(spark, sf_dir):
+    found = agent.claim_support(*last_turns(spark, sf_dir), 0.3)
+    return found.select("query_id", "score", "grounded", F.md5(F.array_join("unsupported", "|")).alias("unsupported_md5"))
+
+
+@query
+def G6_calls(spark, sf_dir):
+    """A question's candidates are the conversation's turns."""
+    calls = agent.calls_of(turns(spark, sf_dir).select(F.col("doc_id").alias("query_id"), F.col("page_no").alias("chunk_id"), F.col("page_no").alias("rank"), "text"), 2000, 400)
+    return calls.select("query_id", i32("call"), F.size("items").cast("long").alias("n"), F.aggregate("items", F.lit(0).cast("long"), lambda s, i: s + F.length(i["text"])).alias("n_chars"))
 
 
 def cited(spark: SparkSession, sf_dir: str, quote: Column, fuzzy: Callable | None = None) -> DataFrame:

@@ -376,6 +376,40 @@ def test_edges_and_texts(spark):
     assert one(spark, ["a p.1", "b p.2", "c p.3", "d p.4"], lambda c: agent.abstain_text(F.lit(None), c), "array<string>").endswith("Closest passages: a p.1; b p.2; c p.3.")
 
 
+def test_claims_and_their_evidence(spark):
+    answers = spark.createDataFrame([("q", "The laws of Delaware govern. Payment is due monthly! So?"), ("none", " ... "), ("bare", "Nobody said this.")], "query_id string, answer string")
+    contexts = spark.createDataFrame([("q", 1, "delaware laws"), ("q", 2, "The LAWS of delaware shall govern this"), ("q", 3, None), ("other", 1, "payment is due monthly")], "query_id string, seq long, text string")
+    each = sorted(map(tuple, agent.supported_claims(answers, contexts).collect()))
+    assert each == [("bare", 0, "Nobody said this.", 0.0, None, False), ("q", 0, "The laws of Delaware govern.", 1.0, 2, True), ("q", 1, "Payment is due monthly!", 0.0, None, False)]
+    got = {r["query_id"]: (r["score"], r["grounded"], r["unsupported"]) for r in agent.claim_support(answers, contexts).collect()}
+    assert got == {"q": (0.5, False, ["Payment is due monthly!"]), "none": (0.0, False, ["empty"]), "bare": (0.0, False, ["Nobody said this."])}
+    scores = spark.createDataFrame([("q", 1, [0.1, 0.9, 0.0]), ("q", 2, [0.95]), ("r", 1, [0.99, 0.2]), ("r", 2, [])], "query_id string, seq long, scores array<double>")
+    assert sorted(map(tuple, agent.best_entailment(scores).collect())) == [("q", 0.95, 2, True), ("r", 0.2, 1, False)]
+
+
+def test_grades_in_calls(spark):
+    """A grader that leaves chunks out, answers for strangers, and fails on some calls at first and on one for good."""
+    rows = [(q, f"{q}{i}", i, "x" * (300 if i % 3 else 2000)) for q in "abc" for i in range(1, 12)]
+    candidates = spark.createDataFrame(rows, "query_id string, chunk_id string, rank int, text string")
+    calls = agent.calls_of(candidates, 2000, 800).collect()
+    assert all(sum(len(i["text"]) for i in c["items"]) <= 2000 for c in calls)
+    assert {q: [i["chunk_id"] for c in sorted((c for c in calls if c["query_id"] == q), key=lambda c: c["call"]) for i in c["items"]] for q in "abc"} == {q: [f"{q}{i}" for i in range(1, 12)] for q in "abc"}
+    seen = []
+
+    def grade(left):
+        seen.append(sorted((r["query_id"], r["call"]) for r in left.collect()))
+        fails = (F.col("query_id") == "a") & (F.col("call") == 1) if len(seen) == 1 else F.lit(False)
+        fails = fails | (F.col("query_id") == "b") & (F.col("call") == 0)
+        kept = F.filter("items", lambda i: ~i["chunk_id"].endswith("5"))
+        grades = F.transform(kept, lambda i: F.struct(i["chunk_id"].alias("chunk_id"), (F.length(i["text"]) < 800).alias("relevant")))
+        return left.select("query_id", "call", F.when(~fails, F.concat(grades, F.array(F.struct(F.lit("zz").alias("chunk_id"), F.lit(True).alias("relevant"))))).alias("grades"))
+
+    got = {r["chunk_id"]: r["relevant"] for r in agent.graded_in_calls(candidates, grade, 2000, 800).collect()}
+    lost = {i["chunk_id"] for c in calls if (c["query_id"], c["call"]) == ("b", 0) for i in c["items"]}
+    assert got == {c: i % 3 > 0 and i != 5 and c not in lost for _, c, i, _ in rows}
+    assert seen[1:] == [[("a", 1), ("b", 0)], [("b", 0)]]
+
+
 def test_citations(spark):
     c = spark.createDataFrame([("q", "1", "d", "Laws of Delaware"), ("q", "1", "e", "laws"), ("q", "9", "d", "x"), ("q", "1", None, " "), ("q", "1", "d", "laws of delawere")], "query_id string, chunk_id string, doc_id string, quote string")
     r = spark.createDataFrame([("q", "1", "d", "the laws of\ndelaware apply")], "query_id string, chunk_id string, doc_id string, text string")
