@@ -18,8 +18,11 @@ class UnknownStrategy(KeyError):
 
 
 # What stays out of a configuration's hash.
-PATH_KEYS = frozenset("manifest pdf_root txt_root path url db_url tracking_uri jsonl_dir qa_dev qa_test finalists_file results_root api_url endpoint source_path".split())
-SECRET_KEYS, SECRET_ENDS = frozenset("password secret token api_key api_key_env".split()), ("_key", "_secret", "_password")
+PATH_KEYS = (
+    "manifest", "pdf_root", "txt_root", "path", "url", "db_url", "tracking_uri", "jsonl_dir", "qa_dev", "qa_test", "finalists_file", "results_root", "api_url", "endpoint", "source_path",
+)
+SECRET_KEYS = ("password", "secret", "token", "api_key", "api_key_env")
+SECRET_ENDS = ("_key", "_secret", "_password")
 RUNTIME_KEYS = frozenset(("device", "batch_size"))
 
 #: The default profile.

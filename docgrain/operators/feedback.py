@@ -91,3 +91,17 @@ def export(feedback: DataFrame, logs: DataFrame, kinds: DataFrame) -> DataFrame:
     ordered = named.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "kind"))), lambda x: x["kind"]), ",").alias("agreement_types"))
     out = feedback.join(logs.drop("cited_doc_ids"), "query_id").join(ordered, "query_id", "left")
     return out.withColumns({"tags": F.array_join(F.coalesce(F.col("tags"), F.array().cast("array<string>")), ","), "agreement_types": F.coalesce("agreement_types", F.lit(""))})
+
+
+def flat_records(items: DataFrame, answers: DataFrame, logs: DataFrame) -> DataFrame:
+    """One row an item with its answer and its log, as runs write them: items (id, bucket, question, expected_abstain, expected_route), answers
+    (id, query_id, answer, route, abstained, citations, groundedness, rewrites), logs (query_id, retrieved_contexts, latency_ms, llm_calls,
+    token_usage, trace_path). Items without an answer have no record; an answer without a log keeps nulls in its place."""
+    both = items.join(answers, "id").join(logs, "query_id", "left")
+    first = ["id", "bucket", "question", "answer", "route", "abstained", "expected_abstain", "expected_route", "retrieved_contexts", "citations", "latency_ms", "llm_calls"]
+    return both.select(*first, "token_usage", "groundedness", "rewrites", "query_id", "trace_path")
+
+
+def highlight_boxes(page_no: Column, page_end: Column, boxes: Column) -> Column:
+    """A citation's boxes have no page of their own: they hold where it begins and ends on one page."""
+    return F.when(F.coalesce(page_end, page_no) == page_no, F.coalesce(boxes, F.array().cast("array<struct<x0:double,y0:double,x1:double,y1:double>>"))).otherwise(F.array().cast("array<struct<x0:double,y0:double,x1:double,y1:double>>"))

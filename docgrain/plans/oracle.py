@@ -158,6 +158,10 @@ b AS (SELECT query_id, claim_no, max(n) AS n, arg_max(seq, (n, -seq)) AS seq FRO
 k AS (SELECT query_id, claim_no, claim, round(coalesce(n, 0) / len(words), 6) AS score, seq, round(coalesce(n, 0) / len(words), 6) >= 0.3 AS supported FROM c LEFT JOIN b USING (query_id, claim_no))"""
 
 ORACLE: dict[str, str] = {
+    "X2_flat_records": f"""WITH {TURNS}, z AS (SELECT *, max(page_no) OVER (PARTITION BY doc_id) AS last FROM t),
+l AS (SELECT doc_id, count(*) AS n, md5(string_agg(text, '|' ORDER BY page_no)) AS contexts_md5 FROM z WHERE page_no < last GROUP BY doc_id)
+SELECT d.doc_id AS id, d.source AS question, md5(z.text) AS answer_md5, toxic = 1 AS expected_abstain, lang AS expected_route, contexts_md5, n * 10 AS latency_ms, n AS llm_calls
+FROM documents d JOIN labels USING (doc_id) JOIN z ON z.doc_id = d.doc_id AND page_no = last LEFT JOIN l ON l.doc_id = d.doc_id""",
     "G7_supported_claims": f"WITH {CLAIMS} SELECT query_id, CAST(claim_no AS INT) AS claim_no, md5(claim) AS claim_md5, score, seq, supported FROM k",
     "G7_claim_support": f"""WITH {CLAIMS},
 q AS (SELECT query_id, round(avg(score), 6) AS score, count(*) FILTER (NOT supported) = 0 AS grounded, coalesce(string_agg(claim, '|' ORDER BY claim_no) FILTER (NOT supported), '') AS u FROM k GROUP BY query_id)

@@ -649,6 +649,18 @@ def X1_inventory(spark, sf_dir):
     return found.select("doc_id", "bucket", "category", F.size("spans").cast("long").alias("n_spans"), "answer")
 
 
+@query
+def X2_flat_records(spark, sf_dir):
+    """Labelled documents as items; a conversation's last turn answers the item of its number, its other turns are what was retrieved."""
+    items = labelled(spark, sf_dir).select(F.col("doc_id").alias("id"), F.lit("slot").alias("bucket"), F.col("source").alias("question"), (F.col("toxic") == 1).alias("expected_abstain"), F.col("lang").alias("expected_route"))
+    answers, before = last_turns(spark, sf_dir)
+    answers = answers.select(F.col("query_id").alias("id"), "query_id", "answer", F.lit("corpus_technical").alias("route"), F.lit(False).alias("abstained"), F.lit(None).cast("array<string>").alias("citations"), F.lit(None).cast("double").alias("groundedness"), F.lit(0).alias("rewrites"))
+    contexts = F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda c: c["text"])
+    logs_ = before.groupBy("query_id").agg(contexts.alias("retrieved_contexts"), F.count("*").alias("llm_calls")).withColumns({"latency_ms": F.col("llm_calls") * 10, "token_usage": F.create_map(F.lit("calls"), F.col("llm_calls")), "trace_path": F.lit(None).cast("string")})
+    found = feedback.flat_records(items, answers, logs_)
+    return found.select("id", "question", F.md5("answer").alias("answer_md5"), "expected_abstain", "expected_route", F.md5(F.array_join("retrieved_contexts", "|")).alias("contexts_md5"), "latency_ms", "llm_calls")
+
+
 @query
 def X3_missing_inputs(spark, sf_dir):
     rows = logs(spark, sf_dir)
