@@ -180,6 +180,16 @@ def evidence(contexts: DataFrame) -> DataFrame:
     return contexts.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", block.alias("b")))), lambda x: x["b"]), "\n").alias("blocks"))
 
 
+def reranked(questions: DataFrame, candidates: DataFrame, decimals: int = 6) -> DataFrame:
+    """candidates (query_id, chunk_id, text, score, rank, ...), all of them, by the share of the question's distinct words that a text has;
+    the slot of a cross encoder. Equal ones keep their order."""
+    asked = questions.select("query_id", F.array_distinct(X.words("text")).alias("_q"))
+    both = candidates.join(asked, "query_id")
+    share = F.round(F.coalesce(F.try_divide(F.size(F.array_intersect("_q", X.words(F.coalesce("text", F.lit(""))))), F.size("_q")), F.lit(0.0)), decimals)
+    order = Window.partitionBy("query_id").orderBy(F.desc("_s"), "seq", "chunk_id")
+    return both.withColumn("_s", share).withColumn("rank", F.row_number().over(order)).withColumn("score", F.col("_s")).select(candidates.columns)
+
+
 # The loop
 
 
@@ -195,6 +205,10 @@ class Slots:
     generate: Callable[[DataFrame], DataFrame]
     general: Callable[[DataFrame], DataFrame]
     clarify: Callable[[DataFrame], DataFrame]
+    #: (questions: query_id, text; candidates) -> candidates in a new order: score and rank are the reranker's.
+    rerank: Callable[[DataFrame, DataFrame], DataFrame] | None = None
+    #: (questions: query_id, text; candidates) -> candidates with relevant; by score where there is none.
+    grade: Callable[[DataFrame, DataFrame], DataFrame] | None = None
     keep: Callable[[DataFrame, str], DataFrame] = written
 
 
@@ -226,7 +240,11 @@ def answer(questions: DataFrame, slots: Slots, min_relevant: int = 2, max_rewrit
         if seen is not None:  # a rewrite doesn't drop what an earlier round found
             earlier = seen.join(open_.select("query_id"), "query_id", "left_semi").drop("relevant").withColumn("seq", F.col("seq") + 1_000_000)
             found = first_seen(found.unionByName(earlier))
-        seen = slots.keep(graded(found, grade_at), f"graded-{step}")
+        first = open_.select("query_id", F.col("question").alias("text"))  # as it was asked, whatever was searched
+        if slots.rerank:
+            found = slots.keep(slots.rerank(first, found).withColumn("seq", F.col("rank").cast("long")), f"reranked-{step}")
+        judged = slots.grade(first, found) if slots.grade else graded(found, grade_at)
+        seen = slots.keep(judged.withColumn("relevant", F.coalesce("relevant", F.lit(False))), f"graded-{step}")
         counts = seen.groupBy("query_id").agg(F.count_if("relevant").alias("n"))
         state = open_.join(counts, "query_id", "left").withColumn("next", after_grade(F.coalesce("n", F.lit(0)), F.col("rewrites"), min_relevant, max_rewrites))
         state = slots.keep(state, f"state-{step}")

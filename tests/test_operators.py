@@ -442,6 +442,32 @@ def test_answer_loop(spark):
     assert got["bad"]["abstained"] and got["bad"]["groundedness"] == 0.0
 
 
+def test_the_loop_reranks_and_grades(spark):
+    """The reranker sees the question as asked, in each round; the grader takes what it left on top."""
+    store = spark.createDataFrame([("c1", "d1", 1, "nothing of it"), ("c2", "d2", 2, "delaware law governs"), ("c3", "d3", 3, "law of texas")], "chunk_id string, doc_id string, page int, text string")
+    rounds = []
+
+    def rerank(questions, found):
+        rounds.append({r["query_id"]: r["text"] for r in questions.collect()})
+        return agent.reranked(questions, found)
+
+    slots = agent.Slots(
+        classify=lambda q: q.select("query_id", F.lit("corpus_technical").alias("route")),
+        retrieve=lambda q: q.select("query_id").crossJoin(store).withColumn("score", F.lit(0.9)).withColumn("rank", F.col("page")).select("query_id", "chunk_id", "doc_id", "page", "text", "score", "rank"),
+        rewrite=lambda q: q.select("query_id", F.lit("something else").alias("text")),
+        generate=lambda q: q.select("query_id", F.regexp_extract("blocks", r'id="(\w+)"', 1).alias("answer")),
+        general=lambda q: q.select("query_id", F.lit("").alias("answer")),
+        clarify=lambda q: q.select("query_id", F.lit("").alias("answer")),
+        rerank=rerank,
+        grade=lambda q, c: c.withColumn("relevant", (F.col("rank") <= 1) & (F.col("score") > 0.9)),
+    )
+    asked = spark.createDataFrame([("ok", "delaware law governs"), ("no", "rent of offices")], "query_id string, text string")
+    got = {r["query_id"]: r for r in agent.answer(asked, slots, min_relevant=1, support=0.0).collect()}
+    assert got["ok"]["answer"] == "c2" and got["ok"]["rewrites"] == 0
+    assert got["no"]["abstained"] and "d1 p.1; d3 p.3; d2 p.2" in got["no"]["answer"]
+    assert rounds == [{"ok": "delaware law governs", "no": "rent of offices"}, {"no": "rent of offices"}, {"no": "rent of offices"}]
+
+
 # Configuration, collections, streams
 
 
