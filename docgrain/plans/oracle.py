@@ -158,6 +158,12 @@ b AS (SELECT query_id, claim_no, max(n) AS n, arg_max(seq, (n, -seq)) AS seq FRO
 k AS (SELECT query_id, claim_no, claim, round(coalesce(n, 0) / len(words), 6) AS score, seq, round(coalesce(n, 0) / len(words), 6) >= 0.3 AS supported FROM c LEFT JOIN b USING (query_id, claim_no))"""
 
 ORACLE: dict[str, str] = {
+    "K11_generation_table": f"""WITH {LABELLED},
+g AS (SELECT source, lang, concat_ws('/', source, lang) AS path, CAST(count(*) AS INT) AS n, round(avg(quality), 6) AS q, round(avg(toxic), 6) AS t, round(avg(n_chars), 0) AS c FROM d GROUP BY source, lang),
+r AS (SELECT path, source, lang, n, substring(md5(path), 1, 8) AS git_sha, t AS faithfulness_ragas, q AS groundedness, CASE WHEN n % 2 = 1 THEN ' / ' || format('{{:.3f}}', round(t, 3)) ELSE '' END AS abstain,
+  format('{{:.1f}}s', round(c / 1000.0, 1)) AS latency_p50, CASE WHEN n % 2 = 1 THEN q END AS faithfulness_deepeval FROM g)
+SELECT path, n, git_sha, faithfulness_ragas, groundedness, abstain, latency_p50, faithfulness_deepeval,
+  '| ' || concat_ws(' | ', coalesce(source, ''), coalesce(lang, ''), n, abstain, latency_p50, git_sha, format('{{:.3f}}', round(faithfulness_ragas, 3)), format('{{:.3f}}', round(groundedness, 3)), '', coalesce(format('{{:.3f}}', round(faithfulness_deepeval, 3)), '')) || ' |' AS line FROM r""",
     "X2_flat_records": f"""WITH {TURNS}, z AS (SELECT *, max(page_no) OVER (PARTITION BY doc_id) AS last FROM t),
 l AS (SELECT doc_id, count(*) AS n, md5(string_agg(text, '|' ORDER BY page_no)) AS contexts_md5 FROM z WHERE page_no < last GROUP BY doc_id)
 SELECT d.doc_id AS id, d.source AS question, md5(z.text) AS answer_md5, toxic = 1 AS expected_abstain, lang AS expected_route, contexts_md5, n * 10 AS latency_ms, n AS llm_calls

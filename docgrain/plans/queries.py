@@ -107,6 +107,19 @@ def K11_results_table(spark, sf_dir):
     return run_tables.retrieval_table(runs.select(F.concat_ws("/", "source", "lang").alias("path"), payload.alias("json"))).select("path", "profile", "split", "n", "config_hash", "git_sha", "mrr", "`hit@5`", "`r@5`")
 
 
+@query
+def K11_generation_table(spark, sf_dir):
+    """A run a source and language; only some have a second judge, or say how often they abstained."""
+    d = labelled(spark, sf_dir).groupBy("source", "lang").agg(F.count("*").alias("n"), F.avg("quality").alias("q"), F.avg("toxic").alias("t"), F.avg("n_chars").alias("c"))
+    path, odd = F.concat_ws("/", "source", "lang"), F.col("n") % 2 == 1
+    custom = F.create_map(F.lit("n"), F.col("n").cast("double"), F.lit("mean_groundedness"), F.round("q", 6), F.lit("abstention_recall"), F.when(odd, F.round("t", 6)), F.lit("latency_p50_ms"), F.round("c", 0))
+    payload = F.to_json(F.struct(F.col("source").alias("profile"), F.col("lang").alias("split"), F.lit(0).alias("n"), F.md5(path).alias("git_sha"), custom.alias("custom"), F.create_map(F.lit("faithfulness"), F.round("t", 6)).alias("ragas")))
+    second = d.where(odd).select(path.alias("path"), F.to_json(F.struct(F.create_map(F.lit("faithfulness"), F.round("q", 6)).alias("overall"))).alias("json"))
+    found = run_tables.generation_table(d.select(path.alias("path"), payload.alias("json")), second)
+    lines = run_tables.table_lines(found, ["profile", "split", "n", "abstain", "latency_p50", "git_sha"], ["faithfulness_ragas", "groundedness", "route_accuracy", "faithfulness_deepeval"])
+    return found.join(lines, "path").select("path", "n", "git_sha", "faithfulness_ragas", "groundedness", "abstain", "latency_p50", "faithfulness_deepeval", "line")
+
+
 @query
 def M8_standing_run(spark, sf_dir):
     """Documents as runs of their source and language; asked for are the labelled texts, bad ones by a configuration that never ran."""
