@@ -108,7 +108,7 @@ def sharing(needles: DataFrame, hays: DataFrame, block: str, needle_keys: list[s
     """needle_keys, hay_keys of the pairs of a block that share as many of the needle's runs side by side as nearly holding it takes."""
     n = F.length("text")
     lengths = F.array(*[F.struct(F.lit(q).alias("q"), (F.floor(n / q) - broken(n, threshold)).alias("need")) for q in SIDE_BY_SIDE])
-    chosen = F.element_at(F.filter(lengths, lambda x: x["need"] > 0), 1)
+    chosen = F.try_element_at(F.filter(lengths, lambda x: x["need"] > 0), F.lit(1))
     sized = needles.select(block, *needle_keys, "text", chosen["q"].alias("q"), chosen["need"].alias("need"))
     hays = hays.join(sized.select(block).distinct(), block, "left_semi").select(block, *hay_keys, "text")
     found = None
