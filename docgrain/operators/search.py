@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from docgrain.functions import encode as E
 from docgrain.functions import stem as S
@@ -266,6 +267,7 @@ def bm25_top_k(chunks: DataFrame, queries: DataFrame, k: int = 20, k1: float = 1
     words by questions, and each task multiplies it with its chunks' saturated counts and keeps k rows a question. What is
     shuffled are those rows. Chunks are tokenised once, whatever the number of blocks."""
     kind, q_kind = chunks.schema["chunk_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    types = pa.schema([("query_id", to_arrow_type(queries.schema["query_id"].dataType)), ("chunk_id", to_arrow_type(chunks.schema["chunk_id"].dataType)), ("score", pa.float64())])
     lists = written(term_lists(chunks), "bm25-chunks")
     stats = lists.agg(F.count("*").alias("n"), F.avg(F.col("dl").cast("double")).alias("avgdl")).first()
     asked = queries.select("query_id", F.explode(F.array_distinct(X.words("text"))).alias("term"))
@@ -303,7 +305,7 @@ def bm25_top_k(chunks: DataFrame, queries: DataFrame, k: int = 20, k1: float = 1
                     found = best_of(ids, keys[order], np.round(weights.T @ matrix[order].T, decimals), k)
                     found = found[found["score"] > 0]
                     if len(found):
-                        yield pa.RecordBatch.from_pandas(found, preserve_index=False)
+                        yield pa.RecordBatch.from_pandas(found, schema=types, preserve_index=False)
 
         after = next(blocks, None)
         part = ranked(lists.mapInArrow(score, f"query_id {q_kind}, chunk_id {kind}, score double"), k)
