@@ -48,7 +48,12 @@ def kept_runs(text: str, length: int, window: int) -> np.ndarray:
     h = run_hashes(text, length)
     if len(h) < window:
         return h[:0]
-    return np.unique(np.lib.stride_tricks.sliding_window_view(h, window).min(axis=1))
+    size = 1
+    while size < window:  # least of `size` neighbours; two such stretches cover the next one
+        step = min(size, window - size)
+        h = np.minimum(h[:-step], h[step:])
+        size += step
+    return np.unique(h[np.concatenate([[True], h[1:] != h[:-1]])])
 
 
 def exploded(rows: DataFrame, keys: list[str], hashes: Callable[[str], np.ndarray]) -> DataFrame:
