@@ -7,6 +7,7 @@ import random
 import re
 import time
 import zlib
+from collections import Counter
 from fractions import Fraction
 
 import numpy as np
@@ -810,3 +811,67 @@ def test_groups_of_a_large_host(spark, monkeypatch):
     assert len(got) == 200
     assert all(got[i]["text"] == ("" if i % 4 else "the same menu here ") + f"own words of {i}" for i in got)
     assert all(got[i]["n_by_repeats"] == (4 if i % 4 else 0) for i in got)
+
+
+def shared_pages(seed, hosts, n):
+    """Pages with blocks and passages that about a tenth of their host has, some of them copies of others."""
+    own = random.Random(seed)
+    words = lambda k: " ".join(own.choice("abcdefghijklmnop") + str(own.randrange(30)) for _ in range(k))
+    rows = []
+    for host in range(hosts):
+        common = [(words(own.choice((3, 8, 45))), own.choice((0.06, 0.09, 0.1, 0.11, 0.12, 0.15, 0.9))) for _ in range(24)]
+        sources = []
+        for _ in range(n):
+            parts = [f"{words(2)} {t} {words(1)}" if len(t) > 100 else t for t, often in common if own.random() < often]
+            sources.append("".join(f"<div>{t}</div>" for t in [*parts, words(9)]) if sources and own.random() < 0.8 or not sources else own.choice(sources))
+        rows += [(len(rows) + i, f"http://h{host}.example/{i}", s) for i, s in enumerate(sources)]
+    rows += [rows[0], rows[0], (None, *rows[1][1:]), (7, "http://h0.example/null", None), (8, None, rows[2][2])]
+    own.shuffle(rows)
+    return rows
+
+
+def counted_repeats(pages):
+    """Stretches of the distinct pages of a whole host in one dictionary."""
+    distinct = {tuple(tuple(b) for b in p) for p in pages}
+    least = max(2, math.ceil(boilerplate.SHARE * len(distinct) - 1e-9))
+
+    def stretches(page):
+        s = [None, *(x for b in page for x in (*b, None))]
+        marks = [i for i, t in enumerate(s) if t is None]
+        return s, [(a, a + boilerplate.LONG) for a in range(len(s) - boilerplate.LONG + 1)] + [(a, b + 1) for a, b in itertools.pairwise(marks)]
+
+    holders = Counter()
+    for p in distinct:
+        s, parts = stretches(p)
+        holders.update({tuple(s[a:b]) for a, b in parts})
+    out = []
+    for p in pages:
+        s, parts = stretches(p)
+        gone = {i for a, b in parts if holders[tuple(s[a:b])] >= least for i in range(a, b)}
+        out.append([i in gone for i, t in enumerate(s) if t is not None])
+    return out
+
+
+@pytest.mark.parametrize(("pages", "size"), [(1, 10**12), (7, 10**12), (64, 10**12), (10**9, 900), (10**9, 10**12)])
+def test_hosts_of_any_number_of_groups_are_judged_as_one(spark, monkeypatch, pages, size):
+    rows = shared_pages(3, 2, 100)
+    want = []
+    for host in ("h0", "h1", ""):
+        held = [r for r in rows if (r[1] or "///").split("/")[2].removesuffix(".example") == host]
+        cut = [[(t.split(), s) for t, s in boilerplate.blocks(r[2] or "")] for r in held]
+        found = counted_repeats([[b for b, _ in c] for c in cut])
+        want += [(*r[:2], *boilerplate.decided(c, np.array(g, bool))) for r, c, g in zip(held, cut, found, strict=True)]
+    monkeypatch.setattr(boilerplate, "PAGES", pages)
+    monkeypatch.setattr(boilerplate, "BYTES", size)
+    got = boilerplate.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).drop("n_chars").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    assert sum(r["n_by_repeats"] for r in got) > 1000
+
+
+def test_a_host_of_257_pages_is_judged_as_one_of_256(spark):
+    # On 26 pages each, the least share of 257 (and of 256): a group of half the pages may have fewer than its tenth.
+    lines = [f"line {k} of the section that shares it" for k in range(9)]
+    rows = [(i, f"http://one.example/{i}", "".join(f"<div>{t}</div>" for k, t in enumerate(lines) if i // 26 == k) + f"<p>own words {i}</p>") for i in range(257)]
+    for n in (256, 257):
+        got = boilerplate.main_text(spark.createDataFrame(rows[:n], "page_id long, url string, html string")).collect()
+        assert all(r["n_by_repeats"] == (8 if r["page_id"] < 234 else 0) for r in got) and len(got) == n
