@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docgrain.functions import text as X
 from docgrain.operators import contain
+from docgrain.sources.scratch import written
 
 
 def relevant_documents(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -18,14 +19,13 @@ def relevant_chunks(found: DataFrame, chunks: DataFrame, items: DataFrame, thres
     """found (item_id, chunk_id, rank), chunks (chunk_id, doc_id, text), items (query_id, item_id, doc_id, span) -> query_id, chunk_id,
     rank, relevant, of the chunks of an item's document that were found for its passage.
 
-    A chunk is relevant if it holds every fragment of the span, each as it is or nearly; a span without fragments is held by none."""
-    own = found.join(chunks.select("chunk_id", "doc_id"), "chunk_id").join(items.select("query_id", "item_id", "doc_id"), ["item_id", "doc_id"])
-    texts = chunks.join(own.select("chunk_id").distinct(), "chunk_id", "left_semi").select("doc_id", "chunk_id", X.normalize("text").alias("text"))
-    parts = items.select("doc_id", "query_id", F.posexplode(F.array_distinct(X.fragments("span"))).alias("at", "text"))
-    held = contain.near_holders(texts, parts, "doc_id", ["chunk_id"], ["query_id", "at"], threshold).groupBy("query_id", "chunk_id").agg(F.count("*").alias("n_held"))
-    wanted = items.select("query_id", F.size(F.array_distinct(X.fragments("span"))).alias("n_parts"))
-    both = own.join(held, ["query_id", "chunk_id"], "left").join(wanted, "query_id")
-    return both.select("query_id", "chunk_id", "rank", F.coalesce((F.col("n_held") == F.col("n_parts")) & (F.col("n_parts") > 0), F.lit(False)).alias("relevant"))
+    A chunk is relevant if it holds every fragment of the span, each as it is or nearly; a span without fragments is held by none.
+    Only these pairs are compared, `found` rows at most, and the chunks are gone through once."""
+    chunks = written(chunks.select("chunk_id", "doc_id", "text").join(found.select("chunk_id").distinct(), "chunk_id", "left_semi"), "found-chunks")
+    own = found.join(chunks, "chunk_id").join(items.select("query_id", "item_id", "doc_id", "span"), ["item_id", "doc_id"])
+    parts = F.array_distinct(X.fragments("span"))
+    both = own.select("query_id", "chunk_id", "rank", parts.alias("parts"), X.normalize("text").alias("text")).repartition("query_id", "chunk_id")
+    return both.select("query_id", "chunk_id", "rank", X.fuzzy_holds_all(threshold)(F.col("parts"), F.col("text")).alias("relevant"))
 
 
 def question_metrics(results: DataFrame, items: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:

@@ -3,6 +3,7 @@
 import json
 import random
 
+from pyspark.sql import functions as F
 from test_operators import plain_partial_ratio
 
 from docgrain.functions import text as X
@@ -99,3 +100,22 @@ def test_run_tables(spark):
     wanted = spark.createDataFrame([("p", "dev", "h1"), ("p", "dev", "h9"), ("x", "dev", "h1")], "profile string, split string, config_hash string")
     got = {(r["profile"], r["config_hash"]): r["path"] for r in runs.standing_run(d, wanted).collect()}
     assert got == {("p", "h1"): "exact", ("p", "h9"): "newest", ("x", "h1"): None}
+
+
+def test_found_pairs_alone_are_compared(spark):
+    """The chunks are made once, and no chunk or item that wasn't found for the other is compared."""
+    rng, made = random.Random(4), spark.sparkContext.accumulator(0)
+    words = [f"word{i}" for i in range(300)]
+    texts = {f"{d}:{i}": " ".join(rng.choice(words) for _ in range(30)) for d in range(6) for i in range(3)}
+    seen = F.udf(lambda t: (made.add(1), t)[1])
+    chunks = spark.createDataFrame([(c, int(c[0]), t) for c, t in texts.items()], "chunk_id string, doc_id long, text string").withColumn("text", seen("text"))
+    worn = lambda t: " ".join(t.split()[3:12]).replace("word1", "wrd1")
+    items = [(f"{i}:{d}", i, d, span) for i in range(6) for d in range(6) for span in [f"{worn(texts[f'{i}:1'])} <omitted> {worn(texts[f'{i}:1'])}"]] + [("blank", 7, 0, " <omitted> ")]
+    found = [(i, f"{d}:{k}", 3 * d + k) for i in range(6) for d in (i, (i + 1) % 6) for k in range(2)] + [(7, "0:0", 1)]
+    f, i = spark.createDataFrame(found, "item_id long, chunk_id string, rank int"), spark.createDataFrame(items, "query_id string, item_id long, doc_id long, span string")
+    got = {(r["query_id"], r["chunk_id"]): (r["rank"], r["relevant"]) for r in evaluate.relevant_chunks(f, chunks, i, 90.0).collect()}
+    span = {q: s for q, _, _, s in items}
+    pairs = [(f"{i}:{c[0]}" if i < 7 else "blank", c, r) for i, c, r in found]
+    parts = lambda q: [p.strip() for p in span[q].split("<omitted>") if p.strip()]
+    assert got == {(q, c): (r, bool(parts(q)) and all(p in texts[c] or X.partial_ratio(p, texts[c]) >= 90 for p in parts(q))) for q, c, r in pairs}
+    assert made.value == len(texts) and sum(rel for _, rel in got.values()) == 6
