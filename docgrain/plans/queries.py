@@ -702,7 +702,9 @@ def N11_references(spark, sf_dir):
 @query
 def T3_ratio_gate(spark, sf_dir):
     """Toxic documents are the hold-out, good ones the pool; a text fits if its share of other characters than white space is usual."""
-    d = labelled(spark, sf_dir).select("doc_id", F.col("source").alias("kind"), F.col("lang").alias("group"), F.col("doc_id").alias("seq"), X.ratio_ok(X.norm_chars("text"), F.floor(F.col("n_chars") * 0.86)).alias("ratio_ok"), "quality", "toxic")
+    fits = X.ratio_ok(X.norm_chars("text"), F.floor(F.col("n_chars") * 0.86)).alias("ratio_ok")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("kind"), F.col("lang").alias("group"), F.col("doc_id").alias("seq"), fits)
+    d = written(docs.join(table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"), "doc_id"), "gate-ratios")  # texts are measured once, and stay where they are
     chosen, pool = d.where("toxic = 1").drop("quality", "toxic"), d.where("toxic = 0 AND quality = 1").drop("quality", "toxic")
     return sampling.ratio_gate(chosen, pool).select("doc_id", "final", "note")
 

@@ -13,6 +13,7 @@ from docgrain.functions import text as X
 from docgrain.operators import agent, chunk, clean, evaluate, feedback, fuse, registry, sampling, search
 from docgrain.plans import retrieval
 from docgrain.sources import collections, readers
+from docgrain.sources.scratch import written
 from docgrain.streaming import ingest
 
 rng = random.Random(1)
@@ -351,6 +352,35 @@ def test_ratio_gate_equals_taking_turns(spark, seed):
     assert {r["doc_id"]: r["final"] for r in got} == in_turns(chosen, pool)
 
 
+@pytest.mark.parametrize("n_pool", [200, 12])
+def test_ratio_gate_in_few_rounds(spark, monkeypatch, n_pool):
+    """Documents of one kind and several groups ask in one list, each at its own place; queues lie in several tasks."""
+    rng, rounds = random.Random(n_pool), []
+    keep = lambda df, name: (rounds.append(name), written(df, name))[1]
+    monkeypatch.setattr(sampling, "written", keep)
+    row = lambda i: (i, rng.choice("ab"), rng.choice(["core", "ip", "other"]), rng.randrange(10**6) * 1000 + i, False)
+    chosen, pool = [row(i) for i in range(30)], [(*row(1000 + i)[:4], True) for i in range(n_pool)]
+    got = sampling.ratio_gate(spark.createDataFrame(chosen, GATE), spark.createDataFrame(pool, GATE)).collect()
+    assert {r["doc_id"]: r["final"] for r in got} == in_turns(chosen, pool)
+    assert n_pool < 100 or len([name for name in rounds if re.match(r"gate-[0-9]", name)]) == 1
+
+
+def test_queues_lie_in_several_tasks(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice("ab"), i, rng.randrange(300)) for i in range(300)]
+    df = spark.createDataFrame(rows, "key string, seq long, pos long").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r["seq"]: (r["nth"], r["lead"]) for r in sampling.queued(df, ["key"], ["seq"], F.col("pos")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = {}
+    for key in "ab":
+        own = [r for r in rows if r[0] == key]
+        want |= {s: (i, max(p - j for j, (_, _, p) in enumerate(own[:i], 1))) for i, (_, s, _) in enumerate(own, 1)}
+    assert got == want
+
+
 def test_ratio_gate_notes(spark):
     chosen = spark.createDataFrame([(1, "k", "g", 1, True), (2, "k", "g", 2, False), (3, "k", "g", 3, False), (4, "k", "g", 4, False)], GATE)
     pool = spark.createDataFrame([(7, "x", "y", 1, True), (8, "k", "g", 2, False), (9, "k", "g", 3, True)], GATE)
