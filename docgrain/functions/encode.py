@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,6 +32,11 @@ def hash_term(token: Column, modulus: int = 10_000) -> Column:
     return first_word(F.sha2(token, 256)) % F.lit(modulus)
 
 
+def term_slot(token: str, modulus: int = 10_000) -> int:
+    """hash_term() of one token, for walks inside tasks."""
+    return int.from_bytes(hashlib.sha256(token.encode("utf-8", "surrogatepass")).digest()[:4], "big") % modulus
+
+
 def cosine(a: Column, b: Column) -> Column:
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     size = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))

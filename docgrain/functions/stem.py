@@ -6,6 +6,9 @@ what stands before it fulfils the condition. Meant for distinct words: each step
 
 from __future__ import annotations
 
+import functools
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -108,3 +111,59 @@ def porter(word: Column) -> Column:
     for step in STEPS:  # a lambda names a step's word, so that no step is written out twice
         out = F.transform(out, step)
     return F.when(F.length(word) > 2, out[0]).otherwise(word)
+
+
+# The same rules on one word, for walks inside tasks.
+
+_PATTERNS = {name: re.compile(pattern) for name, pattern in CONDITIONS.items() if pattern}
+_BY_LENGTH = [sorted(rules, key=lambda r: -len(r[0])) for rules in (PLURALS, PAST[:1], LAST_Y, DOUBLE_ENDINGS, ENDINGS, LAST_ENDINGS)]
+
+
+def _fulfils(kept: str, condition: str) -> bool:
+    return not condition or _PATTERNS[condition].search(kept) is not None
+
+
+def _applied(word: str, rules: list[Rule]) -> str:
+    for ending, replacement, condition in rules:
+        if word.endswith(ending):
+            if condition == "two, s or t":
+                made = kept = word[: len(word) - len(ending) + len(replacement)]
+            else:
+                kept = word[: len(word) - len(ending)]
+                made = kept + replacement
+            return made if _fulfils(kept, condition) else word
+    return word
+
+
+def _past(word: str) -> str:
+    kept = word[:-3] if word.endswith("ing") else word[:-2]
+    if word.endswith("eed") or not word.endswith(("ed", "ing")) or not _fulfils(kept, "vowel"):
+        return _applied(word, _BY_LENGTH[1])
+    if kept.endswith(("at", "bl", "iz")):
+        return kept + "e"
+    if len(kept) > 1 and kept[-1] == kept[-2] and kept[-1] not in "aeiouylsz":
+        return kept[:-1]
+    return kept + "e" if _fulfils(kept, "short") else kept
+
+
+def _last_e(word: str) -> str:
+    kept = word[:-1]
+    if word.endswith("e") and (_fulfils(kept, "two") or _fulfils(kept, "just one") and not _fulfils(kept, "short")):
+        word = kept
+    return word[:-1] if word.endswith("ll") and _fulfils(word[:-1], "two") else word
+
+
+@functools.lru_cache(1 << 17)
+def stem_of(word: str) -> str | None:
+    """porter() of one lower-case word; null for a stop word. A worker keeps the last words it met."""
+    if word in _STOP:
+        return None
+    if len(word) < 3:
+        return word
+    word = _past(_applied(word, _BY_LENGTH[0]))
+    for rules in _BY_LENGTH[2:]:
+        word = _applied(word, rules)
+    return _last_e(word)
+
+
+_STOP = frozenset(STOP_WORDS)

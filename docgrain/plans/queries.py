@@ -311,14 +311,13 @@ def E2_hash_sparse(spark, sf_dir):
 
 @query
 def E5_sparse_encodings(spark, sf_dir):
-    return search.bm25_sparse(R.chunks_of(table(spark, sf_dir, "documents")), "chunk_id")
+    return search.bm25_sparse(R.chunks_of(table(spark, sf_dir, "documents")))
 
 
 @query
 def E5_sparse_search(spark, sf_dir):
-    chunks = written(R.chunks_of(table(spark, sf_dir, "documents")).select("chunk_id", "text"), "sparse-chunks")
-    terms = written(search.bm25_sparse(chunks, "chunk_id"), "sparse-terms")
-    found = search.sparse_top_k(terms, search.bm25_sparse_query(R.questions(spark, sf_dir)), chunks.agg(F.count("*").alias("n")))
+    lists = written(search.stem_lists(R.chunks_of(table(spark, sf_dir, "documents"))), "sparse-chunks")
+    found = search.bm25_sparse_top_k(lists, search.bm25_sparse_query(R.questions(spark, sf_dir)))
     return found.select("query_id", "chunk_id", "score", i32("rank"))
 
 
@@ -386,7 +385,7 @@ def Q1_dense_top_k(spark, sf_dir):
 @query
 def Q2_sparse_top_k(spark, sf_dir):
     chunks, asked = R.chunks_of(table(spark, sf_dir, "documents")), R.questions(spark, sf_dir)
-    found = search.sparse_top_k(search.hash_sparse(chunks, "chunk_id"), search.hash_sparse(asked, "query_id"), chunks.agg(F.count("*").alias("n")))
+    found = search.sparse_top_k(written(search.hash_lists(chunks), "hash-chunks"), search.hash_sparse(asked, "query_id"))
     return found.select("query_id", "chunk_id", "score", i32("rank"))
 
 

@@ -1,6 +1,7 @@
 """The stemmer's rules against a plain walk over letters, on all words of the corpus."""
 
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -99,3 +100,14 @@ def test_stems_of_the_corpus(spark):
     rows = words.unionByName(made).select("word", stem.porter(F.col("word")).alias("got")).collect()
     assert len(rows) > 10_000
     assert [(r["word"], r["got"]) for r in rows if r["got"] != plain_stem(r["word"])] == []
+
+
+def test_one_word_at_a_time(spark):
+    """The walk inside tasks makes the stems of the columns' rules."""
+    rng = random.Random(6)
+    endings = sorted({r[0] for rules in (stem.PLURALS, stem.PAST, stem.LAST_Y, stem.DOUBLE_ENDINGS, stem.ENDINGS, stem.LAST_ENDINGS) for r in rules} | {"e", "ll", "y", "tt", "🙂", "ß"})
+    words = sorted({"".join(rng.choice("aeiouybcstlzwx") for _ in range(rng.randrange(0, 7))) + "".join(rng.choice(endings) for _ in range(rng.randrange(0, 3))) for _ in range(20_000)} - {""})
+    words += list(stem.STOP_WORDS)
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    got = {r["w"]: r["s"] for r in df.select("w", stem.porter(F.col("w")).alias("s")).collect()}
+    assert {w: stem.stem_of(w) for w in words} == {w: None if w in stem.STOP_WORDS else s for w, s in got.items()}
