@@ -826,10 +826,10 @@ def G1_answer_loop(spark, sf_dir):
     """All passages through the loop with rule-based slots."""
     docs = table(spark, sf_dir, "documents")
     chunks = R.chunks_of(docs)
-    index = tuple(written(t, "bm25") for t in search.bm25_index(chunks))
+    lists = written(search.term_lists(chunks), "bm25-chunks")
 
     def retrieve(asked: DataFrame) -> DataFrame:
-        found = search.ranked(search.bm25_scores(index, asked), 10)
+        found = written(search.bm25_top_k(chunks, asked, 10, lists=lists), "found")  # small, so that the texts of its chunks are met where they are
         score = F.round(F.col("score") / F.max("score").over(agent_window), 6)
         return found.withColumn("score", score).join(chunks.select("chunk_id", "doc_id", (F.col("chunk_idx") + 1).alias("page"), "text"), "chunk_id").select("query_id", "chunk_id", "doc_id", "page", "text", "score", "rank")
 
