@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docgrain.functions import text as X
 from docgrain.operators.search import ranked
+from docgrain.sources.scratch import written
 
 
 def chunk_key(chunk_id: Column, doc_id: Column, chunk_idx: Column) -> Column:
@@ -51,10 +52,11 @@ def cut(one: DataFrame, n: int) -> DataFrame:
 def lexical_rerank(one: DataFrame, queries: DataFrame, chunks: DataFrame, n: int) -> DataFrame:
     """Scores a pair by the share of the query's distinct words that the chunk has; the slot of a cross encoder.
 
-    Only the candidates' texts are read, joined by id."""
+    Only the candidates' texts are read, joined by id; their ids are written, so that Spark knows how few they are before it moves a text."""
+    one = written(one.select("query_id", "chunk_id"), "rerank")
     asked = queries.select("query_id", F.array_distinct(X.words("text")).alias("q"))
     texts = chunks.join(one.select("chunk_id").distinct(), "chunk_id", "left_semi").select("chunk_id", X.words("text").alias("c"))
-    both = one.select("query_id", "chunk_id").join(texts, "chunk_id").join(asked, "query_id")
+    both = one.join(texts, "chunk_id").join(asked, "query_id")
     score = F.when(F.size("q") == 0, 0.0).otherwise(F.round(F.size(F.array_intersect("q", "c")) / F.size("q"), 6))
     return ranked(both.select("query_id", "chunk_id", score.alias("score")), n)
 

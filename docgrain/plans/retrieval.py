@@ -73,8 +73,8 @@ def filtered_pipeline(chunks: DataFrame, questions: DataFrame, catalog: DataFram
     """From questions to reranked chunks: filters by the question's words, its texts, for each the `candidates` best of a hybrid search
     inside the filter, these lists fused, and the fusion reranked to k. Ranked list: query_id, chunk_id, score, rank.
 
-    Chunks (chunk_id, doc_id, text) are made once. Postings and vectors of documents that no filter lets through are left out
-    before scoring; questions without a filter search everything."""
+    Chunks (chunk_id, doc_id, text) are made and tokenised once. Postings and vectors of documents that no filter lets through are left out
+    before scoring; questions without a filter search everything, in blocks: no scores of theirs are shuffled but the best."""
     chunks, wide = written(chunks.select("chunk_id", "doc_id", "text"), "pipeline-chunks"), max(k, candidates)
     rules = question_filters(questions, catalog, asked)
     within = written(allowed_documents(rules, catalog), "pipeline-allowed")
@@ -84,12 +84,14 @@ def filtered_pipeline(chunks: DataFrame, questions: DataFrame, catalog: DataFram
     texts = written(texts.withColumn("vector", E.hash_dense(F.col("text"))), "pipeline-texts")
     free, bound = texts.where("bound IS NULL"), texts.where("bound")
     own = bound.select("query_id").join(within.withColumnRenamed("query_id", "_id"), F.col("query_id.query_id") == F.col("_id")).drop("_id")
-    index = search.bm25_index_for(chunks, texts, ("chunk_id", "doc_id"))
+    counted = written(search.term_lists(chunks), "pipeline-words")
     vectors = chunks.select("chunk_id", "doc_id", E.hash_dense(F.col("text")).alias("vector"))
-    sparse = search.bm25_scores(index, free).unionByName(search.bm25_scores(index, bound, within=own))
-    dense = search.dense_top_k(vectors, free.select(F.to_json("query_id").alias("query_id"), "vector"), wide)
-    dense = dense.withColumn("query_id", F.from_json("query_id", texts.schema["query_id"].dataType.simpleString())).unionByName(search.dense_within(vectors, bound, own, wide))
-    lists = search.ranked(sparse, wide).withColumn("list_id", F.lit("sparse")).unionByName(dense.withColumn("list_id", F.lit("dense")))
+    named = free.select(F.to_json("query_id").alias("query_id"), "text", "vector")
+    back = F.from_json("query_id", texts.schema["query_id"].dataType.simpleString())
+    sparse = search.bm25_top_k(chunks, named, wide, lists=counted).withColumn("query_id", back)
+    sparse = sparse.unionByName(search.ranked(search.bm25_scores(search.bm25_index_within(chunks, counted, bound, own), bound, within=own), wide))
+    dense = search.dense_top_k(vectors, named, wide).withColumn("query_id", back).unionByName(search.dense_within(vectors, bound, own, wide))
+    lists = sparse.withColumn("list_id", F.lit("sparse")).unionByName(dense.withColumn("list_id", F.lit("dense")))
     each = fuse.rrf(lists).where(F.col("rank") <= wide)
     fused = fuse.rrf(each.select("query_id.query_id", F.col("query_id.list_id").cast("string").alias("list_id"), "chunk_id", "score", "rank"))
     return fuse.lexical_rerank(fused, questions, chunks, k)

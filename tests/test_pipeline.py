@@ -1,10 +1,12 @@
 """The retrieval pipeline: filters found in the question or given by the caller hold before anything is scored."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from docgrain.functions import text as X
-from docgrain.operators import fuse
+from docgrain.operators import fuse, search
 from docgrain.plans import retrieval as R
+from docgrain.plans.queries import QUERIES
 
 DOCS = [
     (1, "acmecorp supply", "Supply", "the term of this supply agreement is ten years"),
@@ -58,3 +60,14 @@ def test_without_filters_it_is_the_hybrid_search_reranked(spark):
     plain = fuse.lexical_rerank(R.hybrid(chunks, asked, 20), asked, chunks, 10)
     key = lambda df: sorted(map(tuple, df.select("query_id", "chunk_id", "score", "rank").collect()))
     assert key(R.filtered_pipeline(chunks, asked, catalog, 10)) == key(plain)
+
+
+def test_free_questions_join_no_postings(spark, monkeypatch):
+    """Only questions that look into documents of their own are scored by a join; in the answer loop none is."""
+    joined, scores = [], search.bm25_scores
+    monkeypatch.setattr(search, "bm25_scores", lambda *a, **more: (joined.append(more.get("within") is not None), scores(*a, **more))[1])
+    monkeypatch.setattr(search, "bm25_index", lambda *a, **more: pytest.fail("all postings as rows"))
+    for name, most in (("R3_filtered_pipeline", 1), ("G1_answer_loop", 0)):
+        joined.clear()
+        assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+        assert all(joined) and len(joined) == most
