@@ -84,6 +84,7 @@ def filtered_pipeline(chunks: DataFrame, questions: DataFrame, catalog: DataFram
     texts = written(texts.withColumn("vector", E.hash_dense(F.col("text"))), "pipeline-texts")
     free, bound = texts.where("bound IS NULL"), texts.where("bound")
     own = bound.select("query_id").join(within.withColumnRenamed("query_id", "_id"), F.col("query_id.query_id") == F.col("_id")).drop("_id")
+    own = written(own, "pipeline-own")  # Spark then knows how few they are before it moves texts and vectors
     counted = written(search.term_lists(chunks), "pipeline-words")
     vectors = chunks.select("chunk_id", "doc_id", E.hash_dense(F.col("text")).alias("vector"))
     named = free.select(F.to_json("query_id").alias("query_id"), "text", "vector")
